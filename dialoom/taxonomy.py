@@ -91,8 +91,8 @@ def with_category(df: DataFrame, dim: DataFrame, name: str = "mapped_category",
     ``dim`` is any (intent, category) table. A custom one should go through
     ``functions.dims.bounded_broadcast`` first.
     """
-    lookup = dim.select(F.col("intent").alias("_intent"), F.col("category").alias(name))
-    out = df.join(lookup, df[key] == F.col("_intent"), "left").drop("_intent")
+    lookup = dim.select(F.col("intent").alias("_tax_intent"), F.col("category").alias(name))
+    out = df.join(lookup, df[key] == F.col("_tax_intent"), "left").drop("_tax_intent")
     if default is not None:
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
     return out
