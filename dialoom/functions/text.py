@@ -74,7 +74,7 @@ def fenced(c: Column) -> Column:
     """
     def inside(mark: str) -> Column:
         start = F.instr(c, mark) + len(mark)
-        stop = F.locate("```", c, start)
+        stop = F.position(F.lit("```"), c, start)
         return F.when(stop > start, strip(F.substring(c, start, stop - start))).otherwise(c)
 
     return (F.when(F.instr(c, "```json") > 0, inside("```json"))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from suite import bias, profile, quality, rules  # noqa: F401
+from suite import bias, plans, profile, quality, rules, sources  # noqa: F401
