@@ -16,6 +16,14 @@ WORD = r"[\p{L}\p{N}_]+"
 PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it.
+
+    Nested column expressions otherwise multiply: each mention is a full copy in the plan.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Removes white space at both ends; linear in the text length (no regular expression)."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -38,11 +46,15 @@ def normalised(c: Column) -> Column:
 
 
 def between(c: Column, opening: str, closing: str) -> Column:
-    """From the first ``opening`` to the last ``closing`` inclusive; NULL if there is no such span."""
-    start = F.instr(c, opening)
-    tail = F.instr(F.reverse(c), closing)          # closing is one character
-    stop = F.length(c) - tail + 1
-    return F.when((start > 0) & (tail > 0) & (stop > start), F.substring(c, start, stop - start + 1))
+    """From the first ``opening`` to the last ``closing`` (one character each); NULL without such a span."""
+    def cut(text: Column, start: Column, stop: Column) -> Column:
+        return F.when((start > 0) & (stop > start), F.substring(text, start, stop - start + 1))
+
+    return let(c, lambda text: let(
+        F.struct(F.instr(text, opening).alias("start"),
+                 (F.length(text) - F.instr(F.reverse(text), closing) + 1).alias("stop"),
+                 (F.instr(text, closing) > 0).alias("closed")),
+        lambda at: F.when(at["closed"], cut(text, at["start"], at["stop"]))))
 
 
 _STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
@@ -55,16 +67,14 @@ def strict_json(c: Column) -> Column:
     therefore read as an object member *and* as an array element: only a single complete value
     fits both places. Duplicate keys stay legal (the last one wins when read with a schema).
     """
-    text = strip(c)
-    member = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x STRING, _bad STRING", _STRICT)
-    element = F.from_json(F.concat(F.lit('{"x":['), text, F.lit("]}")),
-                          "x ARRAY<STRING>, _bad STRING", _STRICT)
-    good = (
-        text.rlike(r"^[\[{]")
-        & member["_bad"].isNull() & member["x"].isNotNull()
-        & element["_bad"].isNull() & (F.size(element["x"]) == 1)
-    )
-    return F.when(good, text)
+    def one_value(text: Column) -> Column:
+        member = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x STRING, _bad STRING", _STRICT)
+        element = F.from_json(F.concat(F.lit('{"x":['), text, F.lit("]}")), "x ARRAY<STRING>, _bad STRING", _STRICT)
+        as_member = let(member, lambda r: r["_bad"].isNull() & r["x"].isNotNull())
+        as_element = let(element, lambda r: r["_bad"].isNull() & (F.size(r["x"]) == 1))
+        return F.when(text.rlike(r"^[\[{]") & as_member & as_element, text)
+
+    return let(strip(c), one_value)
 
 
 def fenced(c: Column) -> Column:
@@ -72,14 +82,14 @@ def fenced(c: Column) -> Column:
 
     An unclosed or empty fence leaves the text unchanged.
     """
-    def inside(mark: str) -> Column:
-        start = F.instr(c, mark) + len(mark)
-        stop = F.position(F.lit("```"), c, start)
-        return F.when(stop > start, strip(F.substring(c, start, stop - start))).otherwise(c)
-
-    return (F.when(F.instr(c, "```json") > 0, inside("```json"))
-            .when(F.instr(c, "```") > 0, inside("```"))
-            .otherwise(c))
+    def inside(text: Column, mark: str) -> Column:
+        return let(F.instr(text, mark) + len(mark), lambda start: let(
+            F.position(F.lit("```"), text, start),
+            lambda stop: F.when(stop > start, strip(F.substring(text, start, stop - start))).otherwise(text)))
+
+    return let(c, lambda text: F.when(F.instr(text, "```json") > 0, inside(text, "```json"))
+               .when(F.instr(text, "```") > 0, inside(text, "```"))
+               .otherwise(text))
 
 
 def fold_accents(c: Column) -> Column:

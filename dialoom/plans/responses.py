@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.functions.dims import ratio
-from dialoom.functions.text import between, fenced, strict_json, truthy
+from dialoom.functions.text import between, fenced, let, strict_json, truthy
 from dialoom.operators.repair import fill_gaps, unique_id
 from dialoom.schema import CONVERSATION, LABELS
 from dialoom.sources.exchange import PARSE_ERROR
@@ -17,13 +17,13 @@ PLAN = ["intent", "sentiment", "complexity", "language"]
 def json_in(text: Column) -> Column:
     """The JSON object or array in a response, or NULL: the whole text, else the first fenced object,
     the first fenced array, the widest {...}, the widest [...]."""
-    def in_fence(opening: str, closing: str) -> Column:
-        found = F.regexp_extract(text, rf"(?U)```(?:json)?\s*(\{opening}[\s\S]*?\{closing})\s*```", 1)
-        return F.when(found != "", found)
+    def in_fence(c: Column, opening: str, closing: str) -> Column:
+        found = F.regexp_extract(c, rf"(?U)```(?:json)?\s*(\{opening}[\s\S]*?\{closing})\s*```", 1)
+        return let(found, lambda f: F.when(f != "", f))
 
-    return F.coalesce(
-        strict_json(text), strict_json(in_fence("{", "}")), strict_json(in_fence("[", "]")),
-        strict_json(between(text, "{", "}")), strict_json(between(text, "[", "]")))
+    return let(text, lambda c: F.coalesce(
+        strict_json(c), strict_json(in_fence(c, "{", "}")), strict_json(in_fence(c, "[", "]")),
+        strict_json(between(c, "{", "}")), strict_json(between(c, "[", "]"))))
 
 
 def parse_texts(results: DataFrame, parse=None) -> DataFrame:
@@ -33,11 +33,11 @@ def parse_texts(results: DataFrame, parse=None) -> DataFrame:
     """
     text = F.col("generated_text")
     found = strict_json(fenced(text)) if parse is None else parse(text)
-    rows = results.withColumn("_json", F.when(found.startswith("{"), found))
-    return rows.withColumns({
-        "record": F.from_json("_json", _RECORD),
-        "failure": F.when(truthy(text) & F.col("_json").isNull(), F.lit(PARSE_ERROR)),
-    }).drop("_json")
+    one = let(F.struct(found.alias("j")), lambda s: F.struct(
+        F.when(s["j"].startswith("{"), F.from_json(s["j"], _RECORD)).alias("record"),
+        F.when(truthy(text) & ~F.coalesce(s["j"].startswith("{"), F.lit(False)), F.lit(PARSE_ERROR)).alias("failure")))
+    # inline: each text is parsed once, and later filters stay above the parsing
+    return results.select(*results.columns, F.inline(F.array(one)))
 
 
 def _with_plan(parsed: DataFrame, plan: DataFrame | None, names: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dialoom.functions.text import strict_json, strip, truthy
+from dialoom.functions.text import let, strict_json, strip, truthy
 
 RESPONSE = "recordId STRING, error STRING, modelOutput STRUCT<content: ARRAY<STRUCT<text: STRING>>>"
 PARSE_ERROR = "JSON parse error"
@@ -47,19 +47,23 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     over any output.
     """
     rest = [c for c in lines.columns if c != "value"]
-    line = strip(F.col("value"))
-    rows = lines.filter(line != "").select(line.alias("_line"), *rest)
-    valid = strict_json(F.col("_line"))
-    rows = rows.withColumn("_json", F.when(valid.startswith("{"), valid))
-    r = F.from_json("_json", RESPONSE)
-    rows = rows.withColumn("_r", r)
-    failed = F.array_contains(F.json_object_keys("_json"), "error")
-    content = F.col("_r.modelOutput.content")
-    text = F.when((F.size(content) > 0) & ~failed, F.coalesce(F.get(content, F.lit(0))["text"], F.lit("")))
-    error = F.when(F.col("_json").isNull(), F.lit(PARSE_ERROR)).when(truthy(F.col("_r.error")), F.col("_r.error"))
-    return rows.select(
-        F.col("_r.recordId").alias("record_id"), text.alias("generated_text"), error.alias("error"),
-        F.when(F.col("_json").isNull(), F.substring("_line", 1, 200)).alias("raw_line"), *rest)
+
+    def read(line: Column) -> Column:
+        valid = strict_json(line)
+        return let(F.when(valid.startswith("{"), valid), lambda text: let(
+            F.from_json(text, RESPONSE), lambda r: fields(line, text, r)))
+
+    def fields(line: Column, text: Column, r: Column) -> Column:
+        content = r["modelOutput"]["content"]
+        said = F.when((F.size(content) > 0) & ~F.array_contains(F.json_object_keys(text), "error"),
+                      F.coalesce(F.get(content, F.lit(0))["text"], F.lit("")))
+        error = F.when(text.isNull(), F.lit(PARSE_ERROR)).when(truthy(r["error"]), r["error"])
+        return F.struct(r["recordId"].alias("record_id"), said.alias("generated_text"), error.alias("error"),
+                        F.when(text.isNull(), F.substring(line, 1, 200)).alias("raw_line"))
+
+    # inline: each line is parsed once, and later filters stay above the parsing
+    return (lines.filter(strip(F.col("value")) != "")
+            .select(*rest, F.inline(F.array(let(strip(F.col("value")), read)))))
 
 
 def results(parsed: DataFrame) -> DataFrame:
