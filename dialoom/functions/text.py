@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The characters Python's str.strip removes.
@@ -94,8 +95,6 @@ def fenced(c: Column) -> Column:
 
 def fold_accents(c: Column) -> Column:
     """Letters without their accents. Spark has no Unicode normalisation, hence an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         import unicodedata

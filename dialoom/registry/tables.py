@@ -133,7 +133,7 @@ class Registry:
 
     def register_from_metadata(self, metadata: DataFrame) -> None:
         """Appends every row of a metadata table (domain, size, file_path, file_format, model_used, notes)."""
-        fresh = F.concat(F.lit("ds_"), F.substring(F.sha2(F.concat_ws("\x1f", F.uuid()), 256), 1, 12))
+        fresh = F.concat(F.lit("ds_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
         self.append("datasets", metadata if "id" in metadata.columns else metadata.withColumn("id", fresh))
 
     def update_quality(self, dataset_id: str, quality: DataFrame) -> None:
