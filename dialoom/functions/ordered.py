@@ -207,8 +207,8 @@ def crossing_ngrams(units: DataFrame, order: list[str], tokens: str, ns: tuple[i
 
 def inner_ngrams(tokens: Column, n: int) -> Column:
     """The n-grams inside one word array, as strings; empty when it is shorter than n."""
-    last = F.size(tokens) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1))\
-        .otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
+    grams, size = tokens, F.size(tokens)
+    for shift in range(2, n + 1):
+        rest = F.slice(tokens, shift, F.greatest(size, F.lit(1)))
+        grams = F.zip_with(grams, rest, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(grams, 1, F.greatest(size - n + 1, F.lit(0)))

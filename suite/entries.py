@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from suite import bias, plans, profile, quality, registry, rules, sources, training  # noqa: F401
+from suite import bias, plans, profile, quality, registry, rules, sources, streams, training  # noqa: F401
