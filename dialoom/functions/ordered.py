@@ -176,12 +176,15 @@ def crossing_ngrams(units: DataFrame, order: list[str], tokens: str, ns: tuple[i
     reach = max(ns) - 1
     size = F.size(tokens)
     # a short unit sends all words once, a long one its first and last ``reach`` words
-    picked = F.filter(F.transform(F.col(tokens), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
-                      lambda s: (s["pos"] < reach) | (s["pos"] >= size - reach))
-    outer = (units.filter(size > 0)
-             .withColumn("_unit", F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order],
+    after = F.greatest(F.lit(reach), size - reach)
+    first = F.transform(F.slice(tokens, 1, reach), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    last = F.transform(F.slice(tokens, after + 1, reach), lambda w, i: F.struct((after + i).alias("pos"), w.alias("word")))
+    outer = (units.withColumn("_unit", F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order],
                                               F.monotonically_increasing_id().cast("string")))
-             .select(*order, F.col("_unit").alias("unit"), F.inline(picked)))
+             .select(*order, F.col("_unit").alias("unit"), F.inline(F.concat(first, last))))
+    # Range bounds come from a sample, a pass of its own over its input. This exchange of the few outer
+    # words keeps that pass, and the shuffle after it, from tokenising the whole text again.
+    outer = outer.repartition("unit")
     ranged = _sorted_ranges(outer, [*order, "unit", "pos"], partitions).select("unit", "word")
     pieces = ranged.mapInPandas(_gram_pieces(ns), _PIECE)
     merged = pieces.groupBy("n", "gram").agg(

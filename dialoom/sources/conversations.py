@@ -18,6 +18,17 @@ def format_for(rows: int, tabular: bool = False) -> str:
     return "json" if rows < JSON_ARRAY_ROWS else "jsonl"
 
 
+def spread_small(df: DataFrame, path: str, limit: int = 512 << 20) -> DataFrame:
+    """``df`` over all cores when the files at ``path`` are small in total.
+
+    A small file is one row group, hence one task however many cores there are. Large data comes in
+    enough splits by itself and is left alone: no shuffle of the raw texts.
+    """
+    spark = df.sparkSession
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < limit else df
+
+
 def _or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
     """The result of ``read``, or an empty table when the path does not exist."""
     try:

@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+
 from dialoom.operators.shape import Corpus, corpus_from_nested, corpus_from_turns
+from dialoom.sources.conversations import spread_small
 from dialoom.taxonomy import ROWS, taxonomy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are costly to work on, spread over all cores if it is one small file."""
+    return spread_small(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+
+
 # Labels by id arithmetic; the same text is valid in Spark SQL and in the checking engine.
 LABEL_SQL = {
     "intent": "CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 'not_an_intent' ELSE t_intent END",
@@ -105,7 +112,7 @@ def _label(df: DataFrame) -> DataFrame:
 
 
 def long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumnRenamed("conv_id", "k")
+    rows = text_table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumnRenamed("conv_id", "k")
     speaker = F.when(F.col("role") == "user", "customer").otherwise("agent")
     return rows.select(_conversation_id().alias("conversation_id"), F.col("turn").alias("turn_idx"),
                        speaker.alias("speaker"), "text")
@@ -123,7 +130,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested conversations: one per document, one turn per line."""
     lines = F.split("text", "\n")
     turns = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), turns.alias("lines"))
+    rows = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), turns.alias("lines"))
     shaped = F.expr(f"""CASE WHEN k % 43 = 0 THEN NULL ELSE transform(lines, x ->
         struct({SPEAKER_SQL.replace('i %', 'x.i %').replace('i =', 'x.i =')} AS speaker, x.line AS text)) END""")
     return _label(rows).withColumn("turns", shaped).drop("lines")

@@ -6,7 +6,7 @@ from dialoom.plans import cost, prompts as P, quota, responses as X
 from dialoom.session import shared_path
 from dialoom.sources import exchange as E
 from dialoom.taxonomy import taxonomy
-from suite.base import LABEL_SQL, NESTED_SQL, TAX_SQL, nested, query, rounded, table
+from suite.base import LABEL_SQL, NESTED_SQL, TAX_SQL, nested, query, rounded, table, text_table
 
 N_SQL = "(SELECT count(*) FROM documents)"
 
@@ -174,7 +174,7 @@ def request_file(spark, sf):
 
 def response_lines(spark, sf):
     """One response line per conversation turn; ``m`` says which fault it carries."""
-    rows = table(spark, sf, "conversations").withColumns({
+    rows = text_table(spark, sf, "conversations").withColumns({
         "rid": F.concat_ws("-", "conv_id", "turn"), "m": ((F.col("conv_id") * 7 + F.col("turn")) % 11).cast("int")})
     m = F.col("m")
     inner = F.to_json(F.struct(

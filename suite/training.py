@@ -6,7 +6,7 @@ from dialoom.operators import evaluate as V
 from dialoom.registry.tracking import Tracker, experiments
 from dialoom.session import shared_path
 from dialoom.training import data as D, features as X, models as M, search as S
-from suite.base import LONG_FACTS, NESTED_FACTS, long_corpus, nested_facts, query, rounded, table
+from suite.base import LONG_FACTS, NESTED_FACTS, long_corpus, nested_facts, query, rounded, table, text_table
 
 TRIM = "trim(first_customer_text, chr(9) || chr(10) || chr(13) || ' ')"
 
@@ -23,7 +23,7 @@ def skipped(spark, sf):
 
 def _lang(spark, sf):
     """Whole document texts with their language as the label."""
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("conversation_id"), "text", F.col("lang").alias("label"))
+    return text_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("conversation_id"), "text", F.col("lang").alias("label"))
 
 
 @query("g2_label_codes", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT source AS label FROM documents)")
@@ -71,7 +71,7 @@ def folds(spark, sf):
   SELECT doc_id, greatest(len(ws), 0) + greatest(len(ws) - 1, 0) AS tokens, md5(array_to_string(ws, ' ')) AS words FROM w""")
 def token_counts(spark, sf):
     """Unigrams and bigrams without a stop list: what the vectoriser counts."""
-    t = table(spark, sf, "documents").withColumn("t", X.tokens(F.col("text"), (1, 2), stop=[]))\
+    t = text_table(spark, sf, "documents").withColumn("t", X.tokens(F.col("text"), (1, 2), stop=[]))\
         .withColumn("u", X.tokens(F.col("text"), (1, 1), stop=[]))
     return t.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("u", " ")).alias("words"))
 
