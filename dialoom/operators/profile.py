@@ -22,8 +22,11 @@ def profile(facts: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg("turn_count").alias("avg_turns"),
         *[F.grouping(c).alias(f"_{c}") for c in names])
     dimension = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in names], F.lit("all"))
-    return sets.select(dimension.alias("dimension"), F.coalesce(*names).alias("value"), "n",
-                       F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("avg_turns")).alias("avg_turns"))
+    counts = sets.select(dimension.alias("dimension"), F.coalesce(*names).alias("value"), "n", "avg_turns")
+    # the empty grouping set gives no row for no input; this zero row loses against any real one
+    zero = facts.sparkSession.createDataFrame([("all", None, 0, 0.0)], counts.schema)
+    return counts.unionByName(zero).groupBy("dimension", "value").agg(
+        F.max("n").alias("n"), F.max_by("avg_turns", "n").alias("avg_turns"))
 
 
 def percentages(profiled: DataFrame, dimension: str) -> DataFrame:
