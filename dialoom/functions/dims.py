@@ -72,3 +72,8 @@ def ratio(a: Column, b: Column) -> Column:
 def compact(*messages: Column) -> Column:
     """Array of the messages that are not NULL, in the given order."""
     return F.array_compact(F.array(*messages))
+
+
+def percent(c: Column, digits: int = 0) -> Column:
+    """A share as text with a percent sign, halves rounded to even."""
+    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.functions.dims import compact, metric, ratio, salted_lookup, to_row
+from dialoom.functions.dims import compact, metric, percent, ratio, salted_lookup, to_row
 from dialoom.functions.dist import shares
 from dialoom.functions.text import words
 from dialoom.taxonomy import COMPLEXITIES, INTENTS, RESOLUTIONS, SENTIMENTS, taxonomy
@@ -97,7 +97,8 @@ def underrepresented(facts: DataFrame, threshold: float = RARE_SHARE) -> DataFra
     """
     counts = _intent_counts(facts)
     total = counts.agg(F.sum("n")).scalar()
-    joined = F.broadcast(taxonomy(facts.sparkSession)).join(counts, "intent", "left")
+    known = counts.filter(F.col("intent").isin(INTENTS))         # at most 77 rows meet the taxonomy
+    joined = taxonomy(facts.sparkSession).join(known, "intent", "left")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return (joined.select("ordinal", "intent", n.alias("n"), (n / total).alias("share"))
             .filter(F.col("share") < threshold))
@@ -118,10 +119,6 @@ def severity(sentiment_imbalance: Column, coverage: Column, balanced: Column, co
     return F.when(broken == 0, "none").when(broken == 1, "low").when(broken == 2, "medium").otherwise("high")
 
 
-def _percent(c: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", c * 100)
-
-
 def _dominant(names: list[str], prefix: str) -> tuple[Column, Column]:
     """Name and share of the largest; the first one wins a tie."""
     top = F.greatest(*[F.col(prefix + n) for n in names])
@@ -133,17 +130,17 @@ def _recommendations() -> Column:
     s_name, s_top = _dominant(SENTIMENTS, "sentiment_")
     c_name, c_top = _dominant(COMPLEXITIES, "complexity_")
     coverage = F.col("intent_coverage")
-    split = F.concat(F.lit("Language imbalance: EN="), _percent(F.col("language_en")), F.lit(", ES="),
-                     _percent(F.col("language_es")))
+    split = F.concat(F.lit("Language imbalance: EN="), percent(F.col("language_en")), F.lit(", ES="),
+                     percent(F.col("language_es")))
     return compact(
         F.when(F.col("sentiment_imbalance") > SENTIMENT_LIMIT, F.concat(
-            F.lit("Sentiment imbalance detected: '"), s_name, F.lit("' is overrepresented ("), _percent(s_top),
+            F.lit("Sentiment imbalance detected: '"), s_name, F.lit("' is overrepresented ("), percent(s_top),
             F.lit("). Generate more varied sentiments."))),
         F.when(coverage < COVERAGE_LIMIT, F.concat(
-            F.lit("Low intent coverage: only "), _percent(coverage, 1), F.lit(" of 77 intents covered. "
+            F.lit("Low intent coverage: only "), percent(coverage, 1), F.lit(" of 77 intents covered. "
                   "Generate more diverse intents to improve model generalization.")))
         .when(coverage < 0.50, F.concat(
-            F.lit("Intent coverage is "), _percent(coverage, 1), F.lit(". Consider generating more samples to "
+            F.lit("Intent coverage is "), percent(coverage, 1), F.lit(". Consider generating more samples to "
                   "cover underrepresented intents."))),
         F.when(F.col("underrepresented_count") > 50, F.concat(
             F.lit("Found "), F.col("underrepresented_count").cast("string"), F.lit(" underrepresented intents "
@@ -153,7 +150,7 @@ def _recommendations() -> Column:
             F.col("language_en") > F.col("language_es"), F.lit(". Generate more Spanish conversations."))
             .otherwise(F.lit(". Generate more English conversations.")))),
         F.when(F.col("complexity_imbalance") > COMPLEXITY_LIMIT, F.concat(
-            F.lit("Complexity imbalance: '"), c_name, F.lit("' is overrepresented ("), _percent(c_top),
+            F.lit("Complexity imbalance: '"), c_name, F.lit("' is overrepresented ("), percent(c_top),
             F.lit("). Balance complexity levels."))),
     )
 
@@ -217,7 +214,7 @@ def summary(bias: DataFrame) -> DataFrame:
     return bias.select(
         F.coalesce("severity", F.lit("unknown")).alias("severity"),
         compact(F.when(uneven, F.lit("Sentiment distribution is imbalanced")),
-                F.when(coverage < 0.5, F.concat(F.lit("Low intent coverage: "), _percent(coverage, 1))),
+                F.when(coverage < 0.5, F.concat(F.lit("Low intent coverage: "), percent(coverage, 1))),
                 F.when(one_language, F.lit("Language distribution is imbalanced"))).alias("findings"),
         compact(F.when(uneven, F.lit("Generate more diverse sentiment samples")),
                 F.when(coverage < 0.5, F.lit("Target underrepresented intents in generation")),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialoom.functions.dims import compact, metric, ratio, to_row
+from dialoom.functions.dims import compact, metric, percent, ratio, to_row
 from dialoom.functions.dist import js_divergence, shares
 from dialoom.functions.ordered import crossing_ngrams, inner_ngrams
 from dialoom.functions.text import normalised, truthy, words
@@ -20,6 +20,9 @@ REQUIRED = ["conversation_id", "intent", "sentiment", "turns", "resolution_statu
 REALISM_WEIGHTS = {"distribution": 0.40, "intent_coverage": 0.25, "category_coverage": 0.20, "turns": 0.15}
 DIVERSITY_WEIGHTS = {"intent": 0.20, "message": 0.15, "vocabulary": 0.15, "ngram": 0.15,
                      "sentiment": 0.15, "resolution": 0.10, "category": 0.10}
+SEVERITY = {"min_turns": "issue", "first_speaker": "issue", "alternation": "warning", "sentiment": "issue",
+            "resolution": "warning", "intent": "warning"}
+EXAMPLES = 3
 SUMMARY_THRESHOLDS = {"completeness": 0.95, "consistency": 0.90, "realism": 0.85, "diversity": 0.80}
 
 
@@ -54,7 +57,7 @@ def missing_fields(facts: DataFrame) -> DataFrame:
         F.struct(F.lit(f).alias("field"), F.col(f.replace(".", "_")).alias("missing")) for f in counts])))
 
 
-def completeness_examples(facts: DataFrame, k: int = 3) -> DataFrame:
+def completeness_examples(facts: DataFrame, k: int = EXAMPLES) -> DataFrame:
     """(field, conversation_id, message): the first k conversations lacking each field.
 
     The rank filter is pushed below the shuffle, so a field missing in most rows costs k rows per
@@ -99,19 +102,19 @@ def consistency_issues(facts: DataFrame) -> DataFrame:
     """(conversation_id, rule, severity, message) for every failed check."""
     checks = _checks()
     said = {
-        "min_turns": ("issue", F.concat(F.lit("Only "), F.col("n_turns").cast("string"), F.lit(" turns (need >=2)"))),
-        "first_speaker": ("issue", F.lit("First turn not from customer")),
-        "alternation": ("warning", F.lit("Non-alternating speaker pattern")),
-        "sentiment": ("issue", _quoted("Invalid sentiment", "sentiment")),
-        "resolution": ("warning", _quoted("Invalid resolution", "resolution_status")),
-        "intent": ("warning", _quoted("Unknown intent", "intent")),
+        "min_turns": F.concat(F.lit("Only "), F.col("n_turns").cast("string"), F.lit(" turns (need >=2)")),
+        "first_speaker": F.lit("First turn not from customer"),
+        "alternation": F.lit("Non-alternating speaker pattern"),
+        "sentiment": _quoted("Invalid sentiment", "sentiment"),
+        "resolution": _quoted("Invalid resolution", "resolution_status"),
+        "intent": _quoted("Unknown intent", "intent"),
     }
     found = compact(*[
         F.when(~checks[rule], F.struct(
-            F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+            F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"),
             F.concat(F.lit("Conv "), F.coalesce("conversation_id", F.lit("None")), F.lit(": "), text)
             .alias("message")))
-        for rule, (severity, text) in said.items()])
+        for rule, text in said.items()])
     return facts.select("conversation_id", F.inline(found))
 
 
@@ -262,6 +265,33 @@ def ngram_counts(turns: DataFrame, ns: tuple[int, ...] = (2, 3), within_turn: bo
             .groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct")))
 
 
+def text_counts(turns: DataFrame) -> DataFrame:
+    """(kind, total, distinct) from one pass over the text: kind 0 agent words, 1 customer words, 2 and 3
+    customer n-grams. One explode and one shuffle by term serve the vocabulary and the n-gram scores."""
+    asked = F.col("speaker").eqNullSafe("customer")
+    said = turns.select("conversation_id", "turn_idx", asked.alias("asked"), words(F.col("text")).alias("w"))
+    w = F.col("w")
+    customer = F.concat(_counted(w, 1), *[_counted(inner_ngrams(w, n), n) for n in (2, 3)])
+    inside = said.select(F.inline(F.when(F.col("asked"), customer).otherwise(_counted(w, 0))))
+    crossing = crossing_ngrams(said.filter("asked"), ["conversation_id", "turn_idx"], "w", (2, 3))
+    return (inside.unionByName(crossing).groupBy("n", "gram").agg(F.sum("count").alias("c"))
+            .groupBy(F.col("n").alias("kind")).agg(F.sum("c").alias("total"), F.count("*").alias("distinct")))
+
+
+def _text_scores(turns: DataFrame) -> DataFrame:
+    """(metric, value) of the vocabulary and n-gram parts of the diversity."""
+    def of(kind: int, c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+
+    row = text_counts(turns).agg(*[of(k, c).alias(f"{c}_{k}") for k in range(4) for c in ("total", "distinct")])
+    richness = [ratio(F.col(f"distinct_{k}"), F.col(f"total_{k}")) for k in (1, 0)]
+    score = {n: ngram_score(F.col(f"total_{n}"), F.col(f"distinct_{n}"), n) for n in (2, 3)}
+    values = {"customer_types": F.col("distinct_1"), "agent_types": F.col("distinct_0"),
+              "vocabulary": (richness[0] + richness[1]) / 2, "bigram_diversity": score[2],
+              "trigram_diversity": score[3], "ngram": (score[2] + score[3]) / 2}
+    return _as_metrics(row.withColumns(values), list(values))
+
+
 def ngram_score(total: Column, distinct: Column, n: Column | int) -> Column:
     """Distinct over total n-grams against what a text of that length is expected to reach."""
     length = total + n - 1
@@ -306,8 +336,7 @@ def diversity(corpus: Corpus) -> DataFrame:
     parts = [
         label_variety(corpus.facts),
         _as_metrics(message_variety(corpus.facts), ["unique_messages", "conversations", "message_variety"]),
-        _as_metrics(vocabulary(corpus.turns), ["customer_types", "agent_types", "vocabulary"]),
-        _as_metrics(ngram_diversity(corpus.turns), ["bigram_diversity", "trigram_diversity", "ngram"]),
+        _text_scores(corpus.turns),
         category_coverage(corpus.facts),
     ]
     names = ["unique_intents", "intent_variety", "unique_messages", "conversations", "message_variety",
@@ -331,35 +360,51 @@ def diversity_warnings(diverse: DataFrame) -> DataFrame:
         F.when(few, F.concat(F.lit("Low intent variety: only "), F.col("unique_intents").cast("int").cast("string"),
                              F.lit(" unique intents"))),
         F.when(alike, F.concat(F.lit("Low message variety: "),
-                               F.format_string("%.1f%%", F.col("message_variety") * 100),
+                               percent(F.col("message_variety"), 1),
                                F.lit(" unique messages")))))
 
 
 # ---------------------------------------------------------------- all of it
 
+def _counted_facts(facts: DataFrame) -> DataFrame:
+    """(metric, value) of all that one pass over the facts can count: checks, gaps, messages."""
+    n, turns = F.count("*"), F.coalesce(F.sum("n_turns"), F.lit(0))
+    filled = F.coalesce(F.sum(F.col("filled_speakers") + F.col("filled_texts")), F.lit(0))
+    present = {f: _sum(_present(f)) for f in REQUIRED}
+    passed = {rule: _sum(c) for rule, c in _checks().items()}
+    failed = {rule: n - c for rule, c in passed.items()}
+    of = lambda severity: sum((failed[r] for r in failed if SEVERITY[r] == severity), F.lit(0))
+    total = n * len(REQUIRED) + 2 * turns
+    return metric(
+        facts, rows=n,
+        completeness=ratio(sum(present.values(), filled), total),
+        consistency=ratio(sum(passed.values(), F.lit(0)), n * len(passed)),
+        # three messages at most are given per missing field
+        gaps=sum((F.least(n - c, F.lit(EXAMPLES)) for c in present.values()), F.lit(0)),
+        failed_issues=of("issue"), failed_warnings=of("warning"))
+
+
 def quality(corpus: Corpus, reference: DataFrame) -> DataFrame:
-    """One row: the four scores, the overall score (0..100), and counts of issues and warnings."""
-    real = realism(corpus.facts, reference)
-    diverse = diversity(corpus)
-    issues = consistency_issues(corpus.facts)
-    gaps = metric(completeness_examples(corpus.facts), gap_messages=F.count("*"))
-    found = metric(issues, issue_messages=_sum(F.col("severity") == "issue"),
-                   warning_messages=_sum(F.col("severity") == "warning"))
-    few = metric(diversity_warnings(diverse), diversity_warnings=F.max(F.size("warnings")))
+    """One row: the four scores, the overall score (0..100), and counts of issues and warnings.
+
+    Persist the corpus first when it comes from an expensive source: the facts, the intents, the first
+    messages and the words are separate passes over it.
+    """
     names = ["completeness", "consistency", "realism", "diversity"]
+    diverse = ["diversity", "unique_intents", "message_variety"]
     row = to_row([
-        completeness(corpus.facts), consistency(corpus.facts),
-        _as_metrics(real, ["realism", "reference_intents", "conversations"]),
-        _as_metrics(diverse, ["diversity"]), gaps, found, few,
-    ], [*names, "conversations", "reference_intents", "gap_messages", "issue_messages",
-        "warning_messages", "diversity_warnings"])
+        _counted_facts(corpus.facts),
+        _as_metrics(realism(corpus.facts, reference), ["realism", "reference_intents"]),
+        _as_metrics(diversity(corpus), diverse),
+    ], ["rows", *names, "reference_intents", "gaps", "failed_issues", "failed_warnings", *diverse[1:]])
     overall = sum((0.25 * F.col(n) for n in names), F.lit(0.0)) * 100
-    empty = (F.col("conversations") == 0).cast("bigint")
-    no_reference = ((F.col("reference_intents") == 0) & (F.col("conversations") > 0)).cast("bigint")
+    some = F.col("rows") > 0
+    warned = diversity_warnings(row.withColumnRenamed("rows", "conversations"))
+    row = warned.withColumnRenamed("conversations", "rows")
     return row.select(
-        F.col("conversations").cast("bigint").alias("conversations"), *names, overall.alias("overall"),
-        (F.col("gap_messages") + F.col("issue_messages") + empty).cast("bigint").alias("issues"),
-        (F.col("warning_messages") + F.coalesce("diversity_warnings", F.lit(0)) + no_reference)
+        F.col("rows").cast("bigint").alias("conversations"), *names, overall.alias("overall"),
+        (F.col("gaps") + F.col("failed_issues") + (~some).cast("int")).cast("bigint").alias("issues"),
+        (F.col("failed_warnings") + F.size("warnings") + (some & (F.col("reference_intents") == 0)).cast("int"))
         .cast("bigint").alias("warnings"))
 
 

@@ -130,7 +130,7 @@ def test_severity_and_gate(spark):
 
 
 def test_summary_bands(spark):
-    scores = spark.createDataFrame([("completeness", .95), ("consistency", .72), ("realism", .5), ("other", .8)], "metric STRING, value DOUBLE")
+    scores = spark.createDataFrame([("completeness", .95), ("consistency", .73), ("realism", .5), ("other", .8)], "metric STRING, value DOUBLE")
     got = {r["metric"]: r["status"] for r in Q.quality_summary(scores).collect()}
     assert got == {"completeness": "good", "consistency": "warning", "realism": "error", "other": "good", "overall": "warning"}
     assert Q.quality_summary(scores.limit(0)).count() == 0
