@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoom.functions.dims import compact, metric, percent, ratio, to_row
-from dialoom.functions.dist import js_divergence, shares
+from dialoom.functions.dist import divergence, shares, side_counts
 from dialoom.functions.ordered import crossing_ngrams, inner_ngrams
 from dialoom.functions.text import normalised, truthy, words
 from dialoom.operators.shape import Corpus
@@ -17,6 +17,7 @@ from dialoom.taxonomy import CATEGORIES, INTENTS, RESOLUTIONS, SENTIMENTS, allow
 
 # Required fields, weights, thresholds.
 REQUIRED = ["conversation_id", "intent", "sentiment", "turns", "resolution_status"]
+REALISM_PARTS = ["js_divergence", "intent_coverage", "category_coverage", "turn_realism"]
 REALISM_WEIGHTS = {"distribution": 0.40, "intent_coverage": 0.25, "category_coverage": 0.20, "turns": 0.15}
 DIVERSITY_WEIGHTS = {"intent": 0.20, "message": 0.15, "vocabulary": 0.15, "ngram": 0.15,
                      "sentiment": 0.15, "resolution": 0.10, "category": 0.10}
@@ -162,51 +163,60 @@ def reference_shares(reference: DataFrame) -> DataFrame:
     return shares(reference, F.coalesce(*source, F.lit("unknown")))
 
 
-def intent_shares(facts: DataFrame) -> DataFrame:
-    return shares(facts, F.coalesce("intent", F.lit("unknown")))
-
-
-def intent_divergence(facts: DataFrame, reference: DataFrame) -> DataFrame:
-    """(metric, value): the Jensen-Shannon divergence between reference and dataset intents."""
-    js = js_divergence(reference_shares(reference), intent_shares(facts))
-    return js.select(F.lit("js_divergence").alias("metric"), F.col("js_divergence").alias("value"))
+def _side_counts(heads: DataFrame, reference: DataFrame) -> DataFrame:
+    """(key, n_p, n_q): reference and dataset intents; a missing intent is "unknown"."""
+    have = set(reference.columns)
+    source = [F.col(c).cast("string") for c in ("intent", "label") if c in have]
+    theirs = reference.groupBy(F.coalesce(*source, F.lit("unknown")).alias("key")).agg(F.count("*").alias("n"))
+    mine = heads.groupBy("intent").agg(F.count("*").alias("n"))
+    return side_counts(theirs, mine.select(F.coalesce("intent", F.lit("unknown")).alias("key"), "n"))
 
 
-def reference_coverage(facts: DataFrame, reference: DataFrame) -> DataFrame:
-    """intent_coverage: share of the reference intents that occur in the dataset."""
-    wanted = reference_shares(reference).select("key")
-    used = facts.select(F.coalesce("intent", F.lit("unknown")).alias("key"), F.lit(1).alias("hit")).distinct()
-    joined = wanted.join(used, "key", "left")
-    return metric(joined, intent_coverage=ratio(F.count("hit"), F.count("*")), reference_intents=F.count("*"))
+def intent_match(heads: DataFrame, reference: DataFrame) -> DataFrame:
+    """(metric, value): js_divergence, intent_coverage, reference_intents; one table of counts serves all."""
+    counts = _side_counts(heads, reference)
+    known, used = F.col("n_p") > 0, F.col("n_q") > 0
+    n = F.count_if(known)
+    return metric(counts, js_divergence=divergence(counts), intent_coverage=ratio(F.count_if(known & used), n),
+                  reference_intents=n)
 
 
-def category_coverage(facts: DataFrame) -> DataFrame:
+def category_coverage(heads: DataFrame) -> DataFrame:
     """categories (unknown counts as one) and their number over the taxonomy's, before any clamp."""
-    mapped = with_category(facts, taxonomy(facts.sparkSession), default="unknown")
+    intents = heads.groupBy("intent").agg(F.count("*").alias("n"))
+    mapped = with_category(intents, taxonomy(heads.sparkSession), default="unknown")
     n = F.countDistinct("mapped_category")
     return metric(mapped, categories=n, category_coverage=n / len(CATEGORIES))
 
 
 def turn_realism(facts: DataFrame) -> DataFrame:
     """avg_turns and 1 when it lies in [3, 10], else a penalty with floor 0.5."""
+    return metric(facts, conversations=F.count("*"), **_turn_realism())
+
+
+def _turn_realism() -> dict[str, Column]:
     avg = F.coalesce(F.avg("n_turns"), F.lit(0.0))
     score = F.when(avg.between(3, 10), F.lit(1.0)).otherwise(F.greatest(F.lit(0.5), 1 - F.abs(avg - 6) / 10))
-    return metric(facts, avg_turns=avg, turn_realism=score, conversations=F.count("*"))
+    return {"avg_turns": avg, "turn_realism": score}
+
 
+def realism(facts: DataFrame, reference: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """One row with the score and its parts; empty dataset 0, empty reference 0.5.
 
-def realism(facts: DataFrame, reference: DataFrame) -> DataFrame:
-    """One row with the score and its parts; empty dataset 0, empty reference 0.5."""
-    row = to_row(
-        [intent_divergence(facts, reference), reference_coverage(facts, reference),
-         category_coverage(facts), turn_realism(facts)],
-        ["js_divergence", "intent_coverage", "reference_intents", "category_coverage",
-         "turn_realism", "avg_turns", "conversations"])
+    ``heads``, the labels alone, spares the label passes the work of the facts.
+    """
+    labels = facts if heads is None else heads
+    row = to_row([intent_match(labels, reference), category_coverage(labels), turn_realism(facts)],
+                 [*REALISM_PARTS, "reference_intents", "avg_turns", "conversations"])
+    return row.withColumn("realism", _realism_score())
+
+
+def _realism_score() -> Column:
     w = REALISM_WEIGHTS
     score = (w["distribution"] * (1 - F.col("js_divergence")) + w["intent_coverage"] * F.col("intent_coverage")
              + w["category_coverage"] * F.col("category_coverage") + w["turns"] * F.col("turn_realism"))
-    return row.withColumn("realism", F.when(F.col("conversations") == 0, F.lit(0.0))
-                          .when(F.col("reference_intents") == 0, F.lit(0.5))
-                          .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))))
+    return F.when(F.col("conversations") == 0, F.lit(0.0)).when(F.col("reference_intents") == 0, F.lit(0.5))\
+        .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
 # ---------------------------------------------------------------- diversity
@@ -312,18 +322,25 @@ def ngram_diversity(turns: DataFrame, within_turn: bool = False) -> DataFrame:
                             "ngram": (score[2] + score[3]) / 2})
 
 
-def label_variety(facts: DataFrame) -> DataFrame:
-    """Distinct intents (missing counts as one), valid sentiments, valid resolutions, with their ratios."""
-    intents = metric(facts.select(F.coalesce("intent", F.lit("")).alias("intent")).distinct(),
-                     unique_intents=F.count("*"), intent_variety=F.count("*") / len(INTENTS))
+def _seen(column: str, values: list[str]) -> Column:
+    return sum((F.coalesce(F.max((F.col(column) == v).cast("int")), F.lit(0)) for v in values), F.lit(0))
 
-    def seen(column: str, values: list[str]) -> Column:
-        return sum((F.coalesce(F.max((F.col(column) == v).cast("int")), F.lit(0)) for v in values), F.lit(0))
 
-    sentiments, resolutions = seen("sentiment", SENTIMENTS), seen("resolution_status", RESOLUTIONS)
-    rest = metric(facts, sentiments=sentiments, sentiment_variety=sentiments / len(SENTIMENTS),
-                  resolutions=resolutions, resolution_variety=resolutions / len(RESOLUTIONS))
-    return intents.unionByName(rest)
+def _enum_variety() -> dict[str, Column]:
+    sentiments, resolutions = _seen("sentiment", SENTIMENTS), _seen("resolution_status", RESOLUTIONS)
+    return {"sentiments": sentiments, "sentiment_variety": sentiments / len(SENTIMENTS),
+            "resolutions": resolutions, "resolution_variety": resolutions / len(RESOLUTIONS)}
+
+
+def _intent_variety(heads: DataFrame) -> DataFrame:
+    intents = heads.groupBy("intent").agg(F.count("*").alias("n"))
+    n = F.countDistinct(F.coalesce("intent", F.lit("")))
+    return metric(intents, unique_intents=n, intent_variety=n / len(INTENTS))
+
+
+def label_variety(heads: DataFrame) -> DataFrame:
+    """Distinct intents (missing counts as one), valid sentiments, valid resolutions, with their ratios."""
+    return _intent_variety(heads).unionByName(metric(heads, **_enum_variety()))
 
 
 def _as_metrics(row: DataFrame, names: list[str]) -> DataFrame:
@@ -331,25 +348,32 @@ def _as_metrics(row: DataFrame, names: list[str]) -> DataFrame:
         F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
 
 
-def diversity(corpus: Corpus) -> DataFrame:
-    """One row with the score and all its parts; 0 for an empty dataset."""
-    parts = [
-        label_variety(corpus.facts),
-        _as_metrics(message_variety(corpus.facts), ["unique_messages", "conversations", "message_variety"]),
-        _text_scores(corpus.turns),
-        category_coverage(corpus.facts),
-    ]
-    names = ["unique_intents", "intent_variety", "unique_messages", "conversations", "message_variety",
-             "customer_types", "agent_types", "vocabulary", "bigram_diversity", "trigram_diversity", "ngram",
-             "sentiment_variety", "resolution_variety", "category_coverage"]
+def _diversity_parts(corpus: Corpus) -> list[DataFrame]:
+    """The parts that need a pass of their own: intents, opening messages, words."""
+    return [_intent_variety(corpus.heads), category_coverage(corpus.heads),
+            _as_metrics(message_variety(corpus.light), ["unique_messages", "conversations", "message_variety"]),
+            _text_scores(corpus.turns)]
+
+
+DIVERSITY_PARTS = ["unique_intents", "intent_variety", "unique_messages", "conversations", "message_variety",
+                   "customer_types", "agent_types", "vocabulary", "bigram_diversity", "trigram_diversity", "ngram",
+                   "sentiment_variety", "resolution_variety", "category_coverage"]
+
+
+def _diversity_score() -> Column:
     w = DIVERSITY_WEIGHTS
     score = (w["intent"] * F.col("intent_variety") + w["message"] * F.col("message_variety")
              + w["vocabulary"] * F.col("vocabulary") + w["ngram"] * F.col("ngram")
              + w["sentiment"] * F.col("sentiment_variety") + w["resolution"] * F.col("resolution_variety")
              + w["category"] * F.col("category_coverage"))
-    return to_row(parts, names).withColumn(
-        "diversity", F.when(F.col("conversations") == 0, F.lit(0.0))
-        .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))))
+    return F.when(F.col("conversations") == 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+
+
+def diversity(corpus: Corpus) -> DataFrame:
+    """One row with the score and all its parts; 0 for an empty dataset."""
+    row = to_row([*_diversity_parts(corpus), metric(corpus.heads, **_enum_variety())], DIVERSITY_PARTS)
+    return row.withColumn("diversity", _diversity_score())
 
 
 def diversity_warnings(diverse: DataFrame) -> DataFrame:
@@ -376,33 +400,29 @@ def _counted_facts(facts: DataFrame) -> DataFrame:
     of = lambda severity: sum((failed[r] for r in failed if SEVERITY[r] == severity), F.lit(0))
     total = n * len(REQUIRED) + 2 * turns
     return metric(
-        facts, rows=n,
+        facts,
         completeness=ratio(sum(present.values(), filled), total),
         consistency=ratio(sum(passed.values(), F.lit(0)), n * len(passed)),
         # three messages at most are given per missing field
         gaps=sum((F.least(n - c, F.lit(EXAMPLES)) for c in present.values()), F.lit(0)),
-        failed_issues=of("issue"), failed_warnings=of("warning"))
+        failed_issues=of("issue"), failed_warnings=of("warning"), **_turn_realism(), **_enum_variety())
 
 
 def quality(corpus: Corpus, reference: DataFrame) -> DataFrame:
     """One row: the four scores, the overall score (0..100), and counts of issues and warnings.
 
-    Persist the corpus first when it comes from an expensive source: the facts, the intents, the first
-    messages and the words are separate passes over it.
+    Five passes: one over the facts for all that can be counted, one over the intents (a table of
+    counts that its three users share), one over the opening messages, two over the words.
     """
     names = ["completeness", "consistency", "realism", "diversity"]
-    diverse = ["diversity", "unique_intents", "message_variety"]
-    row = to_row([
-        _counted_facts(corpus.facts),
-        _as_metrics(realism(corpus.facts, reference), ["realism", "reference_intents"]),
-        _as_metrics(diversity(corpus), diverse),
-    ], ["rows", *names, "reference_intents", "gaps", "failed_issues", "failed_warnings", *diverse[1:]])
+    row = to_row([_counted_facts(corpus.facts), intent_match(corpus.heads, reference), *_diversity_parts(corpus)],
+                 [*names[:2], *REALISM_PARTS[:2], "turn_realism", "reference_intents", "gaps", "failed_issues",
+                  "failed_warnings", *DIVERSITY_PARTS])
+    row = row.withColumns({"realism": _realism_score(), "diversity": _diversity_score()})
     overall = sum((0.25 * F.col(n) for n in names), F.lit(0.0)) * 100
-    some = F.col("rows") > 0
-    warned = diversity_warnings(row.withColumnRenamed("rows", "conversations"))
-    row = warned.withColumnRenamed("conversations", "rows")
-    return row.select(
-        F.col("rows").cast("bigint").alias("conversations"), *names, overall.alias("overall"),
+    some = F.col("conversations") > 0
+    return diversity_warnings(row).select(
+        F.col("conversations").cast("bigint").alias("conversations"), *names, overall.alias("overall"),
         (F.col("gaps") + F.col("failed_issues") + (~some).cast("int")).cast("bigint").alias("issues"),
         (F.col("failed_warnings") + F.size("warnings") + (some & (F.col("reference_intents") == 0)).cast("int"))
         .cast("bigint").alias("warnings"))

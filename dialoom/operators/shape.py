@@ -15,24 +15,28 @@ from dialoom.functions.ordered import longest_runs
 from dialoom.functions.text import truthy
 from dialoom.schema import LABELS, conform
 
-# what the turn-level facts look like when a conversation has no turn at all
-_ZERO = {"n_turns": 0, "filled_speakers": 0, "filled_texts": 0, "text_chars": 0, "longest_run": 0}
-
-
 @dataclass(frozen=True)
 class Corpus:
-    """``facts``: one row per conversation. ``turns``: (conversation_id, turn_idx, speaker, text)."""
+    """The views operators read: each holds no more work than its columns need.
+
+    ``heads``: labels, one row per conversation. ``light``: labels and turn facts without the speaker
+    runs. ``facts``: all facts. ``turns``: (conversation_id, turn_idx, speaker, text).
+    """
 
     facts: DataFrame
     turns: DataFrame
+    heads: DataFrame
+    light: DataFrame
 
 
 def corpus_from_nested(df: DataFrame) -> Corpus:
-    return Corpus(facts_from_nested(df), turns_from_nested(df))
+    facts = facts_from_nested(df)
+    return Corpus(facts, turns_from_nested(df), conform(df).select(*LABELS), facts)
 
 
 def corpus_from_turns(heads: DataFrame, turns: DataFrame) -> Corpus:
-    return Corpus(facts_from_turns(heads, turns), turns)
+    return Corpus(facts_from_turns(heads, turns), turns, conform(heads).select(*LABELS),
+                  facts_from_turns(heads, turns, runs=False))
 
 
 def turns_from_nested(df: DataFrame) -> DataFrame:
@@ -82,8 +86,11 @@ def facts_from_nested(df: DataFrame) -> DataFrame:
     )
 
 
-def facts_from_turns(heads: DataFrame, turns: DataFrame) -> DataFrame:
-    """``heads`` holds the labels of each conversation, ``turns`` the long form."""
+def facts_from_turns(heads: DataFrame, turns: DataFrame, runs: bool = True) -> DataFrame:
+    """``heads`` holds the labels of each conversation, ``turns`` the long form.
+
+    Without ``runs`` the longest_run column, and the range exchange it needs, are left out.
+    """
     heads = conform(heads)
     first = F.min(F.struct("turn_idx", "speaker", "text"))
     asked = F.col("speaker") == "customer"
@@ -95,16 +102,17 @@ def facts_from_turns(heads: DataFrame, turns: DataFrame) -> DataFrame:
         first.alias("_first"),
         F.min(F.when(asked, F.struct("turn_idx", "text"))).alias("_asked"),
     )
-    runs = longest_runs(turns, F.col("conversation_id"), F.col("turn_idx"), F.col("speaker"))\
-        .select(F.col("key").alias("conversation_id"), F.col("longest").alias("longest_run"))
-    out = heads.select(*LABELS).join(sums, "conversation_id", "left").join(runs, "conversation_id", "left")
+    out = heads.select(*LABELS).join(sums, "conversation_id", "left")
+    if runs:
+        longest = longest_runs(turns, F.col("conversation_id"), F.col("turn_idx"), F.col("speaker"))
+        out = out.join(longest.select(F.col("key").alias("conversation_id"), F.col("longest").alias("longest_run")),
+                       "conversation_id", "left")
+    counts = ["n_turns", "filled_speakers", "filled_texts", "text_chars"] + (["longest_run"] if runs else [])
     return out.select(
         *LABELS,
         F.col("n_turns").isNotNull().alias("turns_given"),
-        *[F.coalesce(F.col(c), F.lit(_ZERO[c])).cast("bigint").alias(c)
-          for c in ("n_turns", "filled_speakers", "filled_texts", "text_chars")],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
         F.col("_first.speaker").alias("first_speaker"),
         F.col("_first.text").alias("first_text"),
         F.col("_asked.text").alias("first_customer_text"),
-        F.coalesce(F.col("longest_run"), F.lit(0)).cast("bigint").alias("longest_run"),
     )

@@ -151,7 +151,8 @@ def realism(spark, sf):
 @query("d8_realism_long", f"""WITH {LONG_FACTS} {REFERENCE_SQL}, {REALISM_SQL}
   SELECT round(realism, 6) AS realism FROM realm""")
 def realism_long(spark, sf):
-    return rounded(Q.realism(long_corpus(spark, sf).facts, reference_examples(spark, sf)).select("realism"))
+    corpus = long_corpus(spark, sf)
+    return rounded(Q.realism(corpus.light, reference_examples(spark, sf), corpus.heads).select("realism"))
 
 
 @query("d9_js_divergence_by_source", """WITH a AS (SELECT lang, count(*) * 1.0 / (SELECT count(*) FROM documents) AS q FROM documents GROUP BY 1),
@@ -170,7 +171,7 @@ def js_disjoint(spark, sf):
 @query("d10_reference_coverage", f"""WITH {NESTED_FACTS} {REFERENCE_SQL}, {JS_SQL}
   SELECT round(sum((in_ref AND in_mine)::INT) * 1.0 / sum(in_ref::INT), 6) AS intent_coverage, sum(in_ref::INT)::DOUBLE AS reference_intents FROM both_raw""")
 def reference_coverage(spark, sf):
-    return rounded(to_row([Q.reference_coverage(nested_facts(spark, sf), reference_examples(spark, sf))],
+    return rounded(to_row([Q.intent_match(nested(spark, sf), reference_examples(spark, sf))],
                           ["intent_coverage", "reference_intents"]))
 
 

@@ -109,7 +109,7 @@ def python_js(p, q):
 @pytest.mark.parametrize("p,q", [({"a": .5, "b": .5}, {"a": .5, "b": .5}), ({"a": 1.0}, {"b": 1.0}),
                                  ({"a": .2, "b": .3, "c": .5}, {"a": .7, "d": .3}), ({"a": .9, "b": .1}, {"a": .1, "b": .9})])
 def test_js_divergence(spark, p, q):
-    frame = lambda d: spark.createDataFrame(list(d.items()), "key STRING, share DOUBLE")
+    frame = lambda d: spark.createDataFrame([(k, round(v * 10)) for k, v in d.items()], "key STRING, n BIGINT")
     forward = js_divergence(frame(p), frame(q)).first()[0]
     assert abs(forward - python_js(p, q)) < 1e-9
     assert abs(forward - js_divergence(frame(q), frame(p)).first()[0]) < 1e-9 and 0 <= forward <= 1
