@@ -163,7 +163,9 @@ def detect(facts: DataFrame, sentiments: DataFrame | None = None) -> DataFrame:
     """
     rows = facts
     if sentiments is not None:
-        rows = facts.drop("sentiment").join(sentiments.select("conversation_id", "sentiment"), "conversation_id", "left")
+        # one row per conversation: copies of an id would pair each with each
+        read = sentiments.groupBy("conversation_id").agg(F.min("sentiment").alias("sentiment"))
+        rows = facts.drop("sentiment").join(read, "conversation_id", "left")
     en, es = _share("language", "en"), _share("language", "es")
     valid = F.when(F.col("intent").isin(INTENTS), F.col("intent"))
     base = rows.agg(

@@ -23,7 +23,9 @@ def autocorrelation(points: DataFrame, lag: int) -> DataFrame:
     """(series_id, lag, autocorrelation) from (series_id, idx, value) with dense positions.
 
     The shifted copy meets its partner by (series_id, idx), so a long series spreads over all tasks.
+    Copies of a point count once; a join of copies would pair each with each.
     """
+    points = points.groupBy("series_id", "idx").agg(F.min("value").alias("value"))
     later = points.select("series_id", (F.col("idx") - lag).alias("idx"), F.col("value").alias("later"))
     both = points.select("series_id", "idx", "value").join(later, ["series_id", "idx"])
     return both.groupBy("series_id").agg(F.corr("value", "later").alias("autocorrelation"))\

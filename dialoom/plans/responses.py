@@ -41,12 +41,15 @@ def parse_texts(results: DataFrame, parse=None) -> DataFrame:
 
 
 def _with_plan(parsed: DataFrame, plan: DataFrame | None, names: list[str]) -> DataFrame:
-    """Left join of the plan by record id; without a plan the planned values are NULL."""
+    """Left join of the plan by record id; without a plan the planned values are NULL.
+
+    The plan is cut to one row per record first: copies on both sides would pair each with each.
+    """
     if plan is None:
         return parsed.withColumns({f"plan_{n}": F.lit(None).cast("string") for n in names})
     key = "recordId" if "recordId" in plan.columns else "record_id"
-    side = plan.select(F.col(key).alias("record_id"), *[F.col(n).alias(f"plan_{n}") for n in names])
-    return parsed.join(side, "record_id", "left")
+    side = plan.groupBy(F.col(key).alias("record_id")).agg(F.min(F.struct(*names)).alias("_p"))
+    return parsed.join(side.select("record_id", *[F.col(f"_p.{n}").alias(f"plan_{n}") for n in names]), "record_id", "left")
 
 
 def extract(results: DataFrame, plan: DataFrame | None = None) -> DataFrame:
