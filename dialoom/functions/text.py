@@ -107,4 +107,5 @@ def fold_accents(c: Column) -> Column:
 
         return texts.map(one)
 
-    return fold(c)
+    # plain ASCII, most of the text, stays in the JVM: only NULLs are sent for it
+    return F.coalesce(fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)

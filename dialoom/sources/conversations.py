@@ -47,8 +47,10 @@ def read_conversations(spark: SparkSession, path: str, fmt: str = "json",
     """
     def read() -> DataFrame:
         if fmt == "json":
-            first = spark.read.text(path).filter(strip(F.col("value")) != "").limit(1).collect()
-            if first and not first[0]["value"].strip().startswith("["):
+            # the text up to the first comma is enough to see an array, however long the one line is
+            first = (spark.read.option("lineSep", ",").text(path).filter(strip(F.col("value")) != "")
+                     .limit(1).select(F.substring(strip(F.col("value")), 1, 1).alias("value")).collect())
+            if first and first[0]["value"] != "[":
                 return spark.createDataFrame([], schema)
             return spark.read.schema(schema).json(path, multiLine=True)
         if fmt == "jsonl":

@@ -321,3 +321,22 @@ def quality_summary(spark, sf):
     row = Q.estimate(nested_facts(spark, sf))
     long = row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
     return rounded(Q.quality_summary(long))
+
+
+@query("run_existing_dataset", f"""WITH {NESTED_FACTS} {REFERENCE_SQL}, {QUALITY_SQL}
+  SELECT n AS conversations, round((completeness + consistency + realism + diversity) * 25, 6) AS overall, round(overall_registered, 6) AS registered, 1::BIGINT AS runs
+  FROM (SELECT *, (completeness + consistency + realism + diversity) * 25 AS overall_registered FROM q)""")
+def run_existing_dataset(spark, sf):
+    """Quality, bias, training, registry and gate in one go; then what the registry knows."""
+    from dialoom.registry.tables import Registry
+    from dialoom.run import RunConfig, run_existing
+    from dialoom.session import shared_path
+    from dialoom.training.models import ModelConfig
+
+    registry = Registry(spark, shared_path(spark, "run"))
+    config = RunConfig(model_types=("logistic_regression",), model=ModelConfig(
+        max_features=200, ngram_range=(1, 1), model_params={"max_iter": 5}))
+    done = run_existing(nested(spark, sf).drop("k"), reference_examples(spark, sf), registry, "/data/x", config=config)
+    known = registry.current().select(F.col("id").alias("dataset_id"), F.col("quality_overall").alias("registered"))
+    runs = registry.runs().groupBy("dataset_id").agg(F.count("*").alias("runs"))
+    return rounded(done.join(known, "dataset_id").join(runs, "dataset_id").select("conversations", "overall", "registered", "runs"))
