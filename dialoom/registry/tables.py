@@ -123,7 +123,7 @@ class Registry:
         return self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
     def register_dataset(self, domain: str, rows: DataFrame | int, file_path: str, file_format: str = "json",
-                         model_used: str = "claude_35_sonnet", notes: str | None = None) -> str:
+                         model_used: str = "unknown", notes: str | None = None) -> str:
         """Appends a dataset; ``rows`` is its size or the dataset itself, which Spark then counts."""
         new = f"ds_{uuid.uuid4().hex[:12]}"
         size = rows if isinstance(rows, int) else rows.count()
