@@ -6,8 +6,8 @@ from dialoom.functions.text import words
 from dialoom.operators import bias as B
 from dialoom.operators.profile import profile
 from dialoom.taxonomy import taxonomy
-from suite.base import (LONG_SQL, NESTED_SQL, TAX_SQL, WORD_SQL, long_heads, long_turns, nested, nested_facts, query,
-                        rounded, table)
+from suite.base import (LONG_SQL, NESTED_SQL, TAX_SQL, WORD_SQL, long_heads, long_turns, nested, query, rounded,
+                        table)
 
 _OPEN = NESTED_SQL
 

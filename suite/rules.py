@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from dialoom.operators import repair, rules as R, select as S
 from dialoom.taxonomy import intents_of, taxonomy, with_category
-from suite.base import (LONG_FACTS, LONG_SQL, NESTED_FACTS, NESTED_SQL, ROWS, TAX_SQL, long_corpus, long_heads, nested, nested_facts,
-                        query, rounded, table)
+from suite.base import LONG_SQL, NESTED_FACTS, ROWS, long_heads, nested, nested_facts, query, table
 
 TRIM = "trim(text, chr(9) || chr(10) || chr(13) || ' ')"
 SPEAK = "coalesce(speaker IN ('customer', 'agent'), false)"
