@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,9 +26,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "di
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Where that is unset, a session on this machine alone (``local`` master) gets a temporary folder; on a cluster, whose
+    executors would each write to their own disk, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="dialoom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/dialoom/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="dialoom-")
