@@ -1,14 +1,19 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on whole shingle sets, components.
 
 Documents with equal shingle sets form a class at once, so copies cost one row each and are never paired. Bands of the
-class signatures give candidate pairs, in two rounds without pairs inside a group that is already connected:
-every class of a bucket against the bucket's smallest and largest class; then, only in buckets that still hold several
-components, the classes of different components against each other. The second round makes the first one exact: no
-candidate pair of different components stays unchecked.
+class signatures give buckets, which are worked off in two rounds:
+
+1. Every class of a bucket is verified against two pivots, the class with the most rows and the one with the smallest id: a
+   number of pairs that grows with the bucket, not with its square. The links give components.
+2. Buckets that still hold several components are searched for further pairs. Only classes outside of the bucket's largest
+   component are compared, only with classes of other components, and by whole signatures inside a task; a pair comes out
+   if the signatures allow for the threshold within five standard deviations, and is then verified on its sets.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from dialoom.llm.common import bit_filter, mix, pieces, shingle_sets, stored
 from dialoom.llm.components import connected_components
 
-BANDS, ROWS, WORDS = 32, 3, 5
+BANDS, ROWS, WORDS = 45, 5, 5
+BLOCK = 2048        # classes of a bucket that one task compares
 
 
 def super_minhash(elements: np.ndarray, starts: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
@@ -42,7 +48,7 @@ def super_minhash(elements: np.ndarray, starts: np.ndarray, size: int, seed: int
         else:
             rows = np.arange(len(owner))
             if order is None:
-                order = np.tile(np.arange(size, dtype=np.int16), (len(owner), 1))
+                order = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.int32), (len(owner), 1))
                 order[rows, first] = 0
             at = order[rows, k].astype(np.int64)
             order[rows, k] = order[:, j]
@@ -99,12 +105,56 @@ def _sets(wanted, words: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).filter(
         F.expr(f"100L * both >= {percent}L * (size(sa) + size(sb) - both)")).select("a", "b")
 
 
+def _short_signatures(size: int):
+    """(cid, sig): one byte of each signature position."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = part.column(1)
+                starts = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+                sig = mix(super_minhash(sets.flatten().to_numpy().view(np.uint64), starts, size).view(np.uint64)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], names=["cid", "sig"])
+    return run
+
+
+def _cross(percent: int, size: int):
+    """Rows (band, ms, vs, role, cid, n, part, main, sig) sorted by the first four: one pass, a block of a bucket at a time.
+
+    Role 0 are all classes of a cut, role 1 those outside of the bucket's main component. Gives the pairs (a, b) of
+    different components that may reach the threshold.
+    """
+    p = percent / 100
+    least = int(size * p - 5 * (size * p * (1 - p)) ** 0.5)
+
+    def pairs(rows):
+        kind, cid, n, part = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+        every, rest = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        outside = part[every] != rows[0][7]
+        for x in rest:
+            fit = (part[every] != part[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))
+            fit &= ~outside | (cid[every] < cid[x])          # both outside: once
+            at = every[fit]
+            at = at[(sig[at] == sig[x]).sum(1) >= least]
+            yield np.minimum(cid[at], cid[x]), np.maximum(cid[at], cid[x])
+
+    def run(batches):
+        flat = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, rows in groupby(flat, key=lambda r: r[:3]):
+            found = list(pairs(list(rows)))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``, other columns are not looked at.
@@ -113,56 +163,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle. Null, empty and white-space texts have an empty set and are linked with nothing. Rows of one component
     get its smallest id. Null ids count as larger than all others: a component of such rows only has a null id, which is
     kept. Repeated rows are each returned; of rows with one id all that belong to the component's smallest id are kept.
-    With the defaults a pair at 75 percent shares a band with probability 1 - (1 - 0.75^3)^32 > 0.99999997.
+    With the defaults a pair at 75 percent shares a band with probability 1 - (1 - 0.75^5)^45 > 0.99999.
     An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(source.mapInArrow(_signed(bands, rows, words), f"id {kind}, n bigint, digest binary, bands array<bigint>"), "minhash-signed")
-    classes = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"), F.min("bands").alias("bands"))
-    members = classes.select(F.explode("bands").alias("band"), "digest", "n", "first")
-    buckets = members.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
-    members = stored(members.join(buckets, "band"), "minhash-members")
-
-    wanted = members.select("digest", "first").distinct()
-    key = F.coalesce(F.xxhash64("id"), F.lit(0))
+    classes = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # the numbers are written with the rows, so a repeated task cannot change them later
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
+    members = classes.select(F.explode("bands").alias("band"), "cid")
+    shared = members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    facts = classes.select("cid", "n", "first", "copies")
+    members = stored(members.join(shared, "band").join(facts, "cid").select("band", "cid", "c", "n", "first", "copies"), "minhash-members")
+
+    wanted = members.select("cid").distinct().join(classes.select("cid", "digest", "first"), "cid")
     close = bit_filter(wanted.select(F.xxhash64(F.col("first").alias("id")).alias("k")).distinct(), "k")
-    sets = source.select(key.alias("k"), "text").mapInArrow(_sets(close, words), "digest binary, shingles array<bigint>")
-    sets = sets.join(members.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = stored(sets, "minhash-sets")
-
-    size_ok = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
-    ends = members.select("digest", "n", F.explode(F.array("low", "high")).alias("other")).filter("digest <> other")
-    star = ends.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+    sets = source.select(F.xxhash64("id").alias("k"), "text").mapInArrow(_sets(close, words), "digest binary, shingles array<bigint>")
+    sets = stored(sets.join(wanted.select("digest", "cid"), "digest").dropDuplicates(["cid"]).select("cid", "shingles"), "minhash-sets")
+
+    pivots = members.groupBy("band").agg(F.min_by("cid", F.struct("first", "cid")).alias("low"), F.max_by("cid", F.struct("copies", "cid")).alias("high"))
+    sizes = facts.select(F.col("cid").alias("other"), F.col("n").alias("m"))
+    ends = members.join(pivots, "band").select("cid", "n", F.explode(F.array("low", "high")).alias("other")).filter("cid <> other").distinct()
+    ends = ends.join(sizes, "other").filter(F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)"))
+    star = ends.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
     first = stored(_links(star, sets, percent), "minhash-links")
     parts = stored(connected_components(first), "minhash-parts")
-    held = members.select("band", "digest", "n").join(parts.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "band", "digest", "n", F.coalesce("component", "digest").alias("part"))
-    counts = held.groupBy("band", "part").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("band").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-    held = stored(held.join(mixed.select("band", "main"), "band"), "minhash-held")
-    rest = held.filter("part <> main").select("band", F.col("digest").alias("x"), F.col("n").alias("na"), F.col("part").alias("px"))
-    other = held.select("band", F.col("digest").alias("y"), F.col("n").alias("nb"), F.col("part").alias("py"))
-    cross = rest.join(other, "band").filter(F.expr(f"px <> py AND {size_ok}")).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
+
+    # a bucket of two classes is done: both are its pivots, or one pivot and the other class
+    held = members.filter("c > 2").select("band", "cid", "c", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "band", "cid", "c", "n", F.coalesce("component", "cid").alias("part"))
+    counts = held.groupBy("band", "part").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    held = held.join(mixed.select("band", F.col("main.part").alias("main")), "band")
+    short = sets.mapInArrow(_short_signatures(bands * rows), "cid bigint, sig binary")
+    held = held.join(short, "cid").withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int"))
+    own, all_ = F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    columns = ["cid", "n", "part", "main", "sig"]
+    blocks = held.select("band", own.alias("ms"), all_.alias("vs"), F.lit(0).alias("role"), *columns).union(
+        held.filter("part <> main").select("band", all_.alias("ms"), own.alias("vs"), F.lit(1).alias("role"), *columns))
+    blocks = blocks.repartition("band", "ms", "vs").sortWithinPartitions("band", "ms", "vs", "role", "cid")
+    cross = blocks.mapInArrow(_cross(percent, bands * rows), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
     second = _links(cross, sets, percent)
     # a component of the first round is one node of the second
-    named = parts.select(F.col("node"), "component")
-    lifted = second.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-        named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-    joined = connected_components(lifted)
-    final = parts.select("node", "component").unionByName(
-        joined.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))).join(
-        joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(
-        "node", F.coalesce("top", "component").alias("top"))
-    firsts = signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
-    known = firsts.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("top", "digest").alias("top"), "first")
-    tops = known.groupBy("top").agg(F.min("first").alias("component"))
-    known = known.join(tops, "top").select("digest", "component")
+    lifted = second.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
+        parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    known = classes.select("digest", "cid", "first").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+        "component", F.coalesce("component", "cid")).join(joined, "component", "left").select("digest", "first", F.coalesce("joined", "component").alias("top"))
+    tops = known.groupBy("top").agg(F.min("first").alias("component_id"))
+    known = known.join(tops, "top").select("digest", "component_id")
     out = signed.select("id", "n", "digest").join(known, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.llm import bpe, decontaminate, langid, lines, minhash, quality, shards
+from dialoom.llm import bpe, decontaminate, embeddings, langid, licenses, lines, minhash, quality, shards, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +30,20 @@ def remainder(column: str, by: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
 
 
-@query()
+_MINHASH_SQL = r"""WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM cut),
+flat AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT doc_id, any_value(len(s)) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM sets JOIN reach ON doc_id = a GROUP BY doc_id"""
+
+
+@query(_MINHASH_SQL)
 def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +53,19 @@ def op2_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=remainder("id", 5) == 0)
 
 
+_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(n), 0) AS n_links, min(b) AS component_id, v.vec_id = min(b) AS kept
+FROM v JOIN reach r ON v.vec_id = r.a LEFT JOIN counts c ON c.a = v.vec_id GROUP BY v.vec_id"""
+
+
+@query(_VECTORS_SQL)
+def op3_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 # white space at both ends and letter case as in the operator; chr(11) to chr(13) have no escape there
 _LINES_SQL = r"""WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM cut),
@@ -57,6 +83,21 @@ def op4_lines(spark, sf_dir):
     return lines.line_digests(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
 
+_NOTICES_SQL = "VALUES " + ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licenses.NOTICES.items())
+_LICENSES_SQL = f"""WITH texts AS (SELECT doc_id, NULL AS name, text FROM documents
+  UNION ALL SELECT NULL, col0, col1 FROM ({_NOTICES_SQL})),
+cut AS (SELECT doc_id, name, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM texts),
+runs AS (SELECT doc_id, name, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM cut),
+sizes AS (SELECT name, count(*) AS n FROM runs WHERE name IS NOT NULL GROUP BY name),
+hits AS (SELECT d.doc_id, t.name, count(*) AS m FROM runs d JOIN runs t ON d.s = t.s AND d.name IS NULL AND t.name IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, name AS license, CAST(n AS INT) AS n_shingles, CAST(m AS INT) AS n_matched FROM hits JOIN sizes USING (name) WHERE m >= 0.75 * n"""
+
+
+@query(_LICENSES_SQL)
+def op5_licenses(spark, sf_dir):
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +111,24 @@ def op7_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# every window as a list of words; the smallest document that holds it decides
+_SUBSTRINGS_SQL = r"""WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM cut WHERE len(w) >= 50),
+runs AS (SELECT s.doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM starts s JOIN cut USING (doc_id)),
+firsts AS (SELECT h, min(doc_id) AS first FROM runs GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM runs JOIN firsts USING (h) WHERE doc_id > first),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut),
+kept AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY p.i) AS text
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT c.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k USING (doc_id)"""
+
+
+@query(_SUBSTRINGS_SQL)
+def op8_substrings(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), size=50, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 @query()
 def op9_decontamination(spark, sf_dir):
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
