@@ -82,7 +82,9 @@ def license_notices(docs: DataFrame, notices: dict[str, str] | None = None, id_c
     templates, every = _templates(docs.sparkSession, NOTICES if notices is None else notices)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     rows = rows.select("id", shingles(F.col("w")).alias("h"))
-    rows = rows.select("id", "h", F.array_intersect(bands(F.col("h"), STEP), every).alias("hits")).filter(F.size("hits") > 0)
+    # one row in, one row out: behind the generator the keys are a column, which the optimiser does not put into the lambdas again
+    once = F.explode(F.array(F.struct("h", F.array_intersect(bands(F.col("h"), STEP), every).alias("hits")))).alias("s")
+    rows = rows.select("id", once).select("id", "s.h", "s.hits").filter(F.size("hits") > 0)
     retrieved = F.filter(templates, lambda t: F.arrays_overlap(t["bands"], F.col("hits")))
     checked = F.transform(retrieved, lambda t: F.struct(t["name"].alias("license"), F.size(t["shingles"]).alias("n_shingles"),
                                                         F.size(F.array_intersect(t["shingles"], F.col("h"))).alias("n_matched")))
