@@ -29,7 +29,7 @@ def salted_lookup(rows: DataFrame, dim: DataFrame, key: str, salts: int = 64) ->
     if fits(dim):
         return rows.join(F.broadcast(dim), key, "inner")
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return salted.join(spread, [key, "_salt"], "inner").drop("_salt")
 
 

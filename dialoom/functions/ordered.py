@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _sorted_ranges(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
-    """Range-partitioned and sorted by ``by``; the row id splits copies of one key as well."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    keys = [*by, "_row"]
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return ranged.sortWithinPartitions(*keys).drop("_row")
+    """Range-partitioned and sorted by ``by``: columns of the data, so a repeated task sends every row where it went before."""
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by)
 
 
 _SEGMENT = ("key STRING, part INT, n BIGINT, head STRING, head_len BIGINT, "
@@ -179,12 +177,13 @@ def crossing_ngrams(units: DataFrame, order: list[str], tokens: str, ns: tuple[i
     after = F.greatest(F.lit(reach), size - reach)
     first = F.transform(F.slice(tokens, 1, reach), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     last = F.transform(F.slice(tokens, after + 1, reach), lambda w, i: F.struct((after + i).alias("pos"), w.alias("word")))
-    outer = (units.withColumn("_unit", F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order],
-                                              F.monotonically_increasing_id().cast("string")))
-             .select(*order, F.col("_unit").alias("unit"), F.inline(F.concat(first, last))))
-    # Range bounds come from a sample, a pass of its own over its input. This exchange of the few outer
-    # words keeps that pass, and the shuffle after it, from tokenising the whole text again.
-    outer = outer.repartition("unit")
+    # Copies of one unit are counted and numbered, so the key of a unit is made of data only. Range bounds come from a sample, a
+    # pass of its own over its input: the exchange of the few outer words keeps it from tokenising the whole text again.
+    outer = units.select(*order, F.xxhash64(tokens).alias("_hash"), F.concat(first, last).alias("_outer")).groupBy(
+        *order, "_hash", "_outer").agg(F.count("*").alias("_copies"))
+    numbered = outer.select(*order, "_hash", "_outer", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    unit = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in [*order, "_hash", "_copy"]])
+    outer = numbered.select(*order, unit.alias("unit"), F.inline("_outer"))
     ranged = _sorted_ranges(outer, [*order, "unit", "pos"], partitions).select("unit", "word")
     pieces = ranged.mapInPandas(_gram_pieces(ns), _PIECE)
     merged = pieces.groupBy("n", "gram").agg(

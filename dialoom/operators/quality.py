@@ -184,7 +184,7 @@ def intent_match(heads: DataFrame, reference: DataFrame) -> DataFrame:
 def category_coverage(heads: DataFrame) -> DataFrame:
     """categories (unknown counts as one) and their number over the taxonomy's, before any clamp."""
     intents = heads.groupBy("intent").agg(F.count("*").alias("n"))
-    mapped = with_category(intents, taxonomy(heads.sparkSession), default="unknown")
+    mapped = with_category(intents, default="unknown")
     n = F.countDistinct("mapped_category")
     return metric(mapped, categories=n, category_coverage=n / len(CATEGORIES))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.schema import conform
-from dialoom.taxonomy import taxonomy, with_category
+from dialoom.taxonomy import with_category
 
 # What a missing label is inferred from.
 ARC_OF_SENTIMENT = {"positive": "stable_positive", "negative": "frustrated_to_satisfied"}
@@ -30,7 +30,7 @@ def fill_gaps(df: DataFrame, expected: dict[str, Column] | None = None) -> DataF
     rows = conform(df)
     plan = {n: F.coalesce(given.get(n, F.lit(None).cast("string")), F.lit(d)) for n, d in DEFAULTS.items()}
     rows = rows.withColumns({f"_{n}": c for n, c in plan.items()})
-    rows = with_category(rows, taxonomy(df.sparkSession), name="_category", default="general", key="_intent")
+    rows = with_category(rows, "_category", "general", "_intent")
     out = rows.withColumns({
         "intent": F.coalesce("intent", "_intent"),
         "category": F.coalesce("category", "_category"),

@@ -1,4 +1,4 @@
-"""Prompt texts as column expressions. The wording is a parameter; the default is our own."""
+"""Prompt texts as column expressions. The wording is a parameter; rules and arc descriptions come from the caller only."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoom.functions.dims import bounded_broadcast
 from dialoom.plans.quota import draw_parameters
-from dialoom.taxonomy import INTENTS, taxonomy, with_category
+from dialoom.taxonomy import INTENTS, with_category
 
 # Turn ranges, and label names per language.
 TURN_RANGES = {"simple": "2-4", "medium": "4-6", "complex": "6-10"}
@@ -29,10 +29,7 @@ class Wording:
 
     opening: str = "Write one support conversation between a customer of a mobile bank and an agent."
     batch_opening: str = "support conversations between customers of a mobile bank and agents."
-    requirements: tuple[str, ...] = (
-        "Friendly, informal tone", "Concrete amounts, dates and situations", "Customers sound like real people",
-        "The agent answers the feeling before the problem", "Keep to the labels above",
-    )
+    requirements: tuple[str, ...] = ()      # rules of the caller; the language of the answer is always the last one
     closing: str = "Answer with this JSON object and nothing else:"
     batch_closing: str = "Answer with a JSON array of such objects and nothing else:"
     examples: str = "Examples:"
@@ -41,12 +38,7 @@ class Wording:
         "en": "You write realistic support conversations for a mobile bank. Output JSON only.",
         "es": "Escribes conversaciones de soporte realistas para un banco móvil. Devuelve solo JSON.",
     })
-    arcs: dict[str, str] = field(default_factory=lambda: {
-        "stable_positive": "content from start to end", "stable_neutral": "matter-of-fact from start to end",
-        "frustrated_to_satisfied": "upset at first, content at the end",
-        "frustrated_to_neutral": "upset at first, calm at the end",
-        "neutral_to_frustrated": "calm at first, upset at the end", "stable_frustrated": "upset from start to end",
-    })
+    arcs: dict[str, str] = field(default_factory=dict)      # what the caller says about an emotion arc, by its name
 
 
 DEFAULT = Wording()
@@ -71,7 +63,9 @@ def prompt(words: Wording = DEFAULT) -> Column:
     c = F.col
     lang = c("language")
     category = F.coalesce("category", F.lit("general"))
-    arc = F.coalesce(_text("\nEmotion arc: ", c("emotion_arc"), " - ", _pick(words.arcs, c("emotion_arc"), "")), F.lit(""))
+    told = F.coalesce(_text(" - ", F.element_at(F.create_map(*[F.lit(x) for kv in words.arcs.items() for x in kv]), c("emotion_arc"))),
+                      F.lit("")) if words.arcs else F.lit("")
+    arc = F.coalesce(_text("\nEmotion arc: ", c("emotion_arc"), told), F.lit(""))
     context = F.coalesce(_text("\nAdditional context: ", c("context")), F.lit(""))
     rules = "".join(f"\n{i}. {r}" for i, r in enumerate(words.requirements, 1))
     tongue = _text(f"\n{len(words.requirements) + 1}. Write in ", _pick(LANGUAGE_NAMES, lang, LANGUAGE_DEFAULT))
@@ -94,7 +88,7 @@ def with_prompt(plan: DataFrame, words: Wording = DEFAULT) -> DataFrame:
     """Adds ``prompt``; missing category, emotion_arc or context columns are added as needed."""
     rows = plan
     if "category" not in rows.columns:
-        rows = with_category(rows, taxonomy(plan.sparkSession), name="category")
+        rows = with_category(rows, "category")
     for name in ("emotion_arc", "context"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))

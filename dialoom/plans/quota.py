@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoom.functions.dims import uniform, weighted_choice
+from dialoom.functions.text import let
 from dialoom.taxonomy import INTENTS, taxonomy
 
 # Shares in percent for a plan, and weights for independent draws.
@@ -33,13 +31,30 @@ def quotas(total: int, percent: dict[str, float]) -> dict[str, int]:
 
 
 def shuffled(total: int, seed: int) -> Column:
-    """A seeded one-to-one mapping of ``id`` in 0..total-1 onto itself, as plain arithmetic."""
-    rng = random.Random(seed)
-    top = max(2, min(total, (1 << 62) // max(total, 1)))       # the product stays within a BIGINT
-    step = rng.randrange(1, top)
-    while math.gcd(step, total) != 1:
-        step = step + 1 if step + 1 < top else 1
-    return (F.col("id") * F.lit(step) + F.lit(rng.randrange(total))) % F.lit(total)
+    """A seeded one-to-one mapping of ``id`` in 0..total-1 onto itself: keyed Feistel rounds over the next power of two.
+
+    A number that lands on ``total`` or above goes through the rounds again until it is below. Each time this has
+    a chance of less than one half, so 128 repetitions are enough for any row of any plan. It mixes alike at every size.
+    """
+    bits = max(2, (total - 1).bit_length())
+    high, low = bits - bits // 2, bits // 2
+
+    def rounds(x: Column, r: int = 0) -> Column:
+        if r == 6:
+            return x
+
+        def turn(v: Column) -> Column:
+            left, right = F.shiftright(v, low), v.bitwiseAND(F.lit((1 << low) - 1))
+            if r % 2 == 0:
+                left = left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(r), right).bitwiseAND(F.lit((1 << high) - 1)))
+            else:
+                right = right.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(r), left).bitwiseAND(F.lit((1 << low) - 1)))
+            return rounds(F.shiftleft(left, low).bitwiseOR(right), r + 1)
+
+        return let(x, turn)
+
+    return let(rounds(F.col("id")), lambda y: F.when(y < total, y).otherwise(F.aggregate(
+        F.sequence(F.lit(1), F.lit(128)), y, lambda a, _: F.when(a < total, a).otherwise(rounds(a)))))
 
 
 def by_quota(position: Column, counts: dict[str, int]) -> Column:

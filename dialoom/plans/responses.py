@@ -60,17 +60,17 @@ def extract(results: DataFrame, plan: DataFrame | None = None) -> DataFrame:
         for n in [*LABELS, "turns"]])
 
 
-def extract_errors(results: DataFrame) -> DataFrame:
-    """(record_id, error, text_preview) of the texts that did not parse."""
+def extract_errors(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(record_id, error, text_preview) of the texts that did not parse, with the columns ``keep`` of ``results``."""
     return parse_texts(results).filter(F.col("failure").isNotNull()).select(
-        "record_id", F.col("failure").alias("error"), F.substring("generated_text", 1, 200).alias("text_preview"))
+        "record_id", F.col("failure").alias("error"), F.substring("generated_text", 1, 200).alias("text_preview"), *keep)
 
 
 def process(results: DataFrame, plan: DataFrame | None = None, model: str = "model",
-            generated_at: Column | None = None, parse=None) -> DataFrame:
-    """Conversations whose planned labels only *fill gaps*, with a unique id and their provenance."""
+            generated_at: Column | None = None, parse=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Conversations whose planned labels only *fill gaps*, with a unique id, their provenance and the columns ``keep``."""
     rows = _with_plan(parse_texts(results, parse).filter(F.col("record").isNotNull()), plan, PLAN)
-    flat = rows.select("record_id", *[F.col(f"plan_{n}") for n in PLAN],
+    flat = rows.select("record_id", *keep, *[F.col(f"plan_{n}") for n in PLAN],
                        *[F.col(f"record.{n}").alias(n) for n in [*LABELS, "turns"]])
     fixed = fill_gaps(flat, {n: F.col(f"plan_{n}") for n in PLAN})
     at = generated_at if generated_at is not None else F.current_timestamp()
@@ -80,7 +80,7 @@ def process(results: DataFrame, plan: DataFrame | None = None, model: str = "mod
         F.lit("record_id"), F.col("record_id"))
     return fixed.select(
         "record_id", unique_id(F.col("conversation_id"), F.coalesce("record_id", F.to_json("turns")))
-        .alias("conversation_id"), *[n for n in LABELS if n != "conversation_id"], "turns", provenance.alias("metadata"))
+        .alias("conversation_id"), *[n for n in LABELS if n != "conversation_id"], "turns", provenance.alias("metadata"), *keep)
 
 
 def error_summary(errors: DataFrame) -> DataFrame:

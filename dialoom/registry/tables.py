@@ -30,16 +30,17 @@ def latest(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.groupBy(key).agg(newest.alias("_e")).select(key, *[f"_e.{c}" for c in (at, *rest)])
 
 
-def live(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
-    """Rows whose dataset has no tombstone."""
-    return rows.join(deleted.select(F.col("dataset_id").alias(key)), key, "left_anti")
+def live(rows: DataFrame, deleted: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows that are newer than the last tombstone of their dataset, by the time ``at``."""
+    gone = deleted.groupBy(F.col("dataset_id").alias(key)).agg(F.max("deleted_at").alias("_gone"))
+    return rows.join(gone, key, "left").filter(F.col("_gone").isNull() | (F.col(at) > F.col("_gone"))).drop("_gone")
 
 
 def current_datasets(datasets: DataFrame, quality: DataFrame, bias: DataFrame, deleted: DataFrame) -> DataFrame:
     """Datasets with their newest quality and bias values; NULL where there are none."""
-    q = latest(quality, "dataset_id", "updated_at").withColumnRenamed("dataset_id", "id")
-    b = latest(bias, "dataset_id", "updated_at").withColumnRenamed("dataset_id", "id").drop("updated_at")
-    out = live(datasets, deleted, "id").join(q, "id", "left").join(b, "id", "left")
+    q = latest(live(quality, deleted, "dataset_id", "updated_at"), "dataset_id", "updated_at").withColumnRenamed("dataset_id", "id")
+    b = latest(live(bias, deleted, "dataset_id", "updated_at"), "dataset_id", "updated_at").withColumnRenamed("dataset_id", "id").drop("updated_at")
+    out = latest(live(datasets, deleted, "id", "created_at"), "id", "created_at").join(q, "id", "left").join(b, "id", "left")
     return out.select(
         "id", "domain", "size", "generation_date", "model_used", "file_path", "file_format", "notes", "created_at",
         F.col("overall").alias("quality_score"), F.coalesce("bias_detected", F.lit(False)).alias("bias_detected"),
@@ -166,7 +167,7 @@ class Registry:
         return current_datasets(*[self.table(n) for n in ("datasets", "quality", "bias", "deleted")])
 
     def runs(self) -> DataFrame:
-        return live(self.table("runs"), self.table("deleted"), "dataset_id")
+        return live(self.table("runs"), self.table("deleted"), "dataset_id", "trained_at")
 
     def get(self, dataset_id: str) -> DataFrame:
         """The dataset as one row, or no row. The filter reaches every event table before its aggregate."""

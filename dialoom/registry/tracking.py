@@ -21,7 +21,7 @@ def metric_name(name: Column, step: Column) -> Column:
 def experiments(events: DataFrame) -> DataFrame:
     """(exp_id, name, status, started_at, completed_at): running until an end event arrives."""
     def newest(kind: str, c: str) -> Column:
-        return F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.col("at")))
+        return F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.struct("at", c)))
 
     return events.groupBy("exp_id").agg(
         newest("start", "value").alias("name"),

@@ -39,20 +39,35 @@ def _or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
         raise
 
 
+def json_roots(spark: SparkSession, path: str) -> DataFrame:
+    """(file, root): the first character of every file that is not blank.
+
+    The text up to the first comma is enough to see it, however long the one line is; only the first block of a file counts.
+    """
+    pieces = spark.read.option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), strip(F.col("value")).alias("value"),
+        F.monotonically_increasing_id().alias("at")).filter("block = 0 AND value <> ''")
+    # numbers of one scan task rise with the place in the file, and one task reads a block
+    return pieces.groupBy("file").agg(F.min_by(F.substring("value", 1, 1), "at").alias("root"))
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, root) of the JSON files whose root is no array."""
+    return json_roots(spark, path).filter("root <> '['")
+
+
 def read_conversations(spark: SparkSession, path: str, fmt: str = "json",
                        schema: T.StructType = CONVERSATION) -> DataFrame:
-    """Conversations from ``path``; a missing path, or a JSON file that is no array, gives no rows.
+    """Conversations from ``path``; a missing path gives no rows.
 
-    A JSON array is one task per file. Land large ones once with ``write_conversations(..., "parquet")``.
+    A JSON file is one array and one task; files that are none are left out one by one, and ``rejected_files`` lists them.
+    Land large ones once with ``write_conversations(..., "parquet")``.
     """
     def read() -> DataFrame:
         if fmt == "json":
-            # the text up to the first comma is enough to see an array, however long the one line is
-            first = (spark.read.option("lineSep", ",").text(path).filter(strip(F.col("value")) != "")
-                     .limit(1).select(F.substring(strip(F.col("value")), 1, 1).alias("value")).collect())
-            if first and first[0]["value"] != "[":
-                return spark.createDataFrame([], schema)
-            return spark.read.schema(schema).json(path, multiLine=True)
+            # file names, like those of Spark's own file index
+            arrays = [r["file"] for r in json_roots(spark, path).filter("root = '['").select("file").collect()]
+            return spark.read.schema(schema).json(arrays, multiLine=True) if arrays else spark.createDataFrame([], schema)
         if fmt == "jsonl":
             return spark.read.schema(schema).json(path)
         if fmt == "parquet":

@@ -41,10 +41,10 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(record_id, generated_text, error, raw_line, ...): one row per line that is not blank.
+    """(record_id, generated_text, error, raw_line, line_hash, ...): one row per line that is not blank.
 
-    A line that is no JSON object is an error with its first 200 characters. An ``error`` member wins
-    over any output.
+    A line that is no JSON object is an error with its first 200 characters; ``line_hash`` is made of the whole line. An
+    ``error`` member wins over any output.
     """
     rest = [c for c in lines.columns if c != "value"]
 
@@ -59,7 +59,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                       F.coalesce(F.get(content, F.lit(0))["text"], F.lit("")))
         error = F.when(text.isNull(), F.lit(PARSE_ERROR)).when(truthy(r["error"]), r["error"])
         return F.struct(r["recordId"].alias("record_id"), said.alias("generated_text"), error.alias("error"),
-                        F.when(text.isNull(), F.substring(line, 1, 200)).alias("raw_line"))
+                        F.when(text.isNull(), F.substring(line, 1, 200)).alias("raw_line"), F.sha2(line, 256).alias("line_hash"))
 
     # inline: each line is parsed once, and later filters stay above the parsing
     return (lines.filter(strip(F.col("value")) != "")
@@ -67,7 +67,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def results(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("error").isNull()).drop("error", "raw_line")
+    return parsed.filter(F.col("error").isNull()).drop("error", "raw_line", "line_hash")
 
 
 def errors(parsed: DataFrame) -> DataFrame:

@@ -7,40 +7,46 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dialoom.plans.responses import process
+from dialoom.functions.text import truthy
+from dialoom.plans.responses import extract_errors, process
 from dialoom.sources.exchange import parse_lines
 
+PLACE = ("key", "file", "arrived")
+NO_TEXT = "no text in the response"
 
-def response_stream(spark: SparkSession, folder: str, delay: str = "1 day", max_files: int | None = None) -> DataFrame:
-    """Parsed response lines of every new file below ``folder``, each record once.
 
-    The state holds the record ids of the last ``delay`` of file time, not of all history; across runs
-    the checkpoint keeps a file from being read twice.
+def response_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Every parsed response line of every new file below ``folder``; the checkpoint keeps a file from being read twice.
+
+    No line is dropped here: files may be old, and ids may come again. ``key`` is the record id, or the file and a
+    hash of the whole line where there is none.
     """
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.text(folder).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("arrived"))
-    # a line without a record id is an error of its own: its file and text identify it
-    parsed = parse_lines(lines).withColumn("_key", F.coalesce("record_id", F.concat_ws("\x1f", "file", "raw_line")))
-    return parsed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return parse_lines(lines).withColumn("key", F.coalesce("record_id", F.concat_ws("\x1f", "file", "line_hash")))
 
 
 def ingest(stream: DataFrame, sink: str, checkpoint: str, plan: DataFrame | None = None, model: str = "model",
            available_now: bool = True) -> StreamingQuery:
-    """Appends repaired conversations to ``sink``/conversations and failures to ``sink``/errors.
+    """Appends repaired conversations to ``sink``/conversations and all failures to ``sink``/errors.
 
-    Both come from one pass over the micro-batch; the batch number names the folder, so a replayed
-    batch overwrites its own output instead of adding to it.
+    Failures are error lines, broken lines, and good lines whose text holds no conversation. Both tables come from one pass over the
+    micro-batch; the batch number names the folder, so a replayed batch overwrites its own output instead of adding to it.
+    ``conversations`` and ``errors`` are the views that decide between several lines of one record.
     """
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
         try:
-            good = rows.filter(F.col("error").isNull()).drop("error", "raw_line", "file", "arrived")
-            process(good, plan, model).write.mode("overwrite").parquet(f"{sink}/conversations/batch={number}")
-            rows.filter(F.col("error").isNotNull()).select("record_id", "error", "raw_line", "file")\
-                .write.mode("overwrite").parquet(f"{sink}/errors/batch={number}")
+            good = rows.filter(F.col("error").isNull()).drop("error", "raw_line", "line_hash")
+            process(good, plan, model, keep=PLACE).write.mode("overwrite").parquet(f"{sink}/conversations/batch={number}")
+            unread = extract_errors(good, PLACE).withColumnRenamed("text_preview", "raw_line")
+            empty = good.filter(~truthy(F.col("generated_text"))).select(
+                "record_id", F.lit(NO_TEXT).alias("error"), F.lit(None).cast("string").alias("raw_line"), *PLACE)
+            failed = rows.filter(F.col("error").isNotNull()).select("record_id", "error", "raw_line", *PLACE)
+            failed.unionByName(unread).unionByName(empty).write.mode("overwrite").parquet(f"{sink}/errors/batch={number}")
         finally:
             rows.unpersist()
 
@@ -50,6 +56,23 @@ def ingest(stream: DataFrame, sink: str, checkpoint: str, plan: DataFrame | None
     return writer.start()
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """One row per key: the one that arrived last, by file name and content among equals."""
+    order = F.struct("arrived", "file", F.xxhash64(*[c for c in rows.columns if not c.startswith("metadata")]))
+    return rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+
+
+def conversations(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest good answer of every record: an error never replaces one, whatever came first."""
+    return _newest(spark.read.parquet(f"{sink}/conversations"))
+
+
+def errors(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest failure of every record that has no good answer; every broken line without a record id."""
+    answered = spark.read.parquet(f"{sink}/conversations").select("key").distinct()
+    return _newest(spark.read.parquet(f"{sink}/errors").join(answered, "key", "left_anti"))
+
+
 def generate(requests: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """Applies a user generator to the partitions of a request table.
 

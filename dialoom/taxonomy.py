@@ -84,18 +84,15 @@ def intents_of(spark: SparkSession, category: str) -> DataFrame:
     return taxonomy(spark).filter(F.col("category") == category).select("ordinal", "intent")
 
 
-def with_category(df: DataFrame, dim: DataFrame, name: str = "mapped_category",
-                  default: str | None = None, key: str = "intent") -> DataFrame:
-    """Adds the taxonomy category of ``key``; ``default`` for unknown intents (NULL if None).
+def category_of(intent: Column) -> Column:
+    """The category of an intent, NULL for an unknown one: a constant map in the plan, no join."""
+    return F.element_at(F.create_map(*[F.lit(x) for _, i, c in ROWS for x in (i, c)]), intent)
 
-    ``dim`` is any (intent, category) table. A custom one should go through
-    ``functions.dims.bounded_broadcast`` first.
-    """
-    lookup = dim.select(F.col("intent").alias("_tax_intent"), F.col("category").alias(name))
-    out = df.join(lookup, df[key] == F.col("_tax_intent"), "left").drop("_tax_intent")
-    if default is not None:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
-    return out
+
+def with_category(df: DataFrame, name: str = "mapped_category", default: str | None = None, key: str = "intent") -> DataFrame:
+    """Adds the taxonomy category of ``key``; ``default`` for unknown intents (NULL if None)."""
+    found = category_of(F.col(key))
+    return df.withColumn(name, found if default is None else F.coalesce(found, F.lit(default)))
 
 
 def allowed(c: Column, values: list[str]) -> Column:

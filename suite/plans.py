@@ -85,7 +85,7 @@ def _labels_plan(spark, sf):
         F.when(k % 5 == 0, "stable_neutral").alias("emotion_arc"), F.when(k % 7 == 0, "refund pending").alias("context"))
 
 
-W = P.DEFAULT
+W = P.Wording(requirements=("Name one product of the bank", "End with a question or a thank you"), arcs={"stable_neutral": "even all the way"})
 _RULES = "".join(f"\n{i}. {r}" for i, r in enumerate(W.requirements, 1)) + f"\n{len(W.requirements) + 1}. Write in "
 _L = {n: f"CASE language WHEN 'es' THEN '{P.LABEL_NAMES['es'][n]}' ELSE '{P.LABEL_NAMES['en'][n]}' END" for n in P.LABEL_NAMES["en"]}
 PLAN_SQL = f"""{TAX_SQL}, plan AS (SELECT doc_id AS plan_id, t_intent AS intent, t_category AS category,
@@ -107,7 +107,7 @@ prompted AS (SELECT *, '{W.opening}' || chr(10) || chr(10) || 'Intent: ' || inte
 
 @query("c5_prompts", f"WITH {PLAN_SQL} SELECT plan_id, prompt FROM prompted")
 def prompts(spark, sf):
-    return P.with_prompt(_labels_plan(spark, sf)).select("plan_id", "prompt")
+    return P.with_prompt(_labels_plan(spark, sf), W).select("plan_id", "prompt")
 
 
 LABELLED_SQL = f"""ids AS (SELECT doc_id AS k, text FROM documents),
@@ -128,7 +128,7 @@ def _examples(spark, sf):
   || '{W.then}' || chr(10) || chr(10) || prompt) AS prompt_md5, CASE language WHEN 'en' THEN '{W.system['en']}' ELSE '{W.system['es']}' END AS system
   FROM prompted LEFT JOIN texts USING (language, sentiment, complexity)""")
 def prompts_with_examples(spark, sf):
-    out = P.with_examples(_labels_plan(spark, sf), _examples(spark, sf))
+    out = P.with_examples(_labels_plan(spark, sf), _examples(spark, sf), words=W)
     return out.select("plan_id", F.md5("prompt").alias("prompt_md5"), "system")
 
 
@@ -158,7 +158,7 @@ def requests(spark, sf):
 
 
 def _requests(spark, sf):
-    plan = P.with_prompt(_labels_plan(spark, sf)).withColumn("system", F.lit("S"))
+    plan = P.with_prompt(_labels_plan(spark, sf), W).withColumn("system", F.lit("S"))
     return E.requests(plan.select("plan_id", "intent", "prompt", "system"), F.col("plan_id"))
 
 

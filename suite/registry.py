@@ -91,13 +91,13 @@ def history(spark, sf):
 @query("h6_runs_per_dataset", """SELECT o_custkey::VARCHAR AS dataset_id, count(*) AS runs, round(max(o_totalprice) / 600000, 6) AS best FROM orders
   WHERE o_custkey % 10 <> 9 GROUP BY 1""")
 def runs_per_dataset(spark, sf):
-    rows = R.live(_runs(spark, sf), _deleted(spark, sf), "dataset_id")
+    rows = R.live(_runs(spark, sf), _deleted(spark, sf), "dataset_id", "trained_at")
     return rounded(rows.groupBy("dataset_id").agg(F.count("*").alias("runs"), F.max("accuracy").alias("best")))
 
 
 @query("h8_live_after_delete", """SELECT c_custkey::VARCHAR AS id FROM customer WHERE c_custkey % 10 <> 9""")
 def live(spark, sf):
-    return R.live(_datasets(spark, sf), _deleted(spark, sf), "id").select("id")
+    return R.live(_datasets(spark, sf), _deleted(spark, sf), "id", "created_at").select("id")
 
 
 @query("h12_largest_dataset", f"WITH {CURRENT} SELECT k::VARCHAR AS id, size FROM cur ORDER BY size DESC, k::VARCHAR LIMIT 1")
@@ -108,7 +108,7 @@ def largest(spark, sf):
 @query("h13_stats", f"""WITH {CURRENT} SELECT count(*) AS total_datasets, round(avg(score), 6) AS average_quality_score,
   (SELECT count(*) FROM orders WHERE o_custkey % 10 <> 9) AS total_training_runs FROM cur""")
 def stats(spark, sf):
-    return rounded(R.stats(_current(spark, sf), R.live(_runs(spark, sf), _deleted(spark, sf), "dataset_id")))
+    return rounded(R.stats(_current(spark, sf), R.live(_runs(spark, sf), _deleted(spark, sf), "dataset_id", "trained_at")))
 
 
 @query("h13_datasets_by_domain", f"WITH {CURRENT} SELECT domain, count(*) AS n FROM cur GROUP BY 1")

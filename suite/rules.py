@@ -238,7 +238,7 @@ def training_rows(spark, sf):
 @query("b16_category_lookup", f"""WITH {LONG_SQL} SELECT conversation_id, intent, coalesce(x.t_category, 'unknown') AS mapped, x.t_intent IS NOT NULL AS valid
   FROM heads LEFT JOIN tax x ON x.t_intent = intent""")
 def category_lookup(spark, sf):
-    rows = with_category(long_heads(spark, sf), taxonomy(spark), "mapped")
+    rows = with_category(long_heads(spark, sf), "mapped")
     return rows.select("conversation_id", "intent", F.coalesce("mapped", F.lit("unknown")).alias("mapped"), F.col("mapped").isNotNull().alias("valid"))
 
 

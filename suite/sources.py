@@ -24,11 +24,13 @@ for _name, _fmt in (("a1_json_conversations", "json"), ("a8_parquet_dataset", "p
     def _trip(spark, sf, fmt=_fmt):
         path = shared_path(spark, f"dataset-{fmt}")
         rows = nested(spark, sf).drop("k")
-        if fmt == "json":      # one JSON array per conversation file set: lines read as JSON documents
-            rows.select(F.concat(F.lit("["), F.to_json(F.struct("*")), F.lit("]")).alias("value"))\
-                .write.option("lineSep", "\n").text(path)
-            lines = spark.read.text(path)
-            return _seen(lines.select(F.inline(F.from_json("value", f"array<{CONVERSATION.simpleString()}>"))))
+        if fmt == "json":      # files of one array each, with one file beside them that is none
+            part = F.floor(F.regexp_extract("conversation_id", r"(\d+)", 1).cast("bigint") / 100).alias("part")
+            arrays = rows.groupBy(part).agg(F.collect_list(F.to_json(F.struct(*rows.columns))).alias("r"))
+            arrays.select("part", F.concat(F.lit("[\n"), F.array_join("r", ",\n"), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+            spark.range(1).selectExpr("'{\"conversation_id\": \"x\"}' AS value").write.text(f"{path}/part=-1")
+            assert S.rejected_files(spark, path).count() == 1
+            return _seen(S.read_conversations(spark, path, fmt))
         # columns in the order of the record, as a reader with that schema expects them
         full = rows.select(*[F.col(f.name) if f.name in rows.columns and f.name != "turns"
                              else F.from_json(F.to_json("turns"), f.dataType).alias("turns") if f.name == "turns"

@@ -6,14 +6,16 @@ from dialoom.operators import series as K
 from dialoom.session import shared_path
 from dialoom.streaming import ingest as I, monitor as M
 from suite.base import NESTED_SQL, nested, query, rounded, table
-from suite.plans import PLANNED_SQL, _requests, _response_plan, response_lines
+from suite.plans import PLANNED_SQL, RESPONSE_SQL, _requests, _response_plan, response_lines
 
 
 def _folder(spark, sf):
-    """Response lines as files, with a third of them delivered twice."""
+    """Response lines as files: some records fail first and are answered later, a third of the lines comes twice."""
     folder = shared_path(spark, "inbox")
     lines = response_lines(spark, sf)
-    lines.select("value").write.text(folder)
+    early = F.to_json(F.struct(F.col("rid").alias("recordId"), F.lit("timeout").alias("error")))
+    lines.filter("m IN (0, 1, 3)").select(early.alias("value")).write.text(folder)
+    lines.select("value").write.mode("append").text(folder)
     lines.filter("m % 3 = 0").select("value").write.mode("append").text(folder)
     return folder
 
@@ -21,20 +23,27 @@ def _folder(spark, sf):
 @query("j1_ingested_conversations", f"""WITH {PLANNED_SQL} SELECT rid AS record_id, coalesce(g_intent, p_intent, 'general_inquiry') AS intent,
   coalesce(g_sentiment, p_sentiment, 'neutral') AS sentiment, coalesce(p_language, 'en') AS language FROM planned WHERE m IN (0, 1, 2)""")
 def ingested(spark, sf):
-    """Two runs over the same folder: duplicates are dropped and the second run adds nothing."""
+    """Two runs over the same folder: the second run adds nothing, repeated lines are one record, answers beat errors."""
     folder, sink, checkpoint = _folder(spark, sf), shared_path(spark, "sink"), shared_path(spark, "stream")
     plan = _response_plan(spark, sf)
     for _ in range(2):
         I.ingest(I.response_stream(spark, folder), sink, checkpoint, plan).awaitTermination()
-    return spark.read.parquet(f"{sink}/conversations").select("record_id", "intent", "sentiment", "language")
+    return I.conversations(spark, sink).select("record_id", "intent", "sentiment", "language")
 
 
-@query("j1_ingest_errors", """WITH r AS (SELECT conv_id || '-' || turn AS rid, (conv_id * 7 + turn) % 11 AS m FROM conversations)
-  SELECT rid AS record_id, 'Throttled: too many requests sent to this one model' AS error FROM r WHERE m = 5""")
+@query("j1_ingest_errors", f"""WITH {RESPONSE_SQL}, bad AS (SELECT *, CASE WHEN m = 5 THEN 'Throttled: too many requests sent to this one model'
+    WHEN m IN (8, 9) THEN 'no text in the response' ELSE 'JSON parse error' END AS error, 'garbage ' || replace(text, chr(10), ' ') AS line FROM r WHERE m NOT IN (0, 1, 2))
+  SELECT CASE WHEN m <> 6 THEN rid END AS record_id, error, CASE WHEN m = 6 THEN substr(line, 1, 200) END AS line, count(DISTINCT CASE WHEN m = 6 THEN md5(line) ELSE rid END) AS n
+  FROM bad WHERE m <> 3 GROUP BY ALL
+  UNION ALL SELECT rid, 'JSON parse error or timeout', NULL, 1 FROM bad WHERE m = 3""")
 def ingest_errors(spark, sf):
     folder, sink, checkpoint = _folder(spark, sf), shared_path(spark, "sink"), shared_path(spark, "stream")
     I.ingest(I.response_stream(spark, folder), sink, checkpoint).awaitTermination()
-    return spark.read.parquet(f"{sink}/errors").filter("record_id IS NOT NULL").select("record_id", "error")
+    found = I.errors(spark, sink).withColumn("line", F.when(F.col("record_id").isNull(), F.col("raw_line")))
+    found = found.join(response_lines(spark, sf).filter("m = 3").select(F.col("rid").alias("record_id"), F.lit(True).alias("late")), "record_id", "left")
+    # which of two failures of one file time came last is not determined
+    error = F.when(F.col("late") & F.col("error").isin("JSON parse error", "timeout"), "JSON parse error or timeout").otherwise(F.col("error"))
+    return found.groupBy("record_id", error.alias("error"), "line").agg(F.countDistinct(F.coalesce("record_id", F.element_at(F.split("key", "\x1f"), -1))).alias("n"))
 
 
 def _calls(df):

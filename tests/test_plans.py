@@ -154,8 +154,67 @@ def test_stream_restart_adds_nothing(spark, tmp_path):
     run = lambda: I.ingest(I.response_stream(spark, inbox), sink, checkpoint).awaitTermination()
     run()
     run()
-    assert spark.read.parquet(f"{sink}/conversations").count() == 2
-    assert spark.read.parquet(f"{sink}/errors").count() == 3
+    assert spark.read.parquet(f"{sink}/conversations").count() == 2 == I.conversations(spark, sink).count()
+    assert spark.read.parquet(f"{sink}/errors").count() == 5 == I.errors(spark, sink).count()
     lines.coalesce(1).write.mode("append").text(inbox)      # the same records again, in a new file
     run()
-    assert spark.read.parquet(f"{sink}/conversations").count() == 2
+    assert I.conversations(spark, sink).count() == 2 and I.errors(spark, sink).filter("record_id IS NOT NULL").count() == 3
+
+
+def test_ingest_loses_no_line(spark, tmp_path):
+    """Old files, lines without an id, broken lines with one beginning, and answers that come before or after an error."""
+    import os
+    import time
+
+    inbox, sink = tmp_path / "in", str(tmp_path / "sink")
+    inbox.mkdir()
+    answer = lambda i: json.dumps({**({"recordId": i} if i else {}), "modelOutput": {"content": [{"text": INNER}]}})
+    other = json.dumps({"modelOutput": {"content": [{"text": INNER.replace("hi", "ho")}]}})
+    files = {"a": [answer("1"), json.dumps({"recordId": "2", "error": "late"}), answer(None), other, answer(None)],
+             "b": ["x" * 300 + "1", "x" * 300 + "2", answer("2"), json.dumps({"recordId": "1", "error": "again"}), json.dumps({"recordId": "3", "error": "no"})],
+             "old": [answer("4"), json.dumps({"recordId": "5", "modelOutput": {"content": []}})]}
+    for age, (name, lines) in enumerate(files.items()):
+        (inbox / name).write_text("\n".join(lines))
+        os.utime(inbox / name, (time.time() - 100 + age,) * 2)
+    run = lambda: I.ingest(I.response_stream(spark, str(inbox), max_files=1), sink, str(tmp_path / "cp")).awaitTermination()
+    run()
+    (inbox / "older").write_text(answer("6"))
+    os.utime(inbox / "older", (time.time() - 5 * 86400,) * 2)
+    run()
+    assert spark.read.parquet(f"{sink}/conversations").count() == 7
+    got = [r["record_id"] for r in I.conversations(spark, sink).collect()]
+    assert sorted(map(str, got)) == ["1", "2", "4", "6", "None", "None"]
+    errors = I.errors(spark, sink).collect()
+    assert sorted((str(r["record_id"]), r["error"]) for r in errors) == [
+        ("3", "no"), ("5", I.NO_TEXT), ("None", "JSON parse error"), ("None", "JSON parse error")]
+
+
+def test_plan_shuffle_mixes_at_any_size(spark):
+    for total in (10**6, 10**12, 10**14):
+        rows = spark.range(2000).select(quota.shuffled(total, 7).alias("p")).collect()
+        places = [r["p"] for r in rows]
+        assert len(set(places)) == 2000 and 0 <= min(places) and max(places) < total
+        assert 0.4 < sum(p < total / 2 for p in places) / 2000 < 0.6
+        changes = sum((a < total / 2) != (b < total / 2) for a, b in zip(places, places[1:]))
+        assert 800 < changes < 1200         # neighbours are independent
+
+
+def test_json_files_are_judged_one_by_one(spark, tmp_path):
+    (tmp_path / "a.json").write_text(' \n [{"conversation_id": "1"}, {"conversation_id": "2"}]')
+    (tmp_path / "b.json").write_text('{"conversation_id": "3", "x": [1, 2]}')
+    (tmp_path / "c.json").write_text('[{"conversation_id": "4"}]')
+    (tmp_path / "d.json").write_text("")
+    got = S.read_conversations(spark, str(tmp_path), "json")
+    assert sorted(r["conversation_id"] for r in got.collect()) == ["1", "2", "4"]
+    assert [r["file"].rsplit("/", 1)[1] for r in S.rejected_files(spark, str(tmp_path)).collect()] == ["b.json"]
+
+
+def test_taxonomy_lookup_needs_no_join(spark, tmp_path):
+    from dialoom.operators.repair import fill_gaps
+
+    spark.range(10).selectExpr("CAST(id AS STRING) AS conversation_id", "'age_limit' AS intent", "array(named_struct('speaker', 'customer', 'text', 'x')) AS turns")\
+        .write.parquet(str(tmp_path / "c"))
+    df = fill_gaps(spark.read.parquet(str(tmp_path / "c")), {"intent": F.col("intent")})
+    assert df.filter("category = 'general'").isEmpty() and df.count() == 10
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

@@ -59,3 +59,18 @@ def test_tracking(spark, tmp_path):
     assert best["accuracy"] == (a, 0.7) and best["loss"][1] == 0.0 and "param_max_features" not in best
     t.save(str(tmp_path / "saved"))
     assert load_events(spark, str(tmp_path / "saved")).count() == t.events().count()
+
+
+def test_a_deleted_id_can_be_registered_again(spark, tmp_path):
+    reg = Registry(spark, str(tmp_path))
+    row = lambda size: spark.sql(f"SELECT 'ds' id, 'd' domain, {size} size, '/p' file_path")
+    reg.append("datasets", row(1))
+    reg.update_quality("ds", scored(spark, 50.0))
+    time.sleep(0.05)
+    assert reg.delete_dataset("ds") and reg.get("ds").isEmpty()
+    time.sleep(0.05)
+    reg.append("datasets", row(2))
+    assert [(r["size"], r["quality_overall"]) for r in reg.get("ds").collect()] == [(2, None)]
+    time.sleep(0.05)
+    reg.append("datasets", row(3))          # registered while it lives: the newest one counts
+    assert [r["size"] for r in reg.get("ds").collect()] == [3]
