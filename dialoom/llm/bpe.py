@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import as_bytes
+from dialoom.llm.common import pieces
 
 # fixed values: the pattern that byte-level BPE of this kind cuts texts with
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -108,12 +108,12 @@ def _tokens(spec):
     def run(batches):
         bpe = _bpe(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+            for rows, texts in pieces(batch, 1):
+                ids = [bpe.encode(t.decode("utf-8", "replace")) if t else b"" for t in texts]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)),
                                                  pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([bpe.decode(i) for i in ids])], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(rows)), lists, pa.array([bpe.decode(i) for i in ids], pa.string())],
+                                                 names=["id", "ids", "decoded"])
     return run
 
 
@@ -121,11 +121,13 @@ def _digests(spec):
     def run(batches):
         bpe = _bpe(spec.value)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                 pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids])],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows, texts in pieces(batch, 1):
+                ids = [bpe.encode(t.decode("utf-8", "replace")) if t else b"" for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(rows.start, len(rows)), pa.array([len(i) // 4 for i in ids], pa.int64()),
+                     pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                     pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids], pa.string())],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
 

@@ -17,7 +17,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import as_bytes, bit_filter, stored, window_hashes
+from dialoom.llm.common import as_bytes, bit_filter, pieces, stored, window_hashes
 
 TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
@@ -48,13 +48,14 @@ def _document_runs(seen, sizes):
     def run(batches):
         for batch in batches:
             found = []
-            for row, text in enumerate(as_bytes(batch.column(2))):
-                tokens = token_hashes(text)
-                for size in sizes:
-                    runs = window_hashes(tokens, size)
-                    at = np.flatnonzero(seen.mask(runs))
-                    if len(at):
-                        found.append((np.full(len(at), row), at, runs[at]))
+            for at, texts in pieces(batch, 2):
+                for row, text in zip(at, texts):
+                    tokens = token_hashes(text)
+                    for size in sizes:
+                        runs = window_hashes(tokens, size)
+                        hit = np.flatnonzero(seen.mask(runs))
+                        if len(hit):
+                            found.append((np.full(len(hit), row), hit, runs[hit]))
             rows, at, h = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
                                               pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "th", "pos", "h"])
