@@ -6,31 +6,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dialoom.session import shared_path
 
-def fits(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
-    """Whether ``df`` is at most ``max_rows`` rows and ``max_bytes`` of text; looks no further."""
-    row = (df.limit(max_rows + 1)
-           .select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
-           .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first())
-    return row["n"] <= max_rows and row["b"] <= max_bytes
 
+def written(df: DataFrame, name: str = "lookup") -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan runs once, and the optimiser knows its true size.
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Marks ``df`` for broadcast only after its size was checked; else leaves it to a shuffle join."""
-    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
-
-
-def salted_lookup(rows: DataFrame, dim: DataFrame, key: str, salts: int = 64) -> DataFrame:
-    """Inner join of ``rows`` with a lookup table on ``key``, safe for hot keys.
-
-    A small ``dim`` is broadcast. A large one is copied once per salt, and every key of ``rows``
-    is spread over the salts, so that one hot key never lands in one task.
+    It is broadcast if that is below ``spark.sql.autoBroadcastJoinThreshold``; beyond it the join is a shuffle, whose hot keys
+    adaptive execution splits.
     """
-    if fits(dim):
-        return rows.join(F.broadcast(dim), key, "inner")
-    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return salted.join(spread, [key, "_salt"], "inner").drop("_salt")
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def uniform(seed: int, *cols: Column) -> Column:

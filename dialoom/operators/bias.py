@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.functions.dims import compact, metric, percent, ratio, salted_lookup, to_row
+from dialoom.functions.dims import compact, metric, percent, ratio, written, to_row
 from dialoom.functions.dist import shares
 from dialoom.functions.text import words
 from dialoom.taxonomy import COMPLEXITIES, INTENTS, RESOLUTIONS, SENTIMENTS, taxonomy
@@ -65,7 +65,7 @@ def text_sentiment(ids: DataFrame, turns: DataFrame, lexicon: DataFrame) -> Data
     """
     said = turns.filter(F.col("speaker") == "customer").select(
         "conversation_id", F.explode(words(F.col("text"))).alias("word"))
-    mean = salted_lookup(said, lexicon.select("word", "polarity"), "word")\
+    mean = said.join(written(lexicon.select("word", "polarity"), "lexicon"), "word")\
         .groupBy("conversation_id").agg(F.avg("polarity").alias("polarity"))
     polarity = F.coalesce("polarity", F.lit(0.0))
     return ids.select("conversation_id").join(mean, "conversation_id", "left").select(

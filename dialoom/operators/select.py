@@ -33,7 +33,11 @@ def samples(df: DataFrame, n: int = 5, intent: str | None = None, sentiment: str
 def random_row(df: DataFrame, seed: int = 42, intent: str | None = None) -> DataFrame:
     """One seeded random conversation, optionally of one intent."""
     rows = df.filter(F.col("intent") == intent) if intent else df
-    return rows.orderBy(F.xxhash64(F.lit(seed), "conversation_id"), "conversation_id").limit(1)
+    return rows.orderBy(_draw(seed), "conversation_id").limit(1)
+
+
+def _draw(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}-"), "conversation_id"))
 
 
 def random_pairs(a: DataFrame, b: DataFrame, seed: int = 42) -> DataFrame:
@@ -46,7 +50,7 @@ def random_pairs(a: DataFrame, b: DataFrame, seed: int = 42) -> DataFrame:
 
     def pick(df: DataFrame, side: str) -> DataFrame:
         # the size is all that is needed of the turns
-        best = F.min(F.struct(F.xxhash64(F.lit(seed), "conversation_id").alias("h"), "conversation_id",
+        best = F.min(F.struct(_draw(seed).alias("h"), "conversation_id",
                               "sentiment", F.size("turns").alias("turns")))
         rows = df.filter(F.length("intent") > 0).groupBy("intent").agg(best.alias("p"))
         return rows.select("intent", *[F.col(f"p.{f}").alias(f"{f}{side}") for f in fields])
@@ -98,11 +102,11 @@ def few_shot(examples: DataFrame, by: tuple[str, ...] = ("language", "sentiment"
 def with_language_fallback(rows: DataFrame, per_language: DataFrame, value: str, default: str = "en") -> DataFrame:
     """Joins a (language, value) table; languages without a row take the row of ``default``.
 
-    ``per_language`` holds one row per language and is broadcast once its size is checked.
+    ``per_language`` holds one row per language and is written first, so that its size is known.
     """
-    from dialoom.functions.dims import bounded_broadcast
+    from dialoom.functions.dims import written
 
-    dim = bounded_broadcast(per_language.select(F.col("language").alias("_language"), F.col(value).alias("_own")))
+    dim = written(per_language.select(F.col("language").alias("_language"), F.col(value).alias("_own")))
     base = per_language.filter(F.col("language") == default).agg(F.max(value)).scalar()
     joined = rows.join(dim, rows["language"] == F.col("_language"), "left")
     return joined.withColumn(value, F.coalesce("_own", base)).drop("_language", "_own")

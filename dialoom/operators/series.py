@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.functions.dims import bounded_broadcast, ratio
+from dialoom.functions.dims import written, ratio
 
 # Amount bands with their target shares, and the target fraud rate.
 AMOUNT_TARGETS = {"small": 0.70, "medium": 0.25, "large": 0.05}
@@ -40,7 +40,7 @@ def completeness(points: DataFrame) -> DataFrame:
 def standardise(points: DataFrame) -> DataFrame:
     """Adds ``z`` per series (mean 0, standard deviation 1); 0 for a constant series."""
     moments = points.groupBy("series_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    joined = points.join(bounded_broadcast(moments), "series_id")
+    joined = points.join(written(moments, "moments"), "series_id")
     z = F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
     return joined.withColumn("z", z).drop("_m", "_s")
 

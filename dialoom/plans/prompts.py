@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dialoom.functions.dims import bounded_broadcast
+from dialoom.functions.dims import written
 from dialoom.plans.quota import draw_parameters
 from dialoom.taxonomy import INTENTS, with_category
 
@@ -112,9 +112,9 @@ def example_texts(examples: DataFrame, n: int = 2) -> DataFrame:
 def with_examples(plan: DataFrame, examples: DataFrame, n: int = 2, words: Wording = DEFAULT) -> DataFrame:
     """Adds ``system`` and a ``prompt`` that starts with examples of the row's own labels.
 
-    The example table has one row per label combination; its size is checked before it is broadcast.
+    The example table has one row per label combination and is written first, so its plan runs once.
     """
-    texts = bounded_broadcast(example_texts(examples, n))
+    texts = written(example_texts(examples, n), "examples")
     rows = with_prompt(plan, words).join(texts, ["language", "sentiment", "complexity"], "left")
     full = _text(words.examples, "\n\n", F.coalesce("examples", F.lit("")), "\n\n", words.then, "\n\n", F.col("prompt"))
     return rows.withColumns({"prompt": full, "system": _pick(words.system, F.col("language"), words.system["en"])})\

@@ -28,7 +28,7 @@ def _try(pairs: DataFrame, config: ModelConfig) -> dict:
     try:
         return {**train(pairs, config).metrics, "error": None}
     except Exception as e:
-        return {"accuracy": 0.0, "f1_macro": 0.0, "f1_weighted": 0.0, "error": f"{type(e).__name__}: {e}"[:500]}
+        return {"accuracy": 0.0, "f1_macro": 0.0, "f1_weighted": 0.0, "error": f"{type(e).__name__}: {e}"}
 
 
 def _results(pairs: DataFrame, configs: list[ModelConfig]) -> DataFrame:

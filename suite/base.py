@@ -69,10 +69,11 @@ LONG_SQL = f"""{TAX_SQL},
 ids AS (SELECT DISTINCT conv_id AS k FROM conversations),
 heads AS (SELECT k, {ID_SQL} AS conversation_id, {_LABELS_SQL} FROM ids LEFT JOIN tax ON ordinal = k % 77),
 turns AS (SELECT k, {ID_SQL} AS conversation_id, turn AS turn_idx,
-  CASE role WHEN 'user' THEN 'customer' ELSE 'agent' END AS speaker, text
-  FROM (SELECT conv_id AS k, * FROM conversations) WHERE role <> 'system')"""
+  CASE role WHEN 'user' THEN 'customer' WHEN 'assistant' THEN 'agent' ELSE role END AS speaker, text
+  FROM (SELECT conv_id AS k, * FROM conversations))"""
 NESTED_SQL = f"""{TAX_SQL},
-ids AS (SELECT doc_id AS k, CASE WHEN doc_id % 43 = 0 THEN NULL ELSE string_split(text, chr(10)) END AS lines FROM documents),
+ids AS (SELECT doc_id AS k, string_split(text, chr(10)) AS lines FROM documents
+  UNION ALL SELECT doc_id + 1000000000, NULL FROM documents WHERE doc_id % 43 = 0),
 heads AS (SELECT k, lines, {ID_SQL} AS conversation_id, {_LABELS_SQL} FROM ids LEFT JOIN tax ON ordinal = k % 77),
 cut AS (SELECT k, unnest(lines) AS text, CAST(unnest(range(len(lines))) AS BIGINT) AS i FROM ids),
 turns AS (SELECT k, {ID_SQL} AS conversation_id, i AS turn_idx, {SPEAKER_SQL} AS speaker, text FROM cut)"""
@@ -112,8 +113,8 @@ def _label(df: DataFrame) -> DataFrame:
 
 
 def long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text_table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumnRenamed("conv_id", "k")
-    speaker = F.when(F.col("role") == "user", "customer").otherwise("agent")
+    rows = text_table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "k")
+    speaker = F.when(F.col("role") == "user", "customer").when(F.col("role") == "assistant", "agent").otherwise(F.col("role"))
     return rows.select(_conversation_id().alias("conversation_id"), F.col("turn").alias("turn_idx"),
                        speaker.alias("speaker"), "text")
 
@@ -127,13 +128,16 @@ def long_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested conversations: one per document, one turn per line."""
+    """Nested conversations: one per document, one turn per line; beside every 43rd one that has no turns."""
     lines = F.split("text", "\n")
     turns = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    rows = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), turns.alias("lines"))
-    shaped = F.expr(f"""CASE WHEN k % 43 = 0 THEN NULL ELSE transform(lines, x ->
-        struct({SPEAKER_SQL.replace('i %', 'x.i %').replace('i =', 'x.i =')} AS speaker, x.line AS text)) END""")
-    return _label(rows).withColumn("turns", shaped).drop("lines")
+    docs = text_table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("k"), turns.alias("lines"))
+    shaped = F.expr(f"""transform(lines, x -> struct({SPEAKER_SQL.replace('i %', 'x.i %').replace('i =', 'x.i =')} AS speaker, x.line AS text))""")
+    shaped = rows.withColumn("turns", shaped).drop("lines")
+    broken = table(spark, sf_dir, "documents").filter("doc_id % 43 = 0").select(
+        (F.col("doc_id") + 1_000_000_000).alias("k"), F.lit(None).cast(shaped.schema["turns"].dataType).alias("turns"))
+    return _label(shaped.union(broken))
 
 
 def nested_corpus(spark: SparkSession, sf_dir: str) -> Corpus:

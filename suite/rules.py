@@ -198,12 +198,16 @@ def samples(spark, sf):
     return S.samples(nested_facts(spark, sf), 5, sentiment="negative").select("conversation_id", "intent", "n_turns")
 
 
-@query("b12_random_row")
+@query("b12_random_row", f"WITH {NESTED_FACTS} SELECT conversation_id, intent FROM facts ORDER BY md5('7-' || conversation_id), conversation_id LIMIT 1")
 def random_row(spark, sf):
     return S.random_row(nested(spark, sf), seed=7).select("conversation_id", "intent")
 
 
-@query("b13_assess_pairs")
+@query("b13_assess_pairs", f"""WITH {NESTED_FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY language, intent ORDER BY md5('42-' || conversation_id)) AS i FROM facts WHERE intent <> ''),
+  a AS (SELECT * FROM r WHERE i = 1 AND language = 'en'), b AS (SELECT * FROM r WHERE i = 1 AND language = 'es')
+  SELECT a.intent, a.conversation_id AS conversation_id1, b.conversation_id AS conversation_id2,
+    abs(CASE WHEN a.turns_given THEN a.n_turns ELSE 0 END - CASE WHEN b.turns_given THEN b.n_turns ELSE 1 END) <= 2 AS length_match,
+    coalesce(lower(a.sentiment) = lower(b.sentiment) AND a.sentiment <> '', false) AS sentiment_match, true AS intent_match FROM a JOIN b ON a.intent = b.intent""")
 def assess(spark, sf):
     """One random pair per intent of the English and the Spanish half; the flags follow from the pick."""
     rows = nested(spark, sf)

@@ -1,5 +1,7 @@
 """G: training data, features, models, evaluation. The classifier learns the language of a document."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from dialoom.operators import evaluate as V
@@ -37,7 +39,9 @@ def weights(spark, sf):
     return rounded(D.balanced_weights(_lang(spark, sf)).groupBy("label").agg(F.sum("weight").alias("total"), F.min("weight").alias("weight")))
 
 
-@query("g3_exact_split", "SELECT lang AS label, greatest(1, round(count(*) * 0.2))::BIGINT AS test, (count(*) - greatest(1, round(count(*) * 0.2)))::BIGINT AS train FROM documents GROUP BY 1")
+@query("g3_exact_split", """WITH c AS (SELECT lang AS label, count(*) AS n, floor(count(*) * 0.2)::BIGINT AS b FROM documents GROUP BY 1),
+  m AS (SELECT (ceil(sum(n) * 0.2) - sum(b))::BIGINT AS more FROM c), r AS (SELECT *, row_number() OVER (ORDER BY n * 0.2 - b DESC, label) AS i FROM c)
+  SELECT label, b + (i <= more)::INT AS test, n - b - (i <= more)::INT AS train FROM r, m""")
 def exact_split(spark, sf):
     train, test = D.split(_lang(spark, sf), exact=True)
     both = test.select("label", F.lit("test").alias("part")).unionByName(train.select("label", F.lit("train").alias("part")))
@@ -76,48 +80,70 @@ def token_counts(spark, sf):
     return t.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("u", " ")).alias("words"))
 
 
-@query("g4_tfidf")
+@query("g4_tfidf", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+  tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 20),
+  x AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)),
+  s AS (SELECT doc_id, sum(x) / sqrt(sum(x * x)) AS weights, max(x) / sqrt(sum(x * x)) AS heaviest, count(*) AS terms FROM x GROUP BY 1)
+  SELECT doc_id::VARCHAR AS conversation_id, round(coalesce(weights, 0), 5) AS weights, round(coalesce(heaviest, 0), 5) AS heaviest, coalesce(terms, 0) AS terms
+  FROM documents LEFT JOIN s USING (doc_id)""")
 def tfidf(spark, sf):
+    """Unigrams that stand in 20 documents or more, without a stop list: every weight goes into the sums."""
     from pyspark.ml.functions import vector_to_array
-    rows = X.with_tokens(_lang(spark, sf))
-    model = X.fit_tfidf(rows)
-    v = vector_to_array("features")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return model.transform(rows).select("conversation_id", F.round(norm, 6).alias("norm"))
+    rows = X.with_tokens(_lang(spark, sf), (1, 1), stop=[])
+    weighted = X.fit_tfidf(rows, 1 << 18, 20).transform(rows).select("conversation_id", F.filter(vector_to_array("features"), lambda x: x > 0).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return weighted.select("conversation_id", F.round(total, 5).alias("weights"), F.round(F.coalesce(F.array_max("v"), F.lit(0.0)), 5).alias("heaviest"),
+                           F.size("v").cast("bigint").alias("terms"))
+
 
+def _config(kind, **more):
+    """The preset for tests, with few trees: the checks are about the operator, not about the best score."""
+    params = {"logistic_regression": {"max_iter": 30}, "random_forest": {"n_estimators": 20, "max_depth": 8}, "xgboost": {"n_estimators": 3, "max_depth": 3}}
+    return replace(M.preset("quick_test"), model_type=kind, name=kind, model_params=params[kind], **more)
 
-FAST = {"logistic_regression": {"max_iter": 30}, "random_forest": {"n_estimators": 20, "max_depth": 8},
-        "xgboost": {"n_estimators": 3, "max_depth": 3}}
 
+MAJORITY = "(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))"
 
-def _config(kind, **more):
-    return M.ModelConfig(kind, kind, 1000, (1, 1), 2, FAST[kind], **more)
+
+def _majority(spark, sf):
+    counts = table(spark, sf, "documents").groupBy("lang").count()
+    return counts.agg(F.max("count") / F.sum("count")).first()[0]
 
 
 def _trained(kind):
     def run(spark, sf):
-        r = M.train(_lang(spark, sf), _config(kind))
-        names = ["accuracy", "f1_macro", "f1_weighted"]
-        return spark.createDataFrame([(kind, *[float(r.metrics[n]) for n in names], int(r.metrics["train_size"]))],
-                                     "model STRING, accuracy DOUBLE, f1_macro DOUBLE, f1_weighted DOUBLE, train_size BIGINT")
+        r = M.train(_lang(spark, sf), _config(kind), exact=True)
+        m = r.metrics
+        return spark.createDataFrame([(kind, int(m["train_size"]), int(m["test_size"]), int(m["unique_intents"]), m["accuracy"] > _majority(spark, sf),
+                                       0 < m["f1_macro"] <= 1 and 0 < m["f1_weighted"] <= 1)],
+                                     "model STRING, train_size BIGINT, test_size BIGINT, classes BIGINT, learned BOOLEAN, scored BOOLEAN")
     return run
 
 
 for _id, _kind in (("g5_g8_logistic_regression", "logistic_regression"), ("g6_random_forest", "random_forest"), ("g7_boosted_trees", "xgboost")):
-    query(_id)(_trained(_kind))
+    query(_id, f"""SELECT '{_kind}' AS model, (count(*) - ceil(count(*) * 0.2))::BIGINT AS train_size, ceil(count(*) * 0.2)::BIGINT AS test_size,
+      count(DISTINCT lang) AS classes, true AS learned, true AS scored FROM documents""")(_trained(_kind))
 
 
-@query("g9_predictions")
+@query("g9_predictions", """SELECT doc_id::VARCHAR AS conversation_id, lang AS label, true AS known, true AS learned FROM documents""")
 def predictions(spark, sf):
+    """Every document gets one of the labels, and more are right than the most frequent label would make."""
     rows = _lang(spark, sf)
-    return M.fit(rows, _config("logistic_regression")).predict(rows).select("conversation_id", "label", "prediction")
+    out = M.fit(rows, _config("logistic_regression")).predict(rows)
+    labels = [r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect()]
+    right = out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    return out.select("conversation_id", "label", F.col("prediction").isin(labels).alias("known"), F.lit(right > _majority(spark, sf)).alias("learned"))
 
 
-@query("g10_probabilities")
+@query("g10_probabilities", """SELECT doc_id::VARCHAR AS conversation_id, 1.0::DOUBLE AS total, (SELECT count(DISTINCT lang) FROM documents) AS labels, true AS top FROM documents""")
 def probabilities(spark, sf):
+    """One probability per label, one in all; the prediction is the label with the largest."""
     rows = _lang(spark, sf)
-    out = M.fit(rows, _config("logistic_regression")).predict_proba(rows)
-    return out.select("conversation_id", F.explode("probabilities").alias("label", "probability"))
+    model = M.fit(rows, _config("logistic_regression"))
+    out = model.predict_proba(rows).join(model.predict(rows).select("conversation_id", "prediction"), "conversation_id")
+    p = F.map_values("probabilities")
+    return out.select("conversation_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(p).cast("bigint").alias("labels"),
+                      (F.element_at("probabilities", F.col("prediction")) == F.array_max(p)).alias("top"))
 
 
 PRED_SQL = """p AS (SELECT lang AS label, CASE WHEN doc_id % 5 = 0 THEN 'en' WHEN doc_id % 7 = 0 THEN 'pt' ELSE lang END AS prediction FROM documents),
@@ -159,32 +185,44 @@ def report(spark, sf):
     return rounded(V.classification_report(V.confusion(_predicted(spark, sf))))
 
 
-@query("g14_compare_models")
+def _search(results):
+    """How a search went: the rows, the failures, and whether the best one is the maximum."""
+    top = S.best(results).select("accuracy").scalar()
+    return results.agg(F.count("*").alias("tried"), F.count("error").alias("failed"), (F.max("accuracy") == top).alias("best_is_max"))
+
+
+@query("g14_compare_models", """SELECT * FROM (VALUES ('logistic_regression', 0, true, true), ('random_forest', 1, true, true), ('xgboost', 2, true, true)) v(model_type, ordinal, fitted, scored)""")
 def compare(spark, sf):
-    return S.compare_models(_lang(spark, sf), _config("logistic_regression"), ["logistic_regression", "random_forest"], FAST)
+    params = {k: _config(k).model_params for k in M.MODEL_TYPES}
+    out = S.compare_models(_lang(spark, sf), _config("logistic_regression"), params=params)
+    return out.select("model_type", "ordinal", F.col("error").isNull().alias("fitted"), F.col("accuracy").between(0.3, 1).alias("scored"))
 
 
-@query("g15_cross_validation")
+@query("g15_cross_validation", """WITH r AS (SELECT lang, row_number() OVER (PARTITION BY lang) % 5 AS fold FROM documents), n AS (SELECT count(*) AS n FROM r)
+  SELECT (fold + 1)::INT AS fold, n.n - count(*) AS train_size, count(*) AS test_size, true AS scored FROM r, n GROUP BY fold, n.n""")
 def cross_validation(spark, sf):
-    return S.cross_validate(_lang(spark, sf), _config("logistic_regression"), 3)[0]
+    _, each = S.cross_validate(_lang(spark, sf), _config("logistic_regression"), 5, exact=True)
+    return each.select("fold", "train_size", "test_size", F.col("accuracy").between(0.3, 1).alias("scored"))
 
 
-@query("g16_grid_search")
+@query("g16_grid_search", "SELECT 4::BIGINT AS tried, 0::BIGINT AS failed, true AS best_is_max FROM documents LIMIT 1")
 def grid(spark, sf):
-    return S.best(S.grid_search(_lang(spark, sf), _config("logistic_regression"), {"max_features": [200, 1000], "min_df": [1, 2]}))
+    return _search(S.grid_search(_lang(spark, sf), _config("logistic_regression"), {"max_features": [200, 1000], "min_df": [1, 2]}))
 
 
-@query("g17_random_search")
+@query("g17_random_search", "SELECT 10::BIGINT AS tried, 0::BIGINT AS failed, true AS best_is_max FROM documents LIMIT 1")
 def random_grid(spark, sf):
-    return S.random_search(_lang(spark, sf), _config("logistic_regression"), {"max_features": [200, 500, 1000], "min_df": [1, 2]}, 2)
+    return _search(S.random_search(_lang(spark, sf), _config("logistic_regression"), {"max_features": [200, 500, 1000], "min_df": [1, 2]}))
 
 
-@query("g18_g19_tracked_model")
+@query("g18_g19_tracked_model", "SELECT doc_id::VARCHAR AS conversation_id, true AS same, 'completed' AS status FROM documents")
 def tracked(spark, sf):
-    """Trains inside an experiment, loads the saved model and predicts with it."""
+    """Trains inside an experiment; the saved and loaded model predicts the same for every document."""
     root = shared_path(spark, "model")
     tracker = Tracker(spark, root)
-    S.tracked_train(_lang(spark, sf), _config("logistic_regression"), tracker, f"{root}/saved")
-    model = M.IntentModel.load(spark, f"{root}/saved")
-    right = model.predict(_lang(spark, sf)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
-    return right.withColumn("status", experiments(tracker.events()).agg(F.max("status")).scalar())
+    _, result = S.tracked_train(_lang(spark, sf), _config("logistic_regression"), tracker, f"{root}/saved")
+    rows = _lang(spark, sf)
+    kept = result.model.predict(rows).select("conversation_id", F.col("prediction").alias("kept"))
+    loaded = M.IntentModel.load(spark, f"{root}/saved").predict(rows).select("conversation_id", "prediction")
+    return kept.join(loaded, "conversation_id").select("conversation_id", F.col("kept").eqNullSafe(F.col("prediction")).alias("same")).withColumn(
+        "status", experiments(tracker.events()).agg(F.max("status")).scalar())
