@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,20 +94,19 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> tuple[np.ndarray,
     return flat[new], np.concatenate([[0], np.cumsum(new)])[starts]
 
 
-def pieces(batch, column: int, most: int = 1 << 20):
+def pieces(batch, column: int, most: int = 1 << 19):
     """(row numbers, texts) of a batch in runs of about ``most`` bytes: bounds what the work arrays take.
 
-    A text that is longer makes a run of its own.
+    Only the texts of one run are Python objects at a time. A text that is longer makes a run of its own.
     """
-    texts = as_bytes(batch.column(column))
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text) if text else 0
-        if size >= most:
-            yield range(first, i + 1), texts[first:i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield range(first, len(texts)), texts[first:]
+    texts = batch.column(column)
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield range(first, last), as_bytes(texts.slice(first, last - first))
+        first = last
 
 
 def as_bytes(column) -> list[bytes | None]:

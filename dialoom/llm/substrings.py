@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import as_bytes, bit_filter, bits_of, flat_words, mix, pieces, stored, window_hashes
+from dialoom.llm.common import bit_filter, bits_of, flat_words, mix, pieces, stored, window_hashes
 
 SHORT, DEPTH = 8, 2        # words of the short runs; rows of the sketch
 
@@ -157,18 +157,19 @@ def kept_words(text: bytes | None, flagged: np.ndarray | None, size: int) -> tup
 def _left(size: int, flagged: bool, digest: bool):
     def run(batches):
         for batch in batches:
-            n, gone, out = [], [], []
-            sets = batch.column(2) if flagged else [None] * batch.num_rows
-            for text, h in zip(as_bytes(batch.column(1)), sets):
-                h = None if h is None or not h.is_valid else h.values.to_numpy().view(np.uint64)
-                before, words = kept_words(text, h, size)
-                n.append(before)
-                gone.append(before - len(words))
-                left = b" ".join(words)
-                out.append(hashlib.sha256(left).hexdigest() if digest else text if before == len(words) else left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                                              pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())],
-                                             names=["id", "n_words", "n_removed", "kept"])
+            for rows, texts in pieces(batch, 1):
+                n, gone, out = [], [], []
+                for row, text in zip(rows, texts):
+                    h = batch.column(2)[row] if flagged else None
+                    h = None if h is None or not h.is_valid else h.values.to_numpy().view(np.uint64)
+                    before, words = kept_words(text, h, size)
+                    n.append(before)
+                    gone.append(before - len(words))
+                    left = b" ".join(words)
+                    out.append(hashlib.sha256(left).hexdigest() if digest else text if before == len(words) else left)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(rows)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                                                  pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())],
+                                                 names=["id", "n_words", "n_removed", "kept"])
     return run
 
 
