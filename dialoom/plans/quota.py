@@ -30,6 +30,35 @@ def quotas(total: int, percent: dict[str, float]) -> dict[str, int]:
     return out
 
 
+def observed(df: DataFrame, **columns: str) -> dict[str, dict[str, int]]:
+    """How often each value stands in a column, by dimension: what a plan can be made to follow.
+
+    ``columns`` names the column of each dimension. Values are in order of their names; NULL does not count. The result has
+    one entry per value, so the columns are label columns.
+    """
+    out: dict[str, dict[str, int]] = {}
+    for dimension, column in columns.items():
+        rows = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().orderBy("v").collect()
+        out[dimension] = {r["v"]: r["count"] for r in rows}
+    return out
+
+
+def quotas_like(total: int, counts: dict[str, int]) -> dict[str, int]:
+    """Rows per value in the proportions of ``counts``: floor(total * count / all), the last value takes the rest."""
+    values, every = list(counts), sum(counts.values())
+    out = {v: total * counts[v] // every for v in values[:-1]}
+    out[values[-1]] = total - sum(out.values())
+    return out
+
+
+def missing_plan(have: DataFrame, each: int, language: str = "en") -> DataFrame:
+    """(intent, category, language, nr): the rows still missing until ``have`` (intent) holds ``each`` of every intent."""
+    counts = have.groupBy("intent").agg(F.count("*").alias("n"))
+    short = taxonomy(have.sparkSession).join(counts, "intent", "left").withColumn("short", F.lit(each) - F.coalesce("n", F.lit(0)))
+    return short.filter("short > 0").select("intent", "category", F.lit(language).alias("language"),
+                                            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("short"))).alias("nr"))
+
+
 def shuffled(total: int, seed: int) -> Column:
     """A seeded one-to-one mapping of ``id`` in 0..total-1 onto itself: keyed Feistel rounds over the next power of two.
 
@@ -72,9 +101,10 @@ def cycled(index: Column, values: list[str]) -> Column:
 
 
 def generation_plan(spark: SparkSession, total: int, percent: dict[str, dict[str, float]] | None = None,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, like: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """(plan_id, language, sentiment, complexity, intent, category): exact marginals, intents in a cycle.
 
+    Dimensions in ``like`` follow observed counts instead of percentages.
     No shuffle at any size: each row computes its place in a seeded permutation of the quotas.
     """
     if total <= 0:
@@ -82,7 +112,8 @@ def generation_plan(spark: SparkSession, total: int, percent: dict[str, dict[str
             [], "plan_id BIGINT, language STRING, sentiment STRING, complexity STRING, intent STRING, category STRING")
     wanted = {**PLAN_SHARES, **(percent or {})}
     rows = spark.range(total)
-    labels = [by_quota(shuffled(total, seed * 31 + i), quotas(total, wanted[d])).alias(d)
+    like = like or {}
+    labels = [by_quota(shuffled(total, seed * 31 + i), quotas_like(total, like[d]) if d in like else quotas(total, wanted[d])).alias(d)
               for i, d in enumerate(("language", "sentiment", "complexity"))]
     tax = taxonomy(spark).select(F.col("ordinal").alias("_o"), "intent", "category")
     return (rows.select(F.col("id").alias("plan_id"), *labels, (F.col("id") % len(INTENTS)).cast("int").alias("_o"))

@@ -1,16 +1,22 @@
-"""The stages for a finished dataset in their order: quality, bias, training, registry, gate, report."""
+"""Whole runs: from a plan, from responses, or from a finished dataset to quality, bias, training, registry, gate and report."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from dialoom.functions.text import truthy
 from dialoom.operators.bias import detect, production_ready, text_sentiment
 from dialoom.operators.quality import quality
 from dialoom.operators.shape import corpus_from_nested
+from dialoom.plans.prompts import Wording, with_examples
+from dialoom.plans.responses import PLAN, extract_errors, process
 from dialoom.registry.tables import Registry
 from dialoom.sources.conversations import report
+from dialoom.sources.exchange import errors, parse_lines, requests, results
+from dialoom.streaming.ingest import generate
 from dialoom.training.data import training_pairs
 from dialoom.training.models import ModelConfig, train
 from dialoom.training.search import best, compare_models
@@ -74,6 +80,41 @@ def run_existing(df: DataFrame, reference: DataFrame, registry: Registry | None
                           F.lit(config.accuracy_limit).alias("accuracy_limit"))
 
 
+def run_responses(lines: DataFrame, plan: DataFrame | None, reference: DataFrame, path: str, registry: Registry | None = None,
+                  config: RunConfig = RunConfig(), model_name: str = "model") -> DataFrame:
+    """From response lines to a registered and gated dataset: parse, repair, write, then the stages of ``run_existing``.
+
+    ``lines`` has a column ``value``; ``plan`` the planned labels by record id. The conversations go to ``path``/conversations, all
+    failures to ``path``/errors. Adds ``responses`` (all lines) and ``failed`` to the row of ``run_existing``.
+    """
+    parsed = parse_lines(lines.select("value"))
+    good = results(parsed)
+    process(good, plan, model_name).drop("record_id").write.mode("errorifexists").parquet(f"{path}/conversations")
+    empty = good.filter(~truthy(F.col("generated_text"))).select("record_id", F.lit("no text in the response").alias("error"))
+    failures = errors(parsed).select("record_id", "error").unionByName(extract_errors(good).select("record_id", "error")).unionByName(empty)
+    failures.write.mode("errorifexists").parquet(f"{path}/errors")
+    spark = lines.sparkSession
+    conversations = spark.read.parquet(f"{path}/conversations")
+    failed = spark.read.parquet(f"{path}/errors").count()
+    done = run_existing(conversations, reference, registry, f"{path}/conversations", "parquet", config)
+    return done.withColumn("failed", F.lit(failed)).withColumn("responses", F.col("conversations") + F.col("failed"))
+
+
+def run_plan(plan: DataFrame, examples: DataFrame, respond: Callable[[Iterator], Iterator], reference: DataFrame, path: str,
+             registry: Registry | None = None, config: RunConfig = RunConfig(), wording: Wording = Wording()) -> DataFrame:
+    """The whole way from a plan (plan_id and labels): prompts with examples, requests, responses, then ``run_responses``.
+
+    ``respond`` maps batches of (record_id, prompt, system) to batches of response lines (value); it is called for each partition of the requests.
+    The responses are written once to ``path``/responses, so nothing is asked for twice.
+    """
+    made = requests(with_examples(plan, examples, words=wording), F.col("plan_id"))
+    asked = made.select(F.col("recordId").alias("record_id"), F.get("modelInput.messages", F.lit(0))["content"].alias("prompt"),
+                        F.col("modelInput.system").alias("system"))
+    generate(asked, respond, "value STRING").write.mode("errorifexists").text(f"{path}/responses")
+    planned = plan.select(F.col("plan_id").cast("string").alias("record_id"), *PLAN)
+    return run_responses(plan.sparkSession.read.text(f"{path}/responses"), planned, reference, path, registry, config)
+
+
 def _fixed(row: DataFrame) -> DataFrame:
     """A one-row result computed once and kept as a literal table."""
     return row.sparkSession.createDataFrame(row.collect(), row.schema)

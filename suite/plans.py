@@ -33,6 +33,26 @@ def plan_marginals(spark, sf):
     return _marginals(quota.generation_plan(spark, _total(spark, sf)), ["language", "sentiment", "complexity", "intent"])
 
 
+@query("c1_plan_like_table", """WITH s AS (SELECT 'language' AS dimension, lang AS value, count(*) AS c FROM documents GROUP BY ALL
+    UNION ALL SELECT 'sentiment', source, count(*) FROM documents GROUP BY ALL),
+  t AS (SELECT count(*) AS every, count(*) * 3 // 2 + 7 AS n FROM documents),
+  f AS (SELECT dimension, value, n * c // every AS q, row_number() OVER (PARTITION BY dimension ORDER BY value DESC) AS r FROM s, t)
+  SELECT dimension, value, CASE r WHEN 1 THEN (SELECT n FROM t) - (SELECT coalesce(sum(q), 0) FROM f g WHERE g.dimension = f.dimension AND r > 1) ELSE q END::BIGINT AS n FROM f""")
+def plan_like_table(spark, sf):
+    """A plan one and a half times as long as ``documents`` in the shares observed there."""
+    docs = table(spark, sf, "documents")
+    like = quota.observed(docs, language="lang", sentiment="source")
+    plan = quota.generation_plan(spark, _total(spark, sf) * 3 // 2 + 7, like=like)
+    return _marginals(plan, ["language", "sentiment"]).filter("n > 0")
+
+
+@query("c4_missing_plan", f"""WITH {NESTED_SQL}, h AS (SELECT intent, count(*) AS n FROM heads GROUP BY 1)
+  SELECT t_intent AS intent, t_category AS category, 12 - coalesce(n, 0) AS n FROM tax LEFT JOIN h ON intent = t_intent WHERE coalesce(n, 0) < 12""")
+def missing(spark, sf):
+    """What the labelled documents lack until every intent has twelve."""
+    return quota.missing_plan(nested(spark, sf), 12).groupBy("intent", "category").agg(F.count("*").alias("n"))
+
+
 @query("c1_plan_rows", f"""WITH {TAX_SQL} SELECT range AS plan_id, t_intent AS intent, t_category AS category
   FROM range({N_SQL}) JOIN tax ON ordinal = range % 77""")
 def plan_rows(spark, sf):
@@ -334,10 +354,13 @@ def best_delay(spark, sf):
     return rounded(cost.best_delay(cost.throughput(_calls(spark, sf))))
 
 
-@query("c19_language_split", f"""WITH t AS (SELECT {N_SQL} AS n), e AS (SELECT n, floor(n * 30 / 100)::BIGINT AS en FROM t)
+@query("c19_language_split", """WITH t AS (SELECT count(*) AS n, (SELECT round(100 * avg((lang = 'en')::INT)) FROM documents) AS p FROM conversations),
+  e AS (SELECT n, floor(n * p / 100)::BIGINT AS en FROM t)
   SELECT 'language' AS dimension, 'en' AS value, en AS n FROM e UNION ALL SELECT 'language', 'es', n - en FROM e""")
 def language_split(spark, sf):
-    return _marginals(quota.language_split(spark, _total(spark, sf), 30), ["language"])
+    """As long as ``conversations``, with the share of English that ``documents`` has."""
+    share = table(spark, sf, "documents").agg(F.round(100 * F.avg((F.col("lang") == "en").cast("int")))).first()[0]
+    return _marginals(quota.language_split(spark, table(spark, sf, "conversations").count(), share), ["language"])
 
 
 @query("a14_remaining_plan", f"""SELECT doc_id AS plan_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
