@@ -6,8 +6,8 @@ class signatures give buckets, which are worked off in two rounds:
 1. Every class of a bucket is verified against two pivots, the class with the most rows and the one with the smallest id: a
    number of pairs that grows with the bucket, not with its square. The links give components.
 2. Buckets that still hold several components are searched for further pairs. Only classes outside of the bucket's largest
-   component are compared, only with classes of other components, and by whole signatures inside a task; a pair comes out
-   if the signatures allow for the threshold within five standard deviations, and is then verified on its sets.
+   component are compared, only with classes of other components, and by whole signatures and hashes inside a task; only
+   pairs that reach the threshold there come out, and are then verified on their sets.
 """
 
 from __future__ import annotations
@@ -112,38 +112,48 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _short_signatures(size: int):
-    """(cid, sig): one byte of each signature position."""
+    """(cid, sig, low): two bytes of each signature position, and the lower four of each shingle hash."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = part.column(1)
                 starts = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-                sig = mix(super_minhash(sets.flatten().to_numpy().view(np.uint64), starts, size).view(np.uint64)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], names=["cid", "sig"])
+                sig = mix(super_minhash(sets.flatten().to_numpy().view(np.uint64), starts, size).view(np.uint64)).astype(np.uint16)
+                low = [s.values.to_numpy().astype(np.uint32).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(low, pa.binary())],
+                                                 names=["cid", "sig", "low"])
     return run
 
 
-def _cross(percent: int, size: int):
-    """Rows (band, ms, vs, role, cid, n, part, main, sig) sorted by the first four: one pass, a block of a bucket at a time.
+def _cross(percent: int, bands: int, rows_: int):
+    """Rows (band, ms, vs, role, cid, n, part, main, sig, number, low) sorted by the first four: one pass, a block of a bucket at a time.
 
     Role 0 are all classes of a cut, role 1 those outside of the bucket's main component. Gives the pairs (a, b) of
-    different components that may reach the threshold.
+    different components that may reach the threshold, each in the first band that both share only: that bucket holds
+    both components as well, so the pair does come out there. Signatures leave out what is five standard deviations below the threshold;
+    what is left is counted on halves of the shingle hashes, which never find too few in common.
     """
-    p = percent / 100
+    p, size = percent / 100, bands * rows_
     least = int(size * p - 5 * (size * p * (1 - p)) ** 0.5)
 
     def pairs(rows):
         kind, cid, n, part = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
+        low = [np.frombuffer(r[10], np.uint32) for r in rows]
         every, rest = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         outside = part[every] != rows[0][7]
         for x in rest:
             fit = (part[every] != part[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))
             fit &= ~outside | (cid[every] < cid[x])          # both outside: once
             at = every[fit]
-            at = at[(sig[at] == sig[x]).sum(1) >= least]
-            yield np.minimum(cid[at], cid[x]), np.maximum(cid[at], cid[x])
+            same = sig[at] == sig[x]
+            at = at[(same.sum(1) >= least) & (same.reshape(len(at), bands, rows_).all(2).argmax(1) == rows[0][9])]
+            if len(at):
+                sets = [low[y] for y in at]
+                both = np.add.reduceat(np.isin(np.concatenate(sets), low[x]), np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+                at = at[100 * both >= percent * (n[at] + n[x] - both)]
+                yield np.minimum(cid[at], cid[x]), np.maximum(cid[at], cid[x])
 
     def run(batches):
         flat = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
@@ -172,10 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     # the numbers are written with the rows, so a repeated task cannot change them later
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
-    members = classes.select(F.explode("bands").alias("band"), "cid")
+    members = classes.select(F.posexplode("bands").alias("number", "band"), "cid")
     shared = members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
     facts = classes.select("cid", "n", "first", "copies")
-    members = stored(members.join(shared, "band").join(facts, "cid").select("band", "cid", "c", "n", "first", "copies"), "minhash-members")
+    members = stored(members.join(shared, "band").join(facts, "cid").select("band", "number", "cid", "c", "n", "first", "copies"), "minhash-members")
 
     wanted = members.select("cid").distinct().join(classes.select("cid", "digest", "first"), "cid")
     close = bit_filter(wanted.select(F.xxhash64(F.col("first").alias("id")).alias("k")).distinct(), "k")
@@ -191,19 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = stored(connected_components(first), "minhash-parts")
 
     # a bucket of two classes is done: both are its pivots, or one pivot and the other class
-    held = members.filter("c > 2").select("band", "cid", "c", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "cid", "c", "n", F.coalesce("component", "cid").alias("part"))
+    held = members.filter("c > 2").select("band", "number", "cid", "c", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "band", "number", "cid", "c", "n", F.coalesce("component", "cid").alias("part"))
     counts = held.groupBy("band", "part").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1")
     held = held.join(mixed.select("band", F.col("main.part").alias("main")), "band")
-    short = sets.mapInArrow(_short_signatures(bands * rows), "cid bigint, sig binary")
+    short = sets.mapInArrow(_short_signatures(bands * rows), "cid bigint, sig binary, low binary")
     held = held.join(short, "cid").withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int"))
     own, all_ = F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    columns = ["cid", "n", "part", "main", "sig"]
+    columns = ["cid", "n", "part", "main", "sig", "number", "low"]
     blocks = held.select("band", own.alias("ms"), all_.alias("vs"), F.lit(0).alias("role"), *columns).union(
         held.filter("part <> main").select("band", all_.alias("ms"), own.alias("vs"), F.lit(1).alias("role"), *columns))
     blocks = blocks.repartition("band", "ms", "vs").sortWithinPartitions("band", "ms", "vs", "role", "cid")
-    cross = blocks.mapInArrow(_cross(percent, bands * rows), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
+    cross = blocks.mapInArrow(_cross(percent, bands, rows), "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
     second = _links(cross, sets, percent)
     # a component of the first round is one node of the second
     lifted = second.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
