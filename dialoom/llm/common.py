@@ -114,6 +114,11 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lets Python tasks of this session get at most about ``size`` of rows at a time, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and reads it back: the lineage ends here."""
     path = shared_path(df.sparkSession, name)

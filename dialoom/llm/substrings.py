@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import bit_filter, bits_of, flat_words, mix, pieces, stored, window_hashes
+from dialoom.llm.common import bit_filter, bits_of, flat_words, mix, pieces, small_batches, stored, window_hashes
 
 SHORT, DEPTH = 8, 2        # words of the short runs; rows of the sketch
 
@@ -127,6 +127,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no part. Windows are told apart by 64-bit hashes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chars = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     keys = max(chars // 6 // max(1, (size - SHORT + 2) // 2), 1)
