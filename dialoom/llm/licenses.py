@@ -1,11 +1,9 @@
-"""License scans in DataFrame functions only: MinHash bands of text windows retrieve templates, shingle containment decides.
+"""License scans in DataFrame functions only: shared shingles retrieve templates, shingle containment decides.
 
-A text's shingles are cut into windows that overlap; every window has ``bands`` MinHash values, each the smallest of its
-shingle hashes after an XOR with a mask of its own, and each a band by itself (one row). A window and a window of a template with Jaccard
-similarity J meet in some band with probability 1 - (1 - J)^bands: over 0.999 for J of a half and ten bands. Templates are cut at every
-place, so a text that holds 9 shingles of a template in a row has a window that is equal to one of it (J = 1), and a
-template of three to five shingles fills half of a window at least. All of this, and the exact check of the templates
-that come up, happens inside the document's row: no shuffle, no join.
+A text that holds any share of a template's shingles above nothing holds one of them at least, so the shingles that a text has in common with
+all templates together retrieve every template that can reach the containment: nothing is left to chance, whatever the length, the
+place or the order of a notice. All of this, and the exact check of the templates that come up, happens inside the document's row: no
+shuffle, no join.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SHINGLE, WINDOW, STEP, BANDS = 3, 6, 4, 10
+SHINGLE = 3
 # fixed values: usual short notices of public licenses
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -45,30 +43,18 @@ def shingles(words_: Column) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def bands(hashes: Column, step: int) -> Column:
-    """The distinct band keys of all windows that start at every ``step`` shingles; a shorter rest is a window too."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hashes) - (WINDOW - step)), F.lit(step))
-
-    def keys(band: int) -> Column:
-        mask = F.xxhash64(F.lit(band), F.lit("mask"))
-        return F.transform(starts, lambda start: F.xxhash64(
-            F.array_min(F.transform(F.slice(hashes, start, WINDOW), lambda h: h.bitwiseXOR(mask))), F.lit(band)))
-
-    return F.when(F.size(hashes) > 0, F.array_distinct(F.concat(*map(keys, range(BANDS))))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _templates(spark: SparkSession, notices: dict[str, str]) -> tuple[Column, Column]:
-    """(all templates, the band keys of all of them) as constants of the plan. The notices are an argument: their size is known."""
+    """(all templates, the shingles of all of them) as constants of the plan. The notices are an argument: their size is known."""
     if sum(map(len, notices.values())) > 1 << 20:
         raise ValueError("more than a megabyte of templates does not belong into a plan")
     rows = spark.createDataFrame(sorted(notices.items()), "name string, text string").select("name", words(F.col("text")).alias("w"))
-    rows = rows.select("name", F.array_distinct(shingles(F.col("w"))).alias("shingles"), shingles(F.col("w")).alias("run"))
-    found = [r.asDict() for r in rows.select("name", "shingles", bands(F.col("run"), 1).alias("bands")).collect()]
+    rows = rows.select("name", F.array_distinct(shingles(F.col("w"))).alias("shingles"))
+    found = [r.asDict() for r in rows.collect()]
     short = [r["name"] for r in found if not r["shingles"]]
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    every = sorted({k for r in found for k in r["bands"]})
-    return (F.from_json(F.lit(json.dumps(found)), "array<struct<name:string,shingles:array<bigint>,bands:array<bigint>>>"),
+    every = sorted({k for r in found for k in r["shingles"]})
+    return (F.from_json(F.lit(json.dumps(found)), "array<struct<name:string,shingles:array<bigint>>>"),
             F.from_json(F.lit(json.dumps(every)), "array<bigint>"))
 
 
@@ -81,12 +67,11 @@ def license_notices(docs: DataFrame, notices: dict[str, str] | None = None, id_c
     """
     templates, every = _templates(docs.sparkSession, NOTICES if notices is None else notices)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("id", shingles(F.col("w")).alias("h"))
-    # one row in, one row out: behind the generator the keys are a column, which the optimiser does not put into the lambdas again
-    once = F.explode(F.array(F.struct("h", F.array_intersect(bands(F.col("h"), STEP), every).alias("hits")))).alias("s")
-    rows = rows.select("id", once).select("id", "s.h", "s.hits").filter(F.size("hits") > 0)
-    retrieved = F.filter(templates, lambda t: F.arrays_overlap(t["bands"], F.col("hits")))
+    # one row in, one row out: behind the generator the shingles are a column, which the optimiser does not put into the lambdas again
+    once = F.explode(F.array(F.struct(F.array_intersect(shingles(F.col("w")), every).alias("hits")))).alias("s")
+    rows = rows.select("id", once).select("id", "s.hits").filter(F.size("hits") > 0)
+    retrieved = F.filter(templates, lambda t: F.arrays_overlap(t["shingles"], F.col("hits")))
     checked = F.transform(retrieved, lambda t: F.struct(t["name"].alias("license"), F.size(t["shingles"]).alias("n_shingles"),
-                                                        F.size(F.array_intersect(t["shingles"], F.col("h"))).alias("n_matched")))
+                                                        F.size(F.array_intersect(t["shingles"], F.col("hits"))).alias("n_matched")))
     found = rows.select("id", F.inline(checked)).filter(F.col("n_matched") >= containment * F.col("n_shingles"))
     return found.withColumnRenamed("id", id_col)

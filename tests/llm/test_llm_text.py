@@ -274,6 +274,22 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
 
 
+def test_licenses_at_any_place(spark):
+    """Short notices at thousands of places in longer texts, and some whose shingles stand apart: none may be missed."""
+    rng = random.Random(11)
+    notices = {f"n{i}": " ".join(f"t{i}x{j}" for j in range(5 + 2 * (i % 2))) for i in range(100)}
+    rows, want = [], set()
+    for i in range(12_000):
+        fill = lambda: " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(rng.randint(8, 20)))
+        w = notices[f"n{i % 100}"].split()
+        # whole, or without the first of seven words: four of five shingles
+        notice = [w, w[-6:] if len(w) == 7 else w, w[:3] + ["y"] + w[1:4] + ["y"] + w[2:]][i // 100 % 3]
+        rows.append((i, " ".join([fill(), *notice, fill()]), None, 0, ""))
+        want.add((i, f"n{i % 100}"))
+    got = {(r.doc_id, r.license) for r in licenses.license_notices(frame(spark, rows), notices).collect()}
+    assert got == want
+
+
 def test_language(spark):
     rng = random.Random(0)
     words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["straße", "über", "gehen", "nicht"], "cc": ["était", "leçon", "mère", "où"]}
