@@ -111,27 +111,28 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.expr(f"100L * both >= {percent}L * (size(sa) + size(sb) - both)")).select("a", "b")
 
 
-def _short_signatures(size: int):
-    """(cid, sig, low): two bytes of each signature position, and the lower four of each shingle hash."""
+def _short_signatures(bands: int, rows: int):
+    """(cid, sig, low, keys): two bytes of each signature position, the lower four of each shingle hash, and the whole band keys."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = part.column(1)
                 starts = sets.offsets.to_numpy() - sets.offsets[0].as_py()
-                sig = mix(super_minhash(sets.flatten().to_numpy().view(np.uint64), starts, size).view(np.uint64)).astype(np.uint16)
+                whole = super_minhash(sets.flatten().to_numpy().view(np.uint64), starts, bands * rows)
+                sig, keys = mix(whole.view(np.uint64)).astype(np.uint16), band_keys(whole, bands, rows)
                 low = [s.values.to_numpy().astype(np.uint32).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(low, pa.binary())],
-                                                 names=["cid", "sig", "low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(low, pa.binary()),
+                                                  pa.array([r.tobytes() for r in keys], pa.binary())], names=["cid", "sig", "low", "keys"])
     return run
 
 
 def _cross(percent: int, bands: int, rows_: int):
-    """Rows (band, ms, vs, role, cid, n, part, main, sig, number, low) sorted by the first four: one pass, a block of a bucket at a time.
+    """Rows (band, ms, vs, role, cid, n, part, main, sig, number, low, keys) sorted by the first four: one pass, a block of a bucket at a time.
 
     Role 0 are all classes of a cut, role 1 those outside of the bucket's main component. Gives the pairs (a, b) of
-    different components that may reach the threshold, each in the first band that both share only: that bucket holds
-    both components as well, so the pair does come out there. Signatures leave out what is five standard deviations below the threshold;
+    different components that may reach the threshold, each in the first band that both share only, by the
+    whole keys that make the buckets: that bucket holds both components as well, so the pair does come out there. Signatures leave out what is five standard deviations below the threshold;
     what is left is counted on halves of the shingle hashes, which never find too few in common.
     """
     p, size = percent / 100, bands * rows_
@@ -141,14 +142,15 @@ def _cross(percent: int, bands: int, rows_: int):
         kind, cid, n, part = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
         sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
         low = [np.frombuffer(r[10], np.uint32) for r in rows]
+        keys = np.frombuffer(b"".join(r[11] for r in rows), np.uint64).reshape(len(rows), bands)
         every, rest = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         outside = part[every] != rows[0][7]
         for x in rest:
             fit = (part[every] != part[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))
             fit &= ~outside | (cid[every] < cid[x])          # both outside: once
             at = every[fit]
-            same = sig[at] == sig[x]
-            at = at[(same.sum(1) >= least) & (same.reshape(len(at), bands, rows_).all(2).argmax(1) == rows[0][9])]
+            at = at[(sig[at] == sig[x]).sum(1) >= least]
+            at = at[(keys[at] == keys[x]).argmax(1) == rows[0][9]]
             if len(at):
                 sets = [low[y] for y in at]
                 both = np.add.reduceat(np.isin(np.concatenate(sets), low[x]), np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
@@ -206,10 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = held.groupBy("band", "part").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("k")).filter("k > 1")
     held = held.join(mixed.select("band", F.col("main.part").alias("main")), "band")
-    short = sets.mapInArrow(_short_signatures(bands * rows), "cid bigint, sig binary, low binary")
+    short = sets.mapInArrow(_short_signatures(bands, rows), "cid bigint, sig binary, low binary, keys binary")
     held = held.join(short, "cid").withColumn("cuts", F.ceil(F.col("c") / BLOCK).cast("int"))
     own, all_ = F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    columns = ["cid", "n", "part", "main", "sig", "number", "low"]
+    columns = ["cid", "n", "part", "main", "sig", "number", "low", "keys"]
     blocks = held.select("band", own.alias("ms"), all_.alias("vs"), F.lit(0).alias("role"), *columns).union(
         held.filter("part <> main").select("band", all_.alias("ms"), own.alias("vs"), F.lit(1).alias("role"), *columns))
     blocks = blocks.repartition("band", "ms", "vs").sortWithinPartitions("band", "ms", "vs", "role", "cid")

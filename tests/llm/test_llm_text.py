@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialoom.llm import bpe, decontaminate, langid, licenses, lines, minhash, quality, shards, substrings
@@ -118,6 +119,20 @@ def test_near_duplicates_in_one_bucket(spark):
     assert got == want and len(set(want.values())) > 20
 
 
+def test_pairs_come_out_in_the_first_band_of_whole_keys():
+    """An earlier band that two signatures share in their cut form only has no bucket with both: it must not take the pair."""
+    sig = np.arange(8, dtype=np.uint16).tobytes()
+    low = np.arange(10, dtype=np.uint32).tobytes()
+    keys = [np.array([k, 7, 7, 7], np.uint64).tobytes() for k in (1, 2)]
+    out = []
+    for number in (1, 2):
+        rows = [(number, 0, 0, role, cid, 10, cid, 1, sig, number, low, keys[cid - 1]) for role, cid in ((0, 1), (0, 2), (1, 2))]
+        kinds = [pa.int64()] * 8 + [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f"c{i}" for i in range(12)])
+        out.append([p for b in minhash._cross(75, 4, 2)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))])
+    assert out == [[(1, 2)], []]
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f", None, 0, ""), (1, "a b c d e f", None, 0, ""), (None, "A B C D E F", None, 0, ""), (None, "x y", None, 0, ""), (None, None, None, 0, "")]
     got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
