@@ -28,9 +28,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id")).hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """One document of each group of near-duplicates stays, that with the smallest id; ids may be null or repeated."""
+    return minhash.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def _signed(bands: int, rows: int, words: int):
                 sizes = np.diff(starts)
                 marks = [digest(flat[a:b]) if a < b else None for a, b in zip(starts[:-1], starts[1:])]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(at)), pa.array(sizes), pa.array(marks, pa.binary()), keys],
-                                                 names=["id", "n", "digest", "bands"])
+                ids = [batch.column(i).slice(at.start, len(at)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes), pa.array(marks, pa.binary()), keys], names=["id", "th", "n", "digest", "bands"])
     return run
 
 
@@ -178,9 +178,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With the defaults a pair at 75 percent shares a band with probability 1 - (1 - 0.75^5)^45 > 0.99999.
     An empty table gives an empty table.
     """
+    signed, known = _components(docs, id_col, text_col, percent, words, bands, rows)
+    tops = known.groupBy("top").agg(F.min("first").alias("component_id"))
+    known = known.join(tops, "top").select("digest", "component_id")
+    out = signed.select("id", "n", "digest").join(known, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+        "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS,
+                            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of every component of ``docs``, unchanged, and all rows of texts without words, which belong to none.
+
+    The row with the smallest id stays (null ids last), of several texts with that id the one with the smallest xxhash64, and of
+    rows with equal id and text one, the smallest by its other columns. So ids may be null or repeated: rows are told apart by (id, xxhash64 of the text).
+    """
+    signed, known = _components(docs, id_col, text_col, percent, words, bands, rows)
+    signed = signed.filter("n > 0")
+    head = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("head")
+    heads = signed.groupBy("digest").agg(head).join(known.select("digest", "top"), "digest").groupBy("top").agg(F.min("head").alias("head"))
+    heads = heads.select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"), F.lit(True).alias("stays"))
+    keys = signed.groupBy("id", "th").agg(F.count("*").alias("c")).hint("shuffle_hash")
+    keys = keys.join(heads, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    gone = stored(keys.filter("stays IS NULL OR c > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.coalesce("stays", F.lit(False)).alias("once")), "minhash-gone")
+    mine = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
+    left = docs.join(gone.hint("shuffle_hash"), mine, "left_anti")
+    # of repeated rows that stay none is left so far: one of each comes back. Equal rows meet inside the tasks before they move
+    once = gone.filter("once")
+    if once.isEmpty():
+        return left
+    close = bit_filter(once.select(F.xxhash64("_id", "_th").alias("k")), "k")
+
+    def may_be_repeated(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(close.mask(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    key = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
+    types = docs.schema
+    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), key.alias("k")).mapInArrow(
+        may_be_repeated, f"row {types.simpleString()}, id {types[id_col].dataType.simpleString()}, k bigint")
+    found = found.withColumn("th", F.xxhash64(F.col("row")[text_col])).groupBy("id", "th").agg(F.min("row").alias("row"))
+    found = found.join(once, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    return left.unionByName(found.select("row.*"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n, digest, bands) of every row, th the xxhash64 of its text, and (digest, first, top) of every class: top is its component."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_signed(bands, rows, words), f"id {kind}, n bigint, digest binary, bands array<bigint>"), "minhash-signed")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    signed = stored(source.mapInArrow(_signed(bands, rows, words), f"id {kind}, th bigint, n bigint, digest binary, bands array<bigint>"), "minhash-signed")
     classes = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     # the numbers are written with the rows, so a repeated task cannot change them later
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
@@ -223,9 +270,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     known = classes.select("digest", "cid", "first").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid")).join(joined, "component", "left").select("digest", "first", F.coalesce("joined", "component").alias("top"))
-    tops = known.groupBy("top").agg(F.min("first").alias("component_id"))
-    known = known.join(tops, "top").select("digest", "component_id")
-    out = signed.select("id", "n", "digest").join(known, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return signed, known

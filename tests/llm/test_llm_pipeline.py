@@ -70,3 +70,25 @@ def test_stages_keep_columns_of_documents(spark):
     empty = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert sorted(stage(spark, empty, SF_DIR).columns) == sorted(empty.columns)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """One document of each group stays, and every document without a near copy."""
+    base = " ".join(f"b{i}" for i in range(40))
+    alone = [" ".join(f"a{k}x{i}" for i in range(20)) for k in range(6)]
+    nulls = " ".join(f"n{i}" for i in range(40))
+    same = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, base), (None, base + " more"), (None, alone[0]), (None, alone[1]),     # a null id in a group takes no other null id along
+            (2, base + " other"), (2, alone[2]), (2, alone[3]),                        # neither does the id 2
+            (3, same), (3, same), (3, same + " more"), (4, same),                      # repeated rows, and two texts with the smallest id
+            (None, nulls), (None, nulls), (None, nulls + " more"),                     # a group of null ids only
+            (5, alone[4]), (5, alone[4]), (6, alone[5]), (7, None), (7, None), (None, ""), (8, " ")]
+    docs = spark.createDataFrame([(i, t, "en", str(n % 2), n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    group = [(i, t) for i, t in got if t and t.startswith(("s0 ", "n0 "))]
+    assert len(group) == 2 and {i for i, _ in group} == {3, None}
+    want = [(1, base), (None, alone[0]), (None, alone[1]), (2, alone[2]), (2, alone[3]), (5, alone[4]), (6, alone[5]), (7, None), (7, None), (None, ""), (8, " ")]
+    assert sorted((x for x in got if x not in group), key=repr) == sorted(want, key=repr)
