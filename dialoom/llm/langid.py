@@ -104,21 +104,37 @@ def _counted(batches):
                 mine = (here == lang)[owner]
                 both = np.unique(np.stack([owner[mine].astype(np.uint64), keys[mine]]), axis=1)[1] if mine.any() else np.empty(0, np.uint64)
                 k, n = np.unique(both, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([lang] * len(k)), pa.array(n)], names=["gram", "lang", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([lang] * len(k), pa.string()), pa.array(n)], names=["gram", "lang", "docs"])
+
+
+def _level(counts: list[int], most: int) -> float:
+    """The most that each count may give, so that all together give ``most``: small counts give all, the others equal parts of the rest."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        if n > left / (len(counts) - i):
+            return left / (len(counts) - i)
+        left -= n
+    return float("inf")
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000, min_share: float = 0.02,
           ratio: float = 0.25, seed: int = 5) -> LanguageFilter:
-    """Fits the filter on at most about ``max_docs`` rows of ``docs`` that have a language, picked by a hash of the text.
+    """Fits the filter on at most about ``max_docs`` distinct texts of ``docs`` that have a language, picked by a hash of the text.
 
+    Equal texts of a language count once. Languages with few texts give all of theirs, the others equal parts of the rest.
     An n-gram belongs to a language if it stands in at least ``min_share`` of its training documents, and in no less than ``ratio`` of the share
     that it has in the language where it is most common. Rows without language or text are not learned from.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text <> ''")
-    n = docs.filter(F.col(lang_col).isNotNull()).count()
-    if n > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
-    rows = stored(rows, "language-sample")
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    found = rows.groupBy("lang", "h").agg(F.count("*").alias("c")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()       # one row per language
+    level = _level([r["n"] for r in found], max_docs)
+    cut = {r["lang"]: int(level / r["n"] * (1 << 30)) for r in found if r["n"] > level}
+    if cut:
+        limit = F.create_map(*[F.lit(x) for pair in sorted(cut.items()) for x in pair])[F.col("lang")]
+        rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(limit, F.lit(1 << 30)))
+    # the bounded sample is dealt out again: few shuffled bytes, but much work to count
+    rows = stored(rows.dropDuplicates(["lang", "h"]).repartition(32, "h").select("lang", "text"), "language-sample")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}       # one row per language
     names = sorted(sizes)
     table = np.zeros((1 << LOG_SLOTS, max(1, -(-len(names) // 64))), np.uint64)
@@ -142,7 +158,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_d
     merged = members.select("gram", bit.alias("bit")).mapInArrow(cells, "slot bigint, bit int").groupBy("slot", F.expr("bit div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask")).toArrow()
     table[merged["slot"].to_numpy(), merged["word"].to_numpy()] = merged["mask"].to_numpy().view(np.uint64)
-    return LanguageFilter(table, names, max(names, key=lambda x: (sizes[x], x)))
+    docs_of = {r["lang"]: r["c"] for r in found}
+    return LanguageFilter(table, names, max(names, key=lambda x: (docs_of[x], x)))
 
 
 def _predicted(model):

@@ -322,6 +322,21 @@ def test_language(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_of_copies_and_rare_languages(spark):
+    """Neither a text with most of the rows nor a language with most of them keeps what others have from being learned."""
+    rng = random.Random(2)
+    aa, bb = [["".join(rng.choices(letters, k=6)) for _ in range(30)] for letters in ("abcdefgh", "стуфхцчш")]
+    some = lambda words: " ".join(rng.choices(words, k=12))
+    rows = [(i, some(aa), "aa", 0, "") for i in range(30)] + [(100 + i, "zz yy xx ww vv", "aa", 0, "") for i in range(3000)]
+    names, score = langid.learn(frame(spark, rows)).predict([some(aa).encode() for _ in range(20)])
+    assert names == ["aa"] * 20 and score.min() > 0.8
+    rows = [(i, some(aa), "aa", 0, "") for i in range(4000)] + [(5000 + i, some(bb), "bb", 0, "") for i in range(30)]
+    model = langid.learn(frame(spark, rows), max_docs=100)
+    names, score = model.predict([some(w).encode() for w in (aa, bb) for _ in range(20)])
+    assert names == ["aa"] * 20 + ["bb"] * 20 and score.min() > 0.8 and model.usual == "aa"
+    assert [langid._level(c, 100) for c in ([40, 50], [10, 500, 60], [])] == [float("inf"), 45, float("inf")]
+
+
 def test_language_filter_corrects_chance():
     texts = [b"some words of one language"] * 3
     keys, *_ = langid.grams(texts)
