@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.llm import bpe, decontaminate, embeddings, langid, licenses, lines, minhash, quality, shards, substrings
+from dialoom.llm import bpe, chat, decontaminate, embeddings, langid, licenses, lines, minhash, negatives, quality, shards, spelling, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,68 @@ def op10_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+best AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+found AS (SELECT s.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY s.anchor_id, p.id ORDER BY s.score DESC, s.id) AS k, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score FROM best p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score FROM found WHERE k <= 5"""
+
+
+@query(_NEGATIVES_SQL)
+def op11_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+# a text grows by one backslash for each control string in it; a piece has a header line, the text, a line feed, the end mark and a line feed
+_CHAT_SQL = r"""WITH extra AS (SELECT -7 AS conv_id, i AS turn, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END AS role, '\### Assistant: </turn> ok' AS text FROM range(2) r(i)),
+turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM extra)),
+sized AS (SELECT *, CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN len(role) ELSE 6 + len(coalesce(CAST(to_json(role) AS VARCHAR), 'null')) END
+  + 6 + len(text) + len(regexp_extract_all(text, '#\\*## (?:(?:System|User|Assistant|Tool):|Other)|<\\*/turn>')) + 9 AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+@query(_CHAT_SQL)
+def op12_chat(spark, sf_dir):
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.formatted(chat.event_log(turns)))
+
+
+# CRC-32 byte by byte with the usual table, then all near pairs by words with one code point taken out
+_SPELLING_SQL = r"""WITH RECURSIVE steps(i, k, x) AS (SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+often AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT run, n, t, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM often, crc),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda h, c: xor(t[(xor(h, c) & 255) + 1], h >> 8))) AS h FROM bytes),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN run[:(h % len(run))] || run[(h % len(run)) + 2:] ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+outs AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS d FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM outs a JOIN outs b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT o.word, w.word, w.n FROM outs o JOIN words w ON o.d = w.word UNION SELECT w.word, o.word, o.n FROM outs o JOIN words w ON o.d = w.word),
+counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+firsts AS (SELECT word, other, m FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+forms AS MATERIALIZED (SELECT w.word, CASE WHEN m >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN counts c ON w.word = c.word LEFT JOIN firsts f ON w.word = f.word),
+chain(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON f.word = c.word JOIN forms e ON c.last = e.word AND e.form IS NULL"""
+
+
+@query(_SPELLING_SQL)
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
