@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dialoom.operators import series as K
+from dialoom.operators.rolling import rolling_features
 from dialoom.session import shared_path
 from dialoom.streaming import ingest as I, monitor as M
 from suite.base import NESTED_SQL, nested, query, rounded, table
@@ -133,6 +134,28 @@ def amount_shares(spark, sf):
     return rounded(K.amount_shares(rows))
 
 
+def _frame(days):
+    return f"OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND CURRENT ROW)"
+
+
+def _mean(over):
+    return f"CAST(sum(CAST(value AS DECIMAL(18, 6))) {over} AS DOUBLE) / nullif(count(value) {over}, 0)"
+
+
+_ROLLING = ", ".join(f"count(*) {_frame(d)} AS n_{d}d, {_mean(_frame(d))} AS mean_{d}d, round(stddev_pop(value) {_frame(d)}, 3) AS std_{d}d" for d in (1, 7, 30))
+_PAST = "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+
+
+@query("k5_rolling_features", f"""SELECT event_id, {_ROLLING}, coalesce(count(*) {_PAST}, 0) AS history_n, {_mean(_PAST)} AS history_mean,
+  value - {_mean(_PAST)} AS deviation, hour(ts)::INT AS hour, isodow(ts)::INT AS weekday
+  FROM (SELECT event_id, ts, value, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id FROM events)""")
+def rolling(spark, sf):
+    """One account has a third of all events."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id"))
+    out = rolling_features(e, "user_id", "ts", "value").drop("ts", "value", "user_id")
+    return out.select(*[F.round(c, 3).alias(c) if c.startswith("std") else F.col(c) for c in out.columns])
+
+
 @query("k6_conversation_balance", f"""WITH {NESTED_SQL}, c AS (SELECT category, count(*) AS n FROM heads WHERE category IS NOT NULL GROUP BY 1),
   a AS (SELECT customer_emotion_arc, count(*) AS n FROM heads WHERE customer_emotion_arc IS NOT NULL GROUP BY 1)
   SELECT round((SELECT avg(coalesce((resolution_status = 'resolved')::INT, 0)) FROM heads), 6) AS resolution_rate,
