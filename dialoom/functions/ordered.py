@@ -1,81 +1,22 @@
 """Order-dependent work without a window over a hot key.
 
 A window partitioned by conversation (or user, or series) puts a key that holds a third of all
-rows into one task. Here the rows are range-partitioned by (key, order, row id) instead, so that a
-hot key spreads over as many partitions as its size asks for. Each partition reduces its rows to a
-few *segment* rows, and only those are brought together: at most one per partition and key.
+rows into one task. Here the rows are first dealt out in buckets, ranges of (key, order, value), so that a
+hot key spreads over as many buckets as its size asks for. Windows run within a bucket; what goes on
+in the next one is settled on a few rows for each bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dialoom.functions.dims import written
 
 
-def _sorted_ranges(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
-    """Range-partitioned and sorted by ``by``: columns of the data, so a repeated task sends every row where it went before."""
+def _bucketed(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
+    """``df`` with the column ``bucket``: the number of its range by ``by``. Ranges hold about equally many rows, whatever the keys."""
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    return ranged.sortWithinPartitions(*by)
-
-
-_SEGMENT = ("key STRING, part INT, n BIGINT, head STRING, head_len BIGINT, "
-            "tail STRING, tail_len BIGINT, longest BIGINT")
-
-
-def _run_segments(only: str | None):
-    """Per partition and key: rows, first run, last run and longest run of equal values."""
-
-    def segments(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        names = ["key", "part", "n", "head", "head_len", "tail", "tail_len", "longest"]
-        carried = None            # the segment of the last key seen, still open
-
-        def merge(a, b):
-            """Segment a followed by segment b of the same key."""
-            _, _, n_a, head_a, head_len_a, tail_a, tail_len_a, longest_a = a
-            key, _, n_b, head_b, head_len_b, tail_b, tail_len_b, longest_b = b
-            meets = tail_a == head_b
-            joined = head_len_b + (tail_len_a if meets else 0)
-            head_len = head_len_a + (head_len_b if meets and head_len_a == n_a else 0)
-            tail_len = joined if head_len_b == n_b else tail_len_b
-            longest = max(longest_a, longest_b, joined if only in (None, head_b) else 0)
-            return key, part, n_a + n_b, head_a, head_len, tail_b, tail_len, longest
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys, values = pdf["key"].to_numpy(), pdf["value"].to_numpy()
-            new_key = np.r_[True, keys[1:] != keys[:-1]]
-            new_run = new_key | np.r_[True, values[1:] != values[:-1]]
-            run_at = np.flatnonzero(new_run)
-            run_len = np.diff(np.r_[run_at, len(keys)])
-            counted = run_len if only is None else np.where(values[run_at] == only, run_len, 0)
-            key_at = np.flatnonzero(new_key[run_at])                 # index of each key's first run
-            key_end = np.r_[key_at[1:], len(run_at)] - 1
-            longest = np.maximum.reduceat(counted, key_at)
-            rows = np.add.reduceat(run_len, key_at)
-            found = [
-                (keys[run_at[i]], part, int(rows[k]), values[run_at[i]], int(run_len[i]),
-                 values[run_at[j]], int(run_len[j]), int(longest[k]))
-                for k, (i, j) in enumerate(zip(key_at, key_end))
-            ]
-            if carried is not None:
-                if carried[0] == found[0][0]:
-                    found[0] = merge(carried, found[0])
-                else:
-                    found.insert(0, carried)
-            carried = found.pop()
-            if found:
-                yield pd.DataFrame(found, columns=names)
-        if carried is not None:
-            yield pd.DataFrame([carried], columns=names)
-
-    return segments
+    return ranged.withColumn("bucket", F.spark_partition_id())
 
 
 def longest_runs(df: DataFrame, key: Column, order: Column, value: Column,
@@ -83,128 +24,86 @@ def longest_runs(df: DataFrame, key: Column, order: Column, value: Column,
     """(key, longest): the longest run of equal consecutive values per key, NULL equal to NULL.
 
     With ``only`` just the runs of that value count (0 if it never occurs). ``key`` comes back as
-    a string.
+    a string. A window looks back one row within a bucket of a key; a run is counted by hash aggregation, a bucket becomes one
+    segment (its first, last and longest run), and the segments of a key are merged: at most one for each bucket.
     """
     coded = F.when(value.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), value.cast("string")))
     hit = None if only is None else "v" + only
     slim = df.select(key.cast("string").alias("key"), order.alias("at"), coded.alias("value"))
-    segments = (_sorted_ranges(slim, ["key", "at", "value"], partitions).select("key", "value")
-                .mapInPandas(_run_segments(hit), _SEGMENT))
-    listed = segments.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
-        "part", "n", "head", "head_len", "tail", "tail_len", "longest"))).alias("s"))
+    rows = _bucketed(slim, ["key", "at", "value"], partitions)
+    inside = Window.partitionBy("key", "bucket").orderBy("at", "value")
+    # the number of a run within its bucket: how many rows so far differ from the one before
+    starts = rows.select("key", "bucket", "at", "value", (~F.col("value").eqNullSafe(F.lag("value").over(inside))).cast("int").alias("new"))
+    runs = starts.select("key", "bucket", "value", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = runs.groupBy("key", "bucket", "run").agg(F.min("value").alias("value"), F.count("*").alias("len"))
+    counted = F.col("len") if hit is None else F.when(F.col("value") == hit, F.col("len")).otherwise(F.lit(0).cast("bigint"))
+    ends = {"head": F.min_by("value", "run"), "head_len": F.min_by("len", "run"), "tail": F.max_by("value", "run"), "tail_len": F.max_by("len", "run")}
+    segments = runs.groupBy("key", "bucket").agg(F.sum("len").alias("n"), *[c.alias(n) for n, c in ends.items()], F.max(counted).alias("longest"))
+    fields = ["bucket", "n", "head", "head_len", "tail", "tail_len", "longest"]
+    listed = segments.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit("").alias("tail"), zero.alias("run"), zero.alias("longest"))
 
     def step(acc: Column, s: Column) -> Column:
         joined = s["head_len"] + F.when(acc["tail"] == s["head"], acc["run"]).otherwise(zero)
-        counted = joined if hit is None else F.when(s["head"] == hit, joined).otherwise(zero)
+        counts = joined if hit is None else F.when(s["head"] == hit, joined).otherwise(zero)
         return F.struct(
             s["tail"].alias("tail"),
             F.when(s["head_len"] == s["n"], joined).otherwise(s["tail_len"]).alias("run"),
-            F.greatest(acc["longest"], s["longest"], counted).alias("longest"),
+            F.greatest(acc["longest"], s["longest"], counts).alias("longest"),
         )
 
     return listed.select("key", F.aggregate("s", start, step)["longest"].alias("longest"))
 
 
-_PIECE = "n INT, gram STRING, edge STRUCT<part: INT, pos: INT, unit: STRING, word: STRING>"
-
-
-def _gram_pieces(ns: tuple[int, ...]):
-    """Per partition: the n-grams that cross a unit border, and the partition's outer words."""
-    reach = max(ns) - 1
-
-    def pieces(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        units = np.empty(0, dtype=object)
-        tokens = np.empty(0, dtype=object)
-        first: list[tuple[str, str]] = []
-        last: list[tuple[str, str]] = []
-        seen = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            new = len(pdf)
-            units = np.concatenate([units, pdf["unit"].to_numpy()])
-            tokens = np.concatenate([tokens, pdf["word"].to_numpy()])
-            for n in ns:
-                # windows ending in this batch only: the kept words were already used before
-                at = max(0, len(tokens) - new - (n - 1))
-                u, w = units[at:], tokens[at:]
-                size = len(w) - n + 1
-                if size <= 0:
-                    continue
-                crossing = np.flatnonzero(u[:size] != u[n - 1:])
-                if len(crossing):
-                    yield pd.DataFrame({
-                        "n": n,
-                        "gram": [" ".join(w[i:i + n]) for i in crossing],
-                        "edge": [None] * len(crossing),
-                    })
-            room = reach - len(first)
-            if room > 0:
-                first += list(zip(pdf["unit"][:room], pdf["word"][:room]))
-            seen += new
-            units, tokens = units[-reach:], tokens[-reach:]
-            last = list(zip(units, tokens))
-        if seen:
-            tail = last[-min(reach, seen - len(first)):] if seen > len(first) else []
-            outer = first + tail
-            yield pd.DataFrame({
-                "n": [0] * len(outer), "gram": [None] * len(outer),
-                "edge": [{"part": part, "pos": i, "unit": u, "word": w}
-                         for i, (u, w) in enumerate(outer)],
-            })
-
-    return pieces
-
-
 def crossing_ngrams(units: DataFrame, order: list[str], tokens: str, ns: tuple[int, ...],
                     partitions: int | None = None) -> DataFrame:
-    """(n, gram, count): n-grams of the one long word sequence that cross a unit (turn) border.
+    """(n, gram, count): n-grams of the one long word sequence that cross a unit (turn) border, several rows for one n-gram.
 
-    The sequence is the concatenation of ``tokens`` in ``order``. Only the outer words of each unit
-    can take part, so a unit sends at most 2(n-1) words. Each range partition finds its own
-    crossings; the few words at the partition borders meet in one small group at the end.
+    The sequence is the concatenation of ``tokens`` in ``order``. An n-gram that starts in a unit and ends behind it is made of the unit's last
+    words and the first words that follow it, so a unit sends at most 2(n-1) words. Units are dealt out in buckets, ranges of the order; the words
+    that follow come from the next units of the bucket (``lead``), and at its end from the halo: the first words of the buckets after it.
     """
     reach = max(ns) - 1
     size = F.size(tokens)
-    # a short unit sends all words once, a long one its first and last ``reach`` words
-    after = F.greatest(F.lit(reach), size - reach)
-    first = F.transform(F.slice(tokens, 1, reach), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    last = F.transform(F.slice(tokens, after + 1, reach), lambda w, i: F.struct((after + i).alias("pos"), w.alias("word")))
-    # Copies of one unit are counted and numbered, so the key of a unit is made of data only. Range bounds come from a sample, a
-    # pass of its own over its input: the exchange of the few outer words keeps it from tokenising the whole text again.
-    outer = units.select(*order, F.xxhash64(tokens).alias("_hash"), F.concat(first, last).alias("_outer")).groupBy(
-        *order, "_hash", "_outer").agg(F.count("*").alias("_copies"))
-    numbered = outer.select(*order, "_hash", "_outer", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
-    unit = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in [*order, "_hash", "_copy"]])
-    outer = numbered.select(*order, unit.alias("unit"), F.inline("_outer"))
-    ranged = _sorted_ranges(outer, [*order, "unit", "pos"], partitions).select("unit", "word")
-    pieces = ranged.mapInPandas(_gram_pieces(ns), _PIECE)
-    merged = pieces.groupBy("n", "gram").agg(
-        F.sum(F.when(F.col("edge").isNull(), 1).otherwise(0)).alias("count"),
-        F.array_sort(F.collect_list("edge")).alias("edges"))
-    edges = F.col("edges")
-
-    def joined(n: int) -> Column:
-        last = F.size(edges) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))\
-            .otherwise(F.array().cast("array<int>"))
-        windows = F.transform(starts, lambda i: F.slice(edges, i + 1, n))
-        across = F.filter(windows, lambda w: (w[0]["part"] != w[n - 1]["part"])
-                          & (w[0]["unit"] != w[n - 1]["unit"]))
-        return F.transform(across, lambda w: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.transform(w, lambda s: s["word"]), " ").alias("gram"),
-            F.lit(1).cast("bigint").alias("count")))
-
-    own = F.array(F.struct(F.col("n"), F.col("gram"), F.col("count")))
-    return merged.select(F.inline(
-        F.when(F.col("gram").isNull(), F.concat(*[joined(n) for n in ns])).otherwise(own)))
+    head = F.slice(tokens, 1, reach)
+    tail = F.slice(tokens, F.greatest(F.lit(1), size - reach + 1), reach)
+    # Copies of one unit are counted and numbered, so the order of units is made of data only. Units without words have no part in it.
+    outer = units.filter(size > 0).select(*order, F.xxhash64(tokens).alias("_hash"), head.alias("_head"), tail.alias("_tail")).groupBy(
+        *order, "_hash", "_head", "_tail").agg(F.count("*").alias("_copies"))
+    copies = outer.select(*order, "_hash", "_head", "_tail", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    by = [*order, "_hash", "_copy"]
+    # written once, as the range of a unit must be the same for the halo and for the window
+    rows = written(_bucketed(copies, by, partitions), "ngram-units")
+    inside = Window.partitionBy("bucket").orderBy(*by)
+
+    def following(word_lists: list[Column]) -> Column:
+        return F.slice(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in word_lists]), 1, reach)
+
+    def next_ones(column: str, window) -> list[Column]:
+        return [F.lead(column, i).over(window) for i in range(1, reach + 1)]
+
+    # a bucket's first words: those of its first units, which hold a word each at least
+    place = rows.select("bucket", "_head", F.row_number().over(inside).alias("_place")).filter(F.col("_place") <= reach)
+    firsts = [F.max(F.when(F.col("_place") == i, F.col("_head"))) for i in range(1, reach + 1)]
+    heads = place.groupBy("bucket").agg(following(firsts).alias("_head"))
+    everything = Window.orderBy("bucket")       # one row for each bucket
+    halo = heads.select(F.col("bucket").alias("_bucket"), following(next_ones("_head", everything)).alias("_halo"))
+    last = F.lead("_copy", reach).over(inside).isNull()
+    near = rows.select("bucket", "_tail", following(next_ones("_head", inside)).alias("_after"), last.alias("_last"))
+
+    def crossing(after: Column) -> Column:
+        own, more = F.size("_tail"), F.size(after)
+        parts = [F.when((own >= k) & (more >= n - k), F.struct(
+            F.lit(n).alias("n"), F.array_join(F.concat(F.slice("_tail", own - k + 1, k), F.slice(after, 1, n - k)), " ").alias("gram"), F.lit(1).cast("bigint").alias("count")))
+            for n in ns for k in range(1, n)]
+        return F.inline(F.array_compact(F.array(*parts)))
+
+    within = near.filter(~F.col("_last")).select(crossing(F.col("_after")))
+    # the last units of each bucket also look into the next buckets
+    ends = near.filter("_last").join(halo, F.col("bucket") == F.col("_bucket"))
+    ends = ends.select("_tail", F.slice(F.concat("_after", "_halo"), 1, reach).alias("_after")).select(crossing(F.col("_after")))
+    return within.union(ends)
 
 
 def inner_ngrams(tokens: Column, n: int) -> Column:
