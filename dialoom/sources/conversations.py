@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dialoom.functions.text import strip
+from dialoom.sources.arrays import array_records
 from dialoom.schema import CONVERSATION, REFERENCE
 
 JSON_ARRAY_ROWS = 1000      # from this size on JSON lines are the better file format
@@ -60,14 +61,12 @@ def read_conversations(spark: SparkSession, path: str, fmt: str = "json",
                        schema: T.StructType = CONVERSATION) -> DataFrame:
     """Conversations from ``path``; a missing path gives no rows.
 
-    A JSON file is one array and one task; files that are none are left out one by one, and ``rejected_files`` lists them.
-    Land large ones once with ``write_conversations(..., "parquet")``.
+    A JSON file is one array, read by as many tasks as it has blocks; files that are none are left out, and ``rejected_files`` lists them.
+    A record that is no valid JSON is a row of nulls.
     """
     def read() -> DataFrame:
         if fmt == "json":
-            # file names, like those of Spark's own file index
-            arrays = [r["file"] for r in json_roots(spark, path).filter("root = '['").select("file").collect()]
-            return spark.read.schema(schema).json(arrays, multiLine=True) if arrays else spark.createDataFrame([], schema)
+            return array_records(spark, path).select(F.from_json("record", schema).alias("r")).select("r.*")
         if fmt == "jsonl":
             return spark.read.schema(schema).json(path)
         if fmt == "parquet":
