@@ -4,7 +4,7 @@ Two near words have at least half of the shorter one in common at the front or a
 lists, that of the words and that of the reversed words, with the range of words that begin with its own first half. A list
 is range-partitioned into blocks. A word visits the blocks that its range touches, but for those whose shared prefix
 is already more than one edit away; within a block it scans its range with the three cells around the diagonal of
-the edit matrix. The rows for the prefix that a word shares with the one before it (their LCP) are kept, and where a row holds no cell below two,
+the edit matrix, one length after the other. The rows for the prefix that a word shares with the one before it (their LCP) are kept, and where a row holds no cell below two,
 all words that share the prefix up to there are skipped. Each visit returns a count and the best near word, never pairs.
 """
 
@@ -91,36 +91,53 @@ def next_row(word: str, depth: int, row: tuple[int, int, int], letter: str) -> t
 
 
 def near_in(word: str, words: list[str], lcp: list[int], first: int, last: int, known: int):
-    """The places between ``first`` and ``last`` of sorted ``words`` that are exactly one edit from ``word``, with the prefix they share.
+    """The places between ``first`` and ``last`` of sorted ``words`` that are exactly one edit from ``word``.
 
     All words there begin with the first ``known`` code points of ``word``. ``lcp[i]`` is the prefix that words i - 1 and i share.
     """
     rows = [(1, 0, 1)]      # rows[d - known]: the row of the prefix of length d
     size = len(word)
-    i = first
+    letters = word + "\0\0"      # cells beyond the word's end are of no use, and do no harm
+    i, same = first, known      # same: the prefix that word i shares with the last one whose rows were made
     while i < last:
+        if i > first and lcp[i] < same:
+            same = max(known, lcp[i])
         w = words[i]
-        keep = max(known, lcp[i]) if i > first else known
-        del rows[keep - known + 1:]
-        depth = known + len(rows) - 1
         end = len(w)
-        dead = end > size + 1
+        if end < size - 1 or end > size + 1:        # of another length: only the prefix it shares with the next one matters
+            i += 1
+            continue
+        del rows[same - known + 1:]
+        depth = known + len(rows) - 1
+        a, b, c = rows[-1]
         while depth < end:
-            if depth >= size + 1:
-                dead = True
-                break
+            letter = w[depth]
+            x = a if letters[depth - 1] == letter else a + 1
+            if x > b + 1:
+                x = b + 1
+            y = b if letters[depth] == letter else b + 1
+            if y > c + 1:
+                y = c + 1
+            if y > x + 1:
+                y = x + 1
+            z = c if letters[depth + 1] == letter else c + 1
+            if z > y + 1:
+                z = y + 1
+            a, b, c = x, y, z
             depth += 1
-            row = next_row(word, depth, rows[-1], w[depth - 1])
-            rows.append(row)
-            if min(row) > 1:
-                dead = True
+            rows.append((a, b, c))
+            if a > 1 and b > 1 and c > 1:
                 break
-        if not dead and -1 <= size - end <= 1 and rows[end - known][size - end + 1] == 1:
-            yield i, shared(word, w, known)
+        else:
+            if rows[end - known][size - end + 1] == 1:
+                yield i
+            same = end
+            i += 1
+            continue
         i += 1
-        if dead:
-            while i < last and lcp[i] >= depth:     # they share the prefix that is too far away
-                i += 1
+        while i < last and lcp[i] >= depth:     # they share the prefix that is too far away
+            i += 1
+        same = depth
 
 
 class Borders:
@@ -176,29 +193,29 @@ def _scanned(min_length: int, backwards: bool):
         flat = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
         out = []
         for _, rows in groupby(flat, key=lambda r: r[0]):
-            words: list[str] = []
-            ns: list[int] = []
-            lcp: list[int] | None = None
+            lists: dict[int, tuple[list[str], list[int], list[int]]] = {}       # by length: words, n, LCP with the word before
             for _, role, word, n in rows:
                 if role == 0:
+                    words, ns, lcp = lists.setdefault(len(word), ([], [], []))
+                    lcp.append(shared(words[-1], word) if words else 0)
                     words.append(word)
                     ns.append(n)
                     continue
-                if lcp is None:
-                    lcp = [0] + [shared(a, b) for a, b in zip(words, words[1:])]
-                known = half(word, min_length)
-                first = bisect_left(words, word[:known])
-                last = bisect_left(words, word[:known] + _LAST, first) if known else len(words)
                 count, best = 0, None
-                for i, same in near_in(word, words, lcp, first, last, known):
-                    least = min(len(word), len(words[i])) // 2
-                    # near in both lists: counted in the forward one only
-                    if same < least or backwards and shared(word[::-1], words[i][::-1]) >= least:
+                for size in (len(word) - 1, len(word), len(word) + 1):
+                    if size not in lists:
                         continue
-                    count += 1
-                    other = words[i][::-1] if backwards else words[i]
-                    if best is None or (-ns[i], other) < best:
-                        best = (-ns[i], other)
+                    words, ns, lcp = lists[size]
+                    known = min(size, len(word)) // 2
+                    first = bisect_left(words, word[:known])
+                    last = bisect_left(words, word[:known] + _LAST, first) if known else len(words)
+                    for i in near_in(word, words, lcp, first, last, known):
+                        if backwards and shared(word[::-1], words[i][::-1]) >= known:
+                            continue        # counted in the forward list
+                        count += 1
+                        other = words[i][::-1] if backwards else words[i]
+                        if best is None or (-ns[i], other) < best:
+                            best = (-ns[i], other)
                 if count:
                     out.append((word[::-1] if backwards else word, count, best[1], -best[0]))
                     if len(out) >= 20_000:
@@ -225,7 +242,7 @@ def _near(words: DataFrame, n_words: int, min_length: int, backwards: bool, bloc
     sent = spark.sparkContext.broadcast(Borders([tuple(r) for r in ends]))
     visits = listed.select("word", "n").mapInArrow(_visits(sent, min_length), "block int, role int, word string, n bigint")
     rows = listed.select("block", F.lit(0).alias("role"), "word", "n").union(visits)
-    rows = rows.repartition("block").sortWithinPartitions("block", "role", "word")
+    rows = rows.repartition(blocks, "block").sortWithinPartitions("block", "role", "word")     # much work for few bytes: tasks are not to be joined
     return rows.mapInArrow(_scanned(min_length, backwards), "word string, n_near bigint, form string, form_n bigint")
 
 

@@ -39,7 +39,7 @@ def test_scan_finds_all_words_one_edit_away():
         words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, length))) for _ in range(300)})
         lcp = [0] + [spelling.shared(a, b) for a, b in zip(words, words[1:])]
         for w in words:
-            assert [words[i] for i, _ in spelling.near_in(w, words, lcp, 0, len(words), 0)] == [v for v in words if near(w, v)]
+            assert [words[i] for i in spelling.near_in(w, words, lcp, 0, len(words), 0)] == [v for v in words if near(w, v)]
 
 
 def texts():
