@@ -7,6 +7,7 @@ A word is a run of bytes other than space and 0x09-0x0D; ``bytes.split()`` cuts
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -126,6 +127,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as it takes to be no column of ``df`` (case does not matter)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class BitFilter:
     """A Bloom filter of a fixed number of bits, sent to the tasks: at most ``2 ** log_bits / 8`` bytes whatever its input.
 
@@ -168,3 +181,28 @@ def bit_filter(keys: DataFrame, column: str, log_bits: int = 24, probes: int = 2
 
     df = keys.select(F.col(column).cast("long"))
     return BitFilter(bits_of(df.sparkSession, df.mapInArrow(cells, "cell long"), log_bits), log_bits, probes)
+
+
+def apart(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``docs`` that are certainly not among ``keys``, all others), by a bit filter of the keys.
+
+    ``keys`` has the columns id and th, the xxhash64 of the text. Only the other rows need a join; the first ones stay where they
+    are. Just the hash of a row goes through Python. ``keys`` is read twice, so it should be a written table.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64("id", "th").alias("k")), "k"))
+    may = F.pandas_udf(lambda k: pd.Series(sent.value.mask(k.to_numpy().view(np.uint64))), "boolean")
+    found = may(F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
+    return docs.filter(~found), docs.filter(found)
+
+
+def same_row(docs: DataFrame, id_col: str, text_col: str, other_id: str, other_th: str):
+    """The condition that a row of ``docs`` has the id and the text's hash in the columns ``other_id`` and ``other_th``."""
+    return docs[id_col].eqNullSafe(F.col(other_id)) & (F.xxhash64(docs[text_col]) == F.col(other_th))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, xxhash64 of the text) is not among ``keys`` (id, th), unchanged; only rows that may be are joined."""
+    id_, th = free_names(docs, "id", "th")
+    stay, others = apart(docs, keys, id_col, text_col)
+    gone = keys.select(F.col("id").alias(id_), F.col("th").alias(th)).distinct()
+    return stay.unionByName(others.join(gone, same_row(others, id_col, text_col, id_, th), "left_anti"))

@@ -17,7 +17,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import as_bytes, bit_filter, pieces, stored, window_hashes
+from dialoom.llm.common import bit_filter, pieces, stored, window_hashes, without
 
 TOKENS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
@@ -31,16 +31,17 @@ def token_hashes(text: bytes | None) -> np.ndarray:
 def _item_runs(min_match: int):
     def run(batches):
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                tokens = token_hashes(text)
-                n = len(tokens)
-                if n == 0:
-                    continue
-                runs = window_hashes(tokens, min(min_match, n)).view(np.int64)
-                m = len(runs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs), pa.array([item] * m, batch.schema.field(0).type), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int32))],
-                    names=["h", "item", "ipos", "n_item"])
+            for at, texts in pieces(batch, 1):
+                for item, text in zip(batch.column(0).slice(at.start, len(at)).to_pylist(), texts):
+                    tokens = token_hashes(text)
+                    n = len(tokens)
+                    if n == 0:
+                        continue
+                    runs = window_hashes(tokens, min(min_match, n)).view(np.int64)
+                    m = len(runs)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(runs), pa.array([item] * m, batch.schema.field(0).type), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int32))],
+                        names=["h", "item", "ipos", "n_item"])
     return run
 
 
@@ -65,19 +66,19 @@ def _document_runs(seen, sizes):
 def common_runs(hits, size: int, n_item: int):
     """Maximal common runs (length, item place, document place) from the hits (document place, item place) in order.
 
-    A run is a row of hits on one diagonal. At most ``2 * n_item / size + 1`` copies of the same run of the item that do not
-    overlap in the document are given out: a tiling has at most n_item / size tiles, which touch fewer copies than that, so one
-    that is free is always among them.
+    A run is a row of hits on one diagonal. Of the copies of one run of the item, overlapping ones included, the first
+    ``n_item + n_item // size * length + 1`` are given out, which changes no tiling: the tiles have n_item tokens together and are n_item / size at most,
+    and a tile of t tokens touches less than t + length copies. So one copy that no tile touches is always among those given
+    out; it can stand for any later one, and comes before it in the order of tiling.
     """
-    most = 2 * n_item // size + 1
     open_: dict[int, list[int]] = {}
-    copies: dict[tuple[int, int], list[int]] = {}
+    copies: dict[tuple[int, int], int] = {}
 
     def closed(diagonal, first, last):
         length = last - first + size
-        ends = copies.setdefault((first - diagonal, length), [])
-        if len(ends) < most and (not ends or ends[-1] <= first):
-            ends.append(first + length)
+        run = (first - diagonal, length)
+        if (had := copies.get(run, 0)) <= n_item + n_item // size * length:
+            copies[run] = had + 1
             yield length, first - diagonal, first
 
     for pos, same in groupby(hits, key=lambda x: x[0]):
@@ -85,11 +86,8 @@ def common_runs(hits, size: int, n_item: int):
             yield from closed(diagonal, *open_.pop(diagonal))
         for _, ipos in same:
             run = open_.setdefault(pos - ipos, [pos, pos])
-            if run[1] < pos - 1:
-                yield from closed(pos - ipos, *run)
-                run[0] = pos
             run[1] = pos
-    for diagonal, run in open_.items():
+    for diagonal, run in sorted(open_.items(), key=lambda x: x[1]):
         yield from closed(diagonal, *run)
 
 
@@ -163,6 +161,5 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_matches(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that match no item, unchanged."""
-    gone = found.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct().hint("shuffle_hash")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left_anti")
+    """The rows of ``docs`` that match no item, unchanged. Only rows that may match are joined, the others stay where they are."""
+    return without(docs, stored(found.select("id", "th").distinct(), "matches"), id_col, text_col)

@@ -102,8 +102,12 @@ def _counted(batches):
             here = langs[at.start:at.stop]
             for lang in sorted(set(here)):
                 mine = (here == lang)[owner]
-                both = np.unique(np.stack([owner[mine].astype(np.uint64), keys[mine]]), axis=1)[1] if mine.any() else np.empty(0, np.uint64)
-                k, n = np.unique(both, return_counts=True)
+                of, k = owner[mine], keys[mine]
+                order = np.lexsort((of, k))
+                of, k = of[order], k[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (of[1:] != of[:-1])       # an n-gram counts once for each document
+                k, n = np.unique(k[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([lang] * len(k), pa.string()), pa.array(n)], names=["gram", "lang", "docs"])
 
 

@@ -13,12 +13,11 @@ import zlib
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import as_bytes, stored
+from dialoom.llm.common import apart, free_names, pieces, same_row, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 _ROW = "h1 bigint, h2 bigint, id {id}, th bigint, n int, at array<int>"
@@ -40,14 +39,16 @@ def _rows_of(min_chars: int):
         for batch in batches:
             out = []
             kind = batch.schema.field(0).type
-            for id_, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
-                n, places = line_keys(text, min_chars)
-                for key, at in places.items():
-                    h = xxhash.xxh3_128_digest(key)
-                    out.append((h[:8], h[8:], id_, th, n, at))
-                if len(out) >= 20_000:
-                    yield _batch(out, kind)
-                    out = []
+            for rows, texts in pieces(batch, 2):
+                ids, ths = (batch.column(i).slice(rows.start, len(rows)).to_pylist() for i in (0, 1))
+                for id_, th, text in zip(ids, ths, texts):
+                    n, places = line_keys(text, min_chars)
+                    for key, at in places.items():
+                        h = xxhash.xxh3_128_digest(key)
+                        out.append((h[:8], h[8:], id_, th, n, at))
+                        if len(out) >= 20_000:
+                            yield _batch(out, kind)
+                            out = []
             yield _batch(out, kind)
     return run
 
@@ -165,38 +166,51 @@ def kept_lines(text: bytes | None, keep: bytes | None) -> tuple[int, int, bytes]
     return len(lines), len(lines) - int(bits.sum()), b"\n".join(compress(lines, bits))
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_keep`` (null: all lines stay). The texts move once; the bitmaps are the built side."""
-    marks = bitmaps.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("keep").alias("_keep")).hint("shuffle_hash")
-    return docs.join(marks, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left").drop("_id", "_th")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "keep") -> DataFrame:
+    """``docs`` with the column ``keep`` (null: all lines stay). Only rows that may have a bitmap move. ``bitmaps`` should be a written table."""
+    id_, th = free_names(docs, "id", "th")
+    stay, others = apart(docs, bitmaps, id_col, text_col)
+    marks = bitmaps.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("keep").alias(keep))
+    found = others.join(marks, same_row(others, id_col, text_col, id_, th), "left").drop(id_, th)
+    return stay.withColumn(keep, F.lit(None).cast("binary")).unionByName(found)
 
 
 def _digests(batches):
     for batch in batches:
-        n, gone, sha = [], [], []
-        for text, keep in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            lines, dropped, left = kept_lines(text, keep)
-            n.append(lines)
-            gone.append(dropped)
-            sha.append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)],
-                                         names=["id", "n_lines", "n_dropped", "kept_sha256"])
+        for rows, texts in pieces(batch, 1):
+            n, gone, sha = [], [], []
+            for text, keep in zip(texts, batch.column(2).slice(rows.start, len(rows)).to_pylist()):
+                lines, dropped, left = kept_lines(text, keep)
+                n.append(lines)
+                gone.append(dropped)
+                sha.append(hashlib.sha256(left).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(rows)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
+                                             names=["id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_lines, n_dropped, kept_sha256) of every row; the options are those of ``keep_bitmaps``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(id_col, text_col)
-    joined = with_bitmaps(plain, keep_bitmaps(plain, id_col, text_col, **options), id_col, text_col)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = with_bitmaps(plain, stored(keep_bitmaps(plain, "id", "text", **options), "line-bitmaps"), "id", "text")
     return joined.mapInArrow(_digests, f"id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
-def _cleaned(texts: pd.Series, keeps: pd.Series) -> pd.Series:
-    return texts.combine(keeps, lambda t, k: t if k is None else kept_lines(t.encode(), k)[2].decode("utf-8", "replace"))
+def _cleaned(column: int):
+    """Rows whose last column is a bitmap, without it: the lines are taken out of column number ``column``."""
+    def run(batches):
+        for batch in batches:
+            for rows, texts in pieces(batch, column):
+                part = batch.slice(rows.start, len(rows))
+                keeps = part.column(part.num_columns - 1).to_pylist()
+                left = pa.array([t if k is None else kept_lines(t, k)[2] for t, k in zip(texts, keeps)], pa.binary()).cast(part.schema.field(column).type)
+                yield part.set_column(column, part.schema.field(column), left).select(range(part.num_columns - 1))
+    return run
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the lines dropped from ``text_col``; all columns and rows stay, null texts stay null."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **options), id_col, text_col)
-    text = F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cleaned, "string")(F.col(text_col), F.col("_keep")))
-    return joined.withColumn(text_col, text).drop("_keep").select(docs.columns)
+    """``docs`` with the lines dropped from ``text_col``; all columns and rows stay, null texts stay null. Other columns may have any name."""
+    (keep,) = free_names(docs, "keep")
+    joined = with_bitmaps(docs, stored(keep_bitmaps(docs, id_col, text_col, **options), "line-bitmaps"), id_col, text_col, keep)
+    cut = joined.filter(F.col(keep).isNotNull()).mapInArrow(_cleaned(docs.columns.index(text_col)), docs.schema)
+    return joined.filter(F.col(keep).isNull()).drop(keep).union(cut)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import bit_filter, mix, pieces, shingle_sets, stored
+from dialoom.llm.common import apart, bit_filter, mix, pieces, shingle_sets, stored, without
 from dialoom.llm.components import connected_components
 
 BANDS, ROWS, WORDS = 45, 5, 5
@@ -192,35 +192,26 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """One row of every component of ``docs``, unchanged, and all rows of texts without words, which belong to none.
 
     The row with the smallest id stays (null ids last), of several texts with that id the one with the smallest xxhash64, and of
-    rows with equal id and text one, the smallest by its other columns. So ids may be null or repeated: rows are told apart by (id, xxhash64 of the text).
+    rows with equal id and text one, the smallest as JSON. So ids may be null or repeated: rows are told apart by (id, xxhash64 of the text).
     """
     signed, known = _components(docs, id_col, text_col, percent, words, bands, rows)
     signed = signed.filter("n > 0")
     head = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("head")
     heads = signed.groupBy("digest").agg(head).join(known.select("digest", "top"), "digest").groupBy("top").agg(F.min("head").alias("head"))
-    heads = heads.select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"), F.lit(True).alias("stays"))
-    keys = signed.groupBy("id", "th").agg(F.count("*").alias("c")).hint("shuffle_hash")
-    keys = keys.join(heads, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    gone = stored(keys.filter("stays IS NULL OR c > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.coalesce("stays", F.lit(False)).alias("once")), "minhash-gone")
-    mine = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
-    left = docs.join(gone.hint("shuffle_hash"), mine, "left_anti")
-    # of repeated rows that stay none is left so far: one of each comes back. Equal rows meet inside the tasks before they move
+    heads = heads.select(F.col("head.id").alias("hid"), F.col("head.th").alias("hth"), F.lit(True).alias("stays"))
+    keys = signed.groupBy("id", "th").agg(F.count("*").alias("c")).join(heads, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
+    gone = stored(keys.filter("stays IS NULL OR c > 1").select("id", "th", F.coalesce("stays", F.lit(False)).alias("once")), "minhash-gone")
+    left = without(docs, gone, id_col, text_col)
+    # of repeated rows that stay none is left so far: one of each comes back, picked before it moves as far as its copies are together
     once = gone.filter("once")
     if once.isEmpty():
         return left
-    close = bit_filter(once.select(F.xxhash64("_id", "_th").alias("k")), "k")
-
-    def may_be_repeated(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(close.mask(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    key = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
-    types = docs.schema
-    found = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), key.alias("k")).mapInArrow(
-        may_be_repeated, f"row {types.simpleString()}, id {types[id_col].dataType.simpleString()}, k bigint")
-    found = found.withColumn("th", F.xxhash64(F.col("row")[text_col])).groupBy("id", "th").agg(F.min("row").alias("row"))
-    found = found.join(once, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
-    return left.unionByName(found.select("row.*"))
+    _, others = apart(docs, once, id_col, text_col)
+    rows = others.select(F.struct(*[others[c] for c in docs.columns]).alias("row")).select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col]).alias("th"))
+    found = rows.groupBy("id", "th").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    names = once.select(F.col("id").alias("hid"), F.col("th").alias("hth"))
+    found = found.join(names, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left_semi")
+    return left.union(found.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:

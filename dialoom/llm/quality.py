@@ -111,9 +111,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     standard = lambda df: df.select("id", *[((F.col(f) - mean[f]) / scale[f]).alias(f) for f in FEATURES])
     # equal slots on both sides pair every document with about ``partners`` others, without a rank over all of them
     slots = max(1, max(counts) // partners)
-    slot = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(slots)).alias("slot")
-    bad, good = (standard(s).select(slot, *[F.col(f).alias(f"{p}_{f}") for f in FEATURES]) for p, s in zip("bg", sides))
-    pairs = good.join(bad, "slot").select(*[(F.col(f"g_{f}") - F.col(f"b_{f}")).alias(f) for f in FEATURES])
+    while True:
+        slot = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(slots)).alias("slot")
+        bad, good = (standard(s).select(slot, *[F.col(f).alias(f"{p}_{f}") for f in FEATURES]) for p, s in zip("bg", sides))
+        pairs = good.join(bad, "slot").select(*[(F.col(f"g_{f}") - F.col(f"b_{f}")).alias(f) for f in FEATURES])
+        if slots == 1 or not pairs.isEmpty():
+            break
+        slots //= 2         # few documents of a label may share no slot with the other label
     both = pairs.withColumn("won", F.lit(1.0)).union(pairs.select(*[(-F.col(f)).alias(f) for f in FEATURES], F.lit(0.0).alias("won")))
     both = VectorAssembler(inputCols=FEATURES, outputCol="difference").transform(both).select("difference", "won")
     model = LogisticRegression(featuresCol="difference", labelCol="won", fitIntercept=False, standardization=False, regParam=1e-4, maxIter=50).fit(both)

@@ -102,7 +102,7 @@ def op5_licenses(spark, sf_dir):
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(remainder("doc_id", 4) != 2))
-    return langid.identify(docs, model).withColumn("held_out", remainder("doc_id", 4) == 2)
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
 
 
 @query()
