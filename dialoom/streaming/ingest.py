@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoom.functions.text import truthy
-from dialoom.plans.responses import extract_errors, process
+from dialoom.plans.responses import extract_errors, parse_texts, process
 from dialoom.sources.exchange import parse_lines
 
 PLACE = ("key", "file", "arrived")
@@ -73,6 +73,50 @@ def errors(spark: SparkSession, sink: str) -> DataFrame:
     return _newest(spark.read.parquet(f"{sink}/errors").join(answered, "key", "left_anti"))
 
 
+_LINE = ["record_id", "generated_text", "error", "raw_line", *PLACE[1:], "line_hash"]
+
+
+def follow(stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps the standing line of every record of a ``response_stream`` as the state of a keyed aggregation below ``checkpoint``.
+
+    A good answer stands above every failure, the newer one above the older one. The state is a table of its own, kept in RocksDB
+    and committed with the stream's offsets, so a restart goes on where it was and a replay changes nothing. Nothing else is written:
+    ``standing`` reads the state, one row for each record however many lines came.
+    """
+    parsed = parse_texts(stream)
+    good = F.col("record").isNotNull() & F.col("error").isNull()
+    failure = F.coalesce("error", "failure", F.when(~good, F.lit(NO_TEXT)))
+    preview = F.coalesce("raw_line", F.when(F.col("error").isNull() & F.col("failure").isNotNull(), F.substring("generated_text", 1, 200)))
+    rows = parsed.withColumns({"error": failure, "raw_line": preview})
+    line = F.struct(*[F.when(good, F.col(c)).alias(c) if c == "generated_text" else F.col(c) for c in _LINE])
+    state = rows.groupBy("key").agg(F.max_by(line, F.struct(good.alias("good"), "arrived", "file", "line_hash")).alias("line"))
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")      # a query keeps the setting it starts with
+    try:
+        writer = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(name, before)
+
+
+def standing(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, record_id, generated_text, error, raw_line, file, arrived, line_hash): the standing line of every record; ``error`` is null for a good answer."""
+    state = spark.read.format("statestore").load(checkpoint)
+    value = F.col("value")[state.schema["value"].dataType.fieldNames()[0]]
+    return state.select(F.col("key")["key"].alias("key"), value.alias("line")).select("key", "line.*")
+
+
+def standing_conversations(spark: SparkSession, checkpoint: str, plan: DataFrame | None = None, model: str = "model") -> DataFrame:
+    """The conversations of the good standing lines, as ``ingest`` writes them."""
+    return process(standing(spark, checkpoint).filter("error IS NULL"), plan, model, keep=PLACE)
+
+
+def standing_errors(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(record_id, error, raw_line, key, file, arrived) of the records without a good answer."""
+    return standing(spark, checkpoint).filter("error IS NOT NULL").select("record_id", "error", "raw_line", *PLACE)
+
+
 def generate(requests: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """Applies a user generator to the partitions of a request table.
 

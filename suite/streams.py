@@ -47,6 +47,30 @@ def ingest_errors(spark, sf):
     return found.groupBy("record_id", error.alias("error"), "line").agg(F.countDistinct(F.coalesce("record_id", F.element_at(F.split("key", "\x1f"), -1))).alias("n"))
 
 
+@query("j1_standing_conversations", f"""WITH {PLANNED_SQL} SELECT rid AS record_id, coalesce(g_intent, p_intent, 'general_inquiry') AS intent,
+  coalesce(g_sentiment, p_sentiment, 'neutral') AS sentiment, coalesce(p_language, 'en') AS language FROM planned WHERE m IN (0, 1, 2)""")
+def standing_conversations(spark, sf):
+    """The same result from the state of the stream, after a restart."""
+    folder, checkpoint = _folder(spark, sf), shared_path(spark, "standing")
+    for _ in range(2):
+        I.follow(I.response_stream(spark, folder, max_files=3), checkpoint).awaitTermination()
+    return I.standing_conversations(spark, checkpoint, _response_plan(spark, sf)).select("record_id", "intent", "sentiment", "language")
+
+
+@query("j1_standing_errors", f"""WITH {RESPONSE_SQL}, bad AS (SELECT *, CASE WHEN m = 5 THEN 'Throttled: too many requests sent to this one model'
+    WHEN m IN (8, 9) THEN 'no text in the response' ELSE 'JSON parse error' END AS error, 'garbage ' || replace(text, chr(10), ' ') AS line FROM r WHERE m NOT IN (0, 1, 2, 3))
+  SELECT CASE WHEN m <> 6 THEN rid END AS record_id, error, CASE WHEN m = 6 THEN substr(line, 1, 200) END AS line, count(DISTINCT CASE WHEN m = 6 THEN md5(line) ELSE rid END) AS n
+  FROM bad GROUP BY ALL""")
+def standing_errors(spark, sf):
+    """Records that failed twice at one file time are left out: which of both failures came last is not determined."""
+    folder, checkpoint = _folder(spark, sf), shared_path(spark, "standing")
+    I.follow(I.response_stream(spark, folder), checkpoint).awaitTermination()
+    found = I.standing_errors(spark, checkpoint).withColumn("line", F.when(F.col("record_id").isNull(), F.col("raw_line")))
+    twice = response_lines(spark, sf).filter("m = 3").select(F.col("rid").alias("record_id"))
+    found = found.join(twice, "record_id", "left_anti")
+    return found.groupBy("record_id", "error", "line").agg(F.countDistinct(F.coalesce("record_id", F.element_at(F.split("key", "\x1f"), -1))).alias("n"))
+
+
 def _calls(df):
     return df.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
 
@@ -81,6 +105,25 @@ def failure_streaks(spark, sf):
     return M.failure_streaks(_calls(table(spark, sf, "events")), F.col("user_id"), F.struct("ts", "event_id"), 3)
 
 
+@query("j2_failure_pauses_stream", """WITH e AS (SELECT * FROM events WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - 300000), g AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id)
+    - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY epoch_ms(ts), event_id) AS run FROM e),
+  c AS (SELECT user_id, run, count(*) AS n FROM g WHERE bad GROUP BY 1, 2)
+  SELECT u.user_id::VARCHAR AS key, coalesce(max(n), 0)::BIGINT AS longest, count(CASE WHEN n >= 3 THEN 1 END) AS pauses FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN c USING (user_id) GROUP BY 1""")
+def failure_pauses_stream(spark, sf):
+    """The streaks of ``j2_failure_streaks`` from a stateful stream, up to its last watermark."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    sink, name = shared_path(spark, "pauses"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        M.failure_pauses(_calls(stream), "user_id", "event_id", 3).writeStream.format("parquet").option("path", sink)\
+            .option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(sink).groupBy("key").agg(F.max("longest").alias("longest"), F.max("pauses").alias("pauses"))
+
+
 @query("j3_generated_responses", "SELECT doc_id::VARCHAR AS record_id, true AS answered FROM documents")
 def generated(spark, sf):
     def echo(batches):
