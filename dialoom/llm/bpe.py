@@ -16,11 +16,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import pieces
+from dialoom.llm.common import pieces, small_batches
 
 # fixed values: the pattern that byte-level BPE of this kind cuts texts with
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED, LONGEST = 1 << 18, 64       # pieces that a worker remembers, and the longest of them
+CACHED, LONGEST = 1 << 17, 64       # pieces that a worker remembers, and the longest of them
 
 
 def byte_letters() -> dict[int, str]:
@@ -132,6 +132,7 @@ def _digests(spec):
 
 
 def _spec(docs: DataFrame, path: str):
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())       # a vocabulary file: its size does not depend on the data
 

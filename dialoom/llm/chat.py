@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import stored
+from dialoom.llm.common import small_batches, stored
 
 # fixed values of the template: names of roles, the other control strings, and the texts that must not stand unescaped
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
@@ -141,6 +141,7 @@ def messages(log: DataFrame) -> DataFrame:
     columns are not looked at. A text must fit into one row; neither a conversation nor the events of a message must fit into a task.
     An empty log gives an empty table.
     """
+    small_batches(log.sparkSession)
     plain = log.select("conv_id", "turn", "msg", "seq", F.col("kind").cast("string").alias("kind"), F.col("role").cast("string").alias("role"),
                        F.col("text").cast("string").alias("text"))
     ordered = plain.repartitionByRange("conv_id", "turn", "msg").sortWithinPartitions("conv_id", "turn", "msg", "seq", "kind", "role", "text")

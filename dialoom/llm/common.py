@@ -6,6 +6,9 @@ A word is a run of bytes other than space and 0x09-0x0D; ``bytes.split()`` cuts
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialoom.session import shared_path
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None        # glibc has it
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,6 +112,14 @@ def pieces(batch, column: int, most: int = 1 << 19):
         last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
         yield range(first, last), as_bytes(texts.slice(first, last - first))
         first = last
+    release()
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the system: a worker lives on through the stages of other operators."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def as_bytes(column) -> list[bytes | None]:
@@ -115,14 +127,22 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Lets Python tasks of this session get at most about ``size`` of rows at a time, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets Python tasks of this session get at most about ``size`` bytes of rows at a time, whatever the length of the texts.
+
+    Every operator calls this, so batches do not depend on which one ran before. The setting stays, as results are computed later
+    than the operator returns; a smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("bB"))
+    if now <= 0 or now > size:
+        spark.conf.set(name, f"{size}b")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and reads it back: the lineage ends here."""
     path = shared_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

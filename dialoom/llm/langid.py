@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.common import mix, pieces, stored
+from dialoom.llm.common import mix, pieces, small_batches, stored
 
 SIZES, LOG_SLOTS, PROBES = (2, 3, 4), 18, 2
 
@@ -97,7 +97,7 @@ def _counted(batches):
     """(gram, lang, docs): for one partition of the training rows, in how many documents of a language an n-gram stands."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        for at, texts in pieces(batch, 1, 1 << 19):
+        for at, texts in pieces(batch, 1, 1 << 18):
             keys, owner, _ = grams(texts)
             here = langs[at.start:at.stop]
             for lang in sorted(set(here)):
@@ -170,7 +170,7 @@ def _predicted(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            for at, texts in pieces(batch, 1, 1 << 19):
+            for at, texts in pieces(batch, 1, 1 << 18):
                 names, score = m.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(at)), pa.array(names), pa.array(score)],
                                                  names=["id", "lang_pred", "score"])
@@ -185,12 +185,14 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
     language of the training rows with score 0. Ids may be null or repeated; an empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)      # a table of fixed size
     return docs.select(id_col, text_col).mapInArrow(_predicted(sent), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def with_language(docs: DataFrame, model: LanguageFilter, min_score: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``min_score``, unchanged. Texts do not move."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text_col)
 
@@ -198,7 +200,7 @@ def with_language(docs: DataFrame, model: LanguageFilter, min_score: float, id_c
         m = sent.value
         for batch in batches:
             keep = []
-            for _, texts in pieces(batch, column, 1 << 19):
+            for _, texts in pieces(batch, column, 1 << 18):
                 names, score = m.predict(texts)
                 keep += [n != "und" and s >= min_score for n, s in zip(names, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
