@@ -12,6 +12,7 @@ from dialoom.functions.dims import compact, metric, percent, ratio, to_row
 from dialoom.functions.dist import divergence, shares, side_counts
 from dialoom.functions.ordered import crossing_ngrams, inner_ngrams
 from dialoom.functions.text import normalised, truthy, words
+from dialoom.functions.vectors import projected
 from dialoom.operators.shape import Corpus
 from dialoom.taxonomy import CATEGORIES, INTENTS, RESOLUTIONS, SENTIMENTS, allowed, taxonomy, with_category
 
@@ -144,6 +145,20 @@ def coherence(pairs: DataFrame, customer: str = "customer_vec", agent: str = "ag
     return pairs.withColumn("coherence", score)
 
 
+def first_messages(turns: DataFrame) -> DataFrame:
+    """(conversation_id, customer, agent): the first message of both sides; null where a side says nothing."""
+    def first(speaker: str) -> Column:
+        return F.min(F.when(F.col("speaker") == speaker, F.struct("turn_idx", "text")))["text"].alias(speaker)
+
+    return turns.groupBy("conversation_id").agg(first("customer"), first("agent"))
+
+
+def text_coherence(turns: DataFrame, ngrams: int = 2, seed: int = 13) -> DataFrame:
+    """(conversation_id, customer_vec, agent_vec, coherence) from the texts alone: vectors as from ``functions.vectors``, weighted over all first messages."""
+    said = first_messages(turns)
+    return coherence(projected(said, "conversation_id", {"customer_vec": "customer", "agent_vec": "agent"}, ngrams, seed))
+
+
 def semantic_blend(facts: DataFrame, coherent: DataFrame) -> DataFrame:
     """consistency blended 70/30 with the mean coherence; the structural score alone if there is none."""
     semantic = metric(coherent, avg_score=F.avg("coherence"), min_score=F.min("coherence"),

@@ -96,21 +96,73 @@ def largest_dataset(current: DataFrame) -> DataFrame:
     return current.orderBy(F.desc("size"), "id").limit(1)
 
 
+def compacted(events: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The event tables without the rows that no view can need any more; every view of them, with any later events added, stays the same.
+
+    The newest row of a key hides all older ones, now and later, and a tombstone all rows up to its time. Tombstones themselves stay, the newest of
+    each dataset, because an older row may still come in.
+    """
+    deleted = events["deleted"].groupBy("dataset_id").agg(F.max("deleted_at").alias("deleted_at"))
+    out = {"deleted": deleted, "runs": live(events["runs"], deleted, "dataset_id", "trained_at")}
+    for name, key, at in (("datasets", "id", "created_at"), ("quality", "dataset_id", "updated_at"), ("bias", "dataset_id", "updated_at")):
+        out[name] = latest(live(events[name], deleted, key, at), key, at)
+    return out
+
+
 class Registry:
-    """The event tables below one folder, as Parquet. Every call appends; nothing is rewritten."""
+    """The event tables below one folder, as Parquet: a log to which every call appends, and snapshots of its current state.
+
+    A snapshot holds the compacted tables and the names of the log files that it covers, its high-water mark. A view reads the
+    newest whole snapshot and the log files that came after it. Names are the mark, not times: an event that is written late counts whatever time it carries.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
-        schema = T._parse_datatype_string(SCHEMAS[name])
+    def _read(self, paths: str | list[str], schema: T.StructType) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def _newest_snapshot(self) -> str | None:
+        """The folder of the newest snapshot; its mark is written last, so a broken one is never found."""
+        mark = self._read(f"{self.root}/marks", T._parse_datatype_string("number BIGINT, folder STRING"))
+        row = mark.agg(F.max_by("folder", "number").alias("folder")).first()
+        return row["folder"]
+
+    def table(self, name: str) -> DataFrame:
+        """The snapshot's rows and those of all later log files; without a snapshot the whole log."""
+        schema = T._parse_datatype_string(SCHEMAS[name])
+        log, folder = self._read(f"{self.root}/{name}", schema), self._newest_snapshot()
+        if folder is None:
+            return log
+        covered = {r["file"] for r in self.spark.read.parquet(f"{folder}/covered").filter(F.col("name") == name).collect()}      # the driver lists the files anyway
+        later = [f for f in log.inputFiles() if f not in covered]
+        old = self._read(f"{folder}/{name}", schema)
+        return old.unionByName(self._read(later, schema)) if later else old
+
+    def compact(self) -> str:
+        """Writes a snapshot of all events so far and returns its folder. It reads the one before and the log files after it, and no other."""
+        last, number = self._newest_snapshot(), self._read(f"{self.root}/marks", T._parse_datatype_string("number BIGINT, folder STRING")).count() + 1
+        folder = f"{self.root}/snapshots/{number}-{uuid.uuid4().hex}"
+        logs = {n: self._read(f"{self.root}/{n}", T._parse_datatype_string(s)).inputFiles() for n, s in SCHEMAS.items()}
+        events = {}
+        for name, text in SCHEMAS.items():
+            schema = T._parse_datatype_string(text)
+            done = set() if last is None else {r["file"] for r in self.spark.read.parquet(f"{last}/covered").filter(F.col("name") == name).collect()}
+            later = [f for f in logs[name] if f not in done]
+            rows = self._read(later, schema) if later else self.spark.createDataFrame([], schema)
+            events[name] = rows if last is None else rows.unionByName(self._read(f"{last}/{name}", schema))
+        for name, rows in compacted(events).items():
+            rows.write.parquet(f"{folder}/{name}")
+        files = [(n, f) for n, found in logs.items() for f in found]
+        self.spark.createDataFrame(files, "name STRING, file STRING").write.parquet(f"{folder}/covered")
+        self.spark.createDataFrame([(number, folder)], "number BIGINT, folder STRING").coalesce(1).write.mode("append").parquet(f"{self.root}/marks")
+        return folder
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Appends rows; missing columns are NULL, a missing time is now."""
         fields = T._parse_datatype_string(SCHEMAS[name]).fields
@@ -174,10 +226,3 @@ class Registry:
         one = {n: self.table(n).filter(F.col("id" if n == "datasets" else "dataset_id") == dataset_id)
                for n in ("datasets", "quality", "bias", "deleted")}
         return current_datasets(one["datasets"], one["quality"], one["bias"], one["deleted"])
-
-    def compact(self, name: str, path: str) -> None:
-        """Writes the newest rows of a table to a new folder."""
-        rows = self.table(name)
-        if name in ("quality", "bias"):
-            rows = latest(rows, "dataset_id", "updated_at")
-        rows.write.mode("errorifexists").parquet(path)

@@ -118,6 +118,35 @@ def coherence(spark, sf):
     return rounded(Q.coherence(_pairs(spark, sf)).select("pair_id", "coherence"))
 
 
+# one vector per first message: the bits of a hash of each term's bucket are the signs of its weight
+TEXT_VECTORS = f"""{LONG_FACTS}, said AS (SELECT conversation_id, speaker AS side, text FROM turns WHERE speaker IN ('customer', 'agent')
+    QUALIFY row_number() OVER (PARTITION BY conversation_id, speaker ORDER BY turn_idx) = 1),
+  cut AS (SELECT *, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM said WHERE text IS NOT NULL),
+  terms AS (SELECT conversation_id, side, CAST('0x' || substr(md5(t), 1, 4) AS INT) AS b FROM (SELECT conversation_id, side,
+    unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM cut)),
+  idf AS (SELECT b, ln((1 + (SELECT count(*) FROM cut)) / (1 + count(DISTINCT (conversation_id, side)))) + 1 AS idf FROM terms GROUP BY b),
+  tf AS (SELECT conversation_id, side, b, count(*) * any_value(idf) AS w, md5('13:' || b) AS h FROM terms JOIN idf USING (b) GROUP BY ALL),
+  dims AS (SELECT conversation_id, side, i, sum(CASE WHEN ((strpos('0123456789abcdef', substr(h, i // 4 + 1, 1)) - 1) >> (3 - i % 4)) & 1 = 1 THEN w ELSE -w END) / sqrt(128.0) AS x
+    FROM tf, (SELECT unnest(range(128)) AS i) GROUP BY ALL),
+  sims AS (SELECT a.conversation_id, sum(a.x * b.x) / sqrt(sum(a.x * a.x)) / sqrt(sum(b.x * b.x)) AS s FROM dims a JOIN dims b
+    ON a.conversation_id = b.conversation_id AND a.i = b.i AND a.side = 'customer' AND b.side = 'agent' GROUP BY 1),
+  coh AS (SELECT conversation_id, s, CASE WHEN s IS NULL THEN 0.5 WHEN s BETWEEN 0.2 AND 0.9 THEN least(1.0, s + 0.3) ELSE greatest(0.3, s) END AS coherence
+    FROM (SELECT DISTINCT conversation_id FROM turns) LEFT JOIN sims USING (conversation_id))"""
+
+
+@query("d6_text_coherence", f"WITH {TEXT_VECTORS} SELECT conversation_id, round(s, 6) AS similarity, round(coherence, 6) AS coherence FROM coh")
+def text_coherence(spark, sf):
+    found = Q.text_coherence(long_turns(spark, sf))
+    return rounded(found.select("conversation_id", Q.cosine(F.col("customer_vec"), F.col("agent_vec")).alias("similarity"), "coherence"))
+
+
+@query("d7_text_blend", f"""WITH {TEXT_VECTORS}, {CHECKS_SQL}, st AS (SELECT sum(c1::INT + c2::INT + c3::INT + c4::INT + c5::INT + c6::INT) / (6.0 * count(*)) AS structural FROM checks),
+  c AS (SELECT avg(coherence) AS a, min(coherence) AS lo, max(coherence) AS hi FROM coh)
+  SELECT round(0.7 * structural + 0.3 * a, 6) AS score, round(structural, 6) AS structural, round(a, 6) AS avg_score, round(lo, 6) AS min_score, round(hi, 6) AS max_score FROM st, c""")
+def text_blend(spark, sf):
+    return rounded(Q.semantic_blend(long_corpus(spark, sf).facts, Q.text_coherence(long_turns(spark, sf))))
+
+
 @query("d7_semantic_blend", f"""WITH {NESTED_FACTS}, {CHECKS_SQL}, {PAIRS_SQL}, s AS (SELECT
   sum(c1::INT + c2::INT + c3::INT + c4::INT + c5::INT + c6::INT) / (6.0 * count(*)) AS structural FROM checks),
   c AS (SELECT avg(coherence) AS a, min(coherence) AS lo, max(coherence) AS hi FROM coh)

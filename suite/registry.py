@@ -26,7 +26,7 @@ def _quality(spark, sf):
 
 
 def _bias(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 3 = 1")
+    o = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0")
     return o.select(F.col("o_custkey").cast("string").alias("dataset_id"), (F.col("o_orderstatus") != "F").alias("bias_detected"),
                     F.when(F.col("o_orderstatus") == "F", "none").otherwise("low").alias("bias_severity"),
                     F.timestamp_seconds(F.col("o_orderkey")).alias("updated_at"))
@@ -51,7 +51,7 @@ def _current(spark, sf):
 CURRENT = """q AS (SELECT o_custkey AS k, o_orderkey % 101 AS overall, o_totalprice / 1000000 AS x, o_orderkey % 7 AS issues FROM orders
     WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
 b AS (SELECT o_custkey AS k, o_orderstatus <> 'F' AS det, CASE o_orderstatus WHEN 'F' THEN 'none' ELSE 'low' END AS sev FROM orders
-    WHERE o_orderkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+    WHERE o_orderkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
 cur AS (SELECT c_custkey AS k, c_mktsegment AS domain, c_custkey % 97 AS size, overall::DOUBLE AS score, x, issues, coalesce(det, false) AS det, sev
   FROM customer LEFT JOIN q ON q.k = c_custkey LEFT JOIN b ON b.k = c_custkey WHERE c_custkey % 10 <> 9)"""
 
@@ -62,6 +62,21 @@ def current(spark, sf):
         "id", "domain", "size", "quality_score", "realism", F.col("issues_count").cast("bigint").alias("issues_count"), "bias_detected", "bias_severity"))
 
 
+@query("h8_snapshot_view", f"""WITH {CURRENT} SELECT k::VARCHAR AS id, domain, size, score AS quality_score, round(x, 6) AS realism, issues::BIGINT AS issues_count, det AS bias_detected, sev AS bias_severity FROM cur""")
+def snapshot_view(spark, sf):
+    """The same view from files: half of the events lie in a snapshot, the other half came after it."""
+    reg = R.Registry(spark, shared_path(spark, "registry"))
+    events = {"datasets": _datasets(spark, sf), "quality": _quality(spark, sf), "bias": _bias(spark, sf), "deleted": _deleted(spark, sf)}
+    for half in (0, 1):
+        for name, rows in events.items():
+            key = F.xxhash64(*[c for c in rows.columns if not c.endswith("_at")])
+            reg.append(name, rows.filter(F.pmod(key, F.lit(2)) == half))
+        if half == 0:
+            reg.compact()
+    return rounded(reg.current().select(
+        "id", "domain", "size", "quality_score", "realism", F.col("issues_count").cast("bigint").alias("issues_count"), "bias_detected", "bias_severity"))
+
+
 @query("h3_list_datasets", f"""WITH {CURRENT} SELECT k::VARCHAR AS id, score AS quality_score FROM cur WHERE domain = 'BUILDING'""")
 def list_datasets(spark, sf):
     return R.list_datasets(_current(spark, sf), "BUILDING").select("id", "quality_score")

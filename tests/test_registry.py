@@ -1,5 +1,7 @@
 """Registry and tracking on files."""
 
+import datetime
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ def test_registry(spark, tmp_path):
     assert {r["domain"]: r["n"] for r in datasets_by_domain(reg.current()).collect()} == {"customer_service": 1, "time_series": 1}
     assert reg.delete_dataset("nope") is False and reg.delete_dataset(a) is True and reg.delete_dataset(a) is False
     assert reg.get(a).isEmpty() and reg.runs().count() == 0 and reg.current().count() == 1
-    reg.compact("quality", str(tmp_path / "compacted"))
-    assert spark.read.parquet(str(tmp_path / "compacted")).count() == 1
+    folder = reg.compact()
+    assert spark.read.parquet(f"{folder}/quality").count() == 0 and spark.read.parquet(f"{folder}/datasets").count() == 1 and reg.current().count() == 1
 
 
 def test_tracking(spark, tmp_path):
@@ -74,3 +76,43 @@ def test_a_deleted_id_can_be_registered_again(spark, tmp_path):
     time.sleep(0.05)
     reg.append("datasets", row(3))          # registered while it lives: the newest one counts
     assert [r["size"] for r in reg.get("ds").collect()] == [3]
+
+
+def test_snapshots_change_no_view(spark, tmp_path):
+    """Views of snapshots and later events equal the views of all events, with late, deleted and re-registered datasets."""
+    rng = random.Random(4)
+    plain, packed = Registry(spark, str(tmp_path / "plain")), Registry(spark, str(tmp_path / "packed"))
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    for step in range(4):
+        ids = [str(rng.randrange(8)) for _ in range(14)]
+        time_ = lambda: at(rng.randrange(200))  # noqa: E731, B023  (events also come late)
+        rows = {"datasets": spark.createDataFrame([(i, f"d{step}", step, at(0), time_()) for i in ids], "id string, domain string, size bigint, generation_date timestamp, created_at timestamp"),
+                "quality": spark.createDataFrame([(i, rng.random(), time_()) for i in ids], "dataset_id string, overall double, updated_at timestamp"),
+                "bias": spark.createDataFrame([(i, True, rng.choice("ab"), time_()) for i in ids], "dataset_id string, bias_detected boolean, bias_severity string, updated_at timestamp"),
+                "runs": spark.createDataFrame([(f"r{step}{k}", i, time_()) for k, i in enumerate(ids)], "id string, dataset_id string, trained_at timestamp"),
+                "deleted": spark.createDataFrame([(i, time_()) for i in ids[:3]], "dataset_id string, deleted_at timestamp")}
+        for name, df in rows.items():
+            plain.append(name, df)
+            packed.append(name, df)
+        if step in (0, 2):
+            folder = packed.compact()
+        for view in ("current", "runs"):
+            assert sorted(map(repr, getattr(packed, view)().collect())) == sorted(map(repr, getattr(plain, view)().collect()))
+        assert sorted(map(repr, packed.get("3").collect())) == sorted(map(repr, plain.get("3").collect()))
+    assert spark.read.parquet(f"{folder}/quality").groupBy("dataset_id").count().filter("count > 1").isEmpty()
+    later = [f for f in packed.table("quality").inputFiles() if "/snapshots/" not in f]
+    assert later and len(later) < len(plain.table("quality").inputFiles()) / 2      # what the snapshot covers is not read again
+
+
+def test_deleted_and_registered_again(spark, tmp_path):
+    reg = Registry(spark, str(tmp_path))
+    rows = lambda n: spark.createDataFrame([("x", "d", n, datetime.datetime(2024, 1, n))], "id string, domain string, size bigint, created_at timestamp")
+    reg.append("datasets", rows(1))
+    reg.append("deleted", spark.createDataFrame([("x", datetime.datetime(2024, 1, 2))], "dataset_id string, deleted_at timestamp"))
+    reg.compact()
+    assert reg.current().count() == 0
+    reg.append("datasets", rows(3))
+    assert reg.current().first()["size"] == 3
+    reg.compact()
+    reg.append("datasets", rows(2))      # a late row, no newer than the deletion
+    assert reg.current().first()["size"] == 3 and reg.compact() != reg.compact()
