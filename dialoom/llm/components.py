@@ -1,4 +1,8 @@
-"""Connected components by alternating star steps; every step is a shuffle of links, no task sees a component."""
+"""Connected components by alternating star steps; no task sees a component or all links of a node.
+
+A star step gives every link of a node the node's smallest neighbour. Nodes with very many links (hubs) are few by their
+definition, at most MOST_HUBS, so their smallest neighbours go to the links, and only the links of other nodes are dealt out by node.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialoom.llm.common import stored
 
+HUB, MOST_HUBS = 4096, 2048         # a hub has at least HUB links, and more than a 1 / MOST_HUBS of all
+MOST_NODES = 500_000                # nodes that a forest holds before it is given out
+
 
 def _forest(batches):
-    """The links of one partition as stars: a link that closes a circle within the partition is left out."""
+    """The links of one partition as stars: a link that closes a circle is left out, as far as the nodes held can show it."""
     parent: dict = {}
 
     def root(x):
@@ -18,6 +25,13 @@ def _forest(batches):
             x = up
         return x
 
+    def stars():
+        nodes = [x for x in parent if root(x) != x]
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind.field(0).type), pa.array([root(x) for x in part], kind.field(1).type)],
+                                             names=["a", "b"])
+
     kind = None
     for batch in batches:
         kind = batch.schema
@@ -25,15 +39,24 @@ def _forest(batches):
             ra, rb = root(a), root(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
+        if len(parent) > MOST_NODES:
+            yield from stars()
+            parent.clear()
     if parent:
-        nodes = [x for x in parent if root(x) != x]
-        for at in range(0, len(nodes), 50_000):
-            part = nodes[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, kind.field(0).type), pa.array([root(x) for x in part], kind.field(1).type)],
-                                             names=["a", "b"])
+        yield from stars()
+
+
+def _with_least(rows: DataFrame, hub: int) -> DataFrame:
+    """The links (a, b) with m, the smallest b of each a."""
+    least = stored(rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+    n = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(hub, n // MOST_HUBS)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("a", "m"))      # at most n / limit <= MOST_HUBS rows
+    others = rows.join(hubs, "a", "left_anti").join(least.filter(F.col("n") <= limit).select("a", "m"), "a")
+    return others.select("a", "b", "m").union(rows.join(hubs, "a").select("a", "b", "m"))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component) for every node of the first two columns of ``links``; component = the smallest node.
 
     Each partition first reduces its links to a spanning forest, then large-star and small-star steps run until the
@@ -49,11 +72,9 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = (mark["n"], mark["x"])
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(
+        large = _with_least(both, hub).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = stored(large.filter("a <> b").distinct(), "large")
+        small = _with_least(large, hub).select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.a", "s.b")
         now = stored(small.filter("a <> b").mapInArrow(_forest, f"a {kind}, b {kind}").distinct(), "links")
     roots = now.select(F.col("b").alias("node")).distinct()

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dialoom.llm import embeddings
+from dialoom.llm import components, embeddings
 from dialoom.llm.components import connected_components
 
 
@@ -70,3 +71,27 @@ def test_components(spark):
     want = {i: i - (i - 1) % 50 for i in range(1, 301)} | {i: 1000 for i in range(1000, 1400)}
     assert dict(map(tuple, connected_components(df).collect())) == want
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    """A star whose hub has most links, with stars behind it; every link of a hub counts."""
+    links = [(1, i) for i in range(2, 4000)] + [(i, 10_000 + i) for i in range(2, 4000, 7)] + [(20_000 + i, 20_001 + i) for i in range(40)]
+    df = spark.createDataFrame(links, "u bigint, v bigint").repartition(5)
+    want = {n: 1 if n < 20_000 else 20_000 for pair in links for n in pair}
+    for hub in (1, 10, 1 << 20):
+        assert dict(map(tuple, connected_components(df, hub=hub).collect())) == want
+
+
+def test_links_of_a_hub_stay_where_they_are(spark):
+    rows = spark.range(50_000).selectExpr("1L AS a", "id + 2 AS b").repartition(8)
+    spread = components._with_least(rows, 100).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 8000
+
+
+def test_forests_are_given_out_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "MOST_NODES", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i + 1, i + 9)), pa.array(range(i, i + 8))], names=["a", "b"]) for i in range(0, 64, 8)]
+    out = [r for b in components._forest(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(out) == 64 and all(a > b for a, b in out)
