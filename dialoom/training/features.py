@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,11 +22,47 @@ def stop_words() -> list[str]:
 
 def tokens(text: Column, ngrams: tuple[int, int] = (1, 2), stop: list[str] | None = None) -> Column:
     """All n-grams of the words of two or more characters, lower-cased, without accents and stop words."""
+    low, high = ngrams
+    return let(_kept(text, stop), lambda k: F.concat(*[k if n == 1 else inner_ngrams(k, n) for n in range(low, high + 1)]))
+
+
+def _kept(text: Column, stop: list[str] | None) -> Column:
     dropped = stop_words() if stop is None else stop
     found = F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(TOKEN), F.lit(0))
-    kept = F.filter(found, lambda w: ~w.isin(dropped)) if dropped else found
-    low, high = ngrams
-    return let(kept, lambda k: F.concat(*[k if n == 1 else inner_ngrams(k, n) for n in range(low, high + 1)]))
+    return F.filter(found, lambda w: ~w.isin(dropped)) if dropped else found
+
+
+def with_grams(pairs: DataFrame, high: int, stop: list[str] | None = None) -> DataFrame:
+    """Adds the columns grams_1 to grams_<high>: the n-grams of each length by themselves. The text is taken apart once."""
+    lists = let(_kept(F.col("text"), stop), lambda k: F.struct(*[(k if n == 1 else inner_ngrams(k, n)).alias(f"grams_{n}") for n in range(1, high + 1)]))
+    return pairs.select(*pairs.columns, F.inline(F.array(lists)))
+
+
+def joined_grams(ngrams: tuple[int, int]) -> Column:
+    """``tokens`` from the columns of ``with_grams``."""
+    return F.concat(*[F.col(f"grams_{n}") for n in range(ngrams[0], ngrams[1] + 1)])
+
+
+def gram_counts(rows: DataFrame, high: int) -> DataFrame:
+    """(n, term, total, docs) of all n-grams of ``with_grams``: from this one table the vocabulary of every shorter setting can be cut."""
+    def listed(c: Column, n: int, total: int, docs: int) -> Column:
+        return F.transform(c, lambda t: F.struct(F.lit(n).alias("n"), t.alias("term"), F.lit(total).cast("bigint").alias("total"), F.lit(docs).cast("bigint").alias("docs")))
+
+    parts = [p for n in range(1, high + 1) for p in (listed(F.col(f"grams_{n}"), n, 1, 0), listed(F.array_distinct(f"grams_{n}"), n, 0, 1))]
+    return rows.select(F.inline(F.concat(*parts))).groupBy("n", "term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+
+
+def cut_tfidf(counts: DataFrame, rows: int, ngrams: tuple[int, int], max_features: int = 5000, min_df: int = 2) -> PipelineModel:
+    """The model that ``fit_tfidf`` fits, cut from the table of ``gram_counts`` without a pass over the rows.
+
+    The vocabulary are the ``max_features`` terms of largest total, by name among equals; only these come to the driver.
+    """
+    found = counts.filter(F.col("n").between(*ngrams) & (F.col("docs") >= min_df)).orderBy(F.desc("total"), "term").limit(max_features).select("term", "docs").collect()
+    if not found:
+        raise ValueError("no term stands in enough rows")
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in found], inputCol="tokens", outputCol="_counts")
+    scale = ElementwiseProduct(inputCol="_counts", outputCol="_scaled", scalingVec=Vectors.dense([log((1 + rows) / (1 + r["docs"])) + 1 for r in found]))
+    return PipelineModel([counter, scale, Normalizer(inputCol="_scaled", outputCol="features", p=2.0)])
 
 
 def with_tokens(pairs: DataFrame, ngrams: tuple[int, int] = (1, 2), stop: list[str] | None = None) -> DataFrame:

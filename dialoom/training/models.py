@@ -85,6 +85,11 @@ class IntentModel:
     classifier: object
     metadata: dict = field(default_factory=dict)
 
+    def predict_tokens(self, tokenised: DataFrame) -> DataFrame:
+        """(label, prediction) of rows (label, tokens)."""
+        scored = self.classifier.transform(self.features.transform(tokenised)).select("label", "prediction")
+        return IndexToString(inputCol="prediction", outputCol="_name", labels=self.labels).transform(scored).select("label", F.col("_name").alias("prediction"))
+
     def _scored(self, df: DataFrame) -> DataFrame:
         tokenised = with_tokens(df, self.config.ngram_range)
         scored = self.classifier.transform(self.features.transform(tokenised))

@@ -1,17 +1,21 @@
-"""Comparison, cross-validation and parameter search: short driver loops over distributed fits."""
+"""Comparison, cross-validation and parameter search: distributed fits, side by side, on features that are prepared once."""
 
 from __future__ import annotations
 
 import itertools
 import random
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
+from dialoom.functions.dims import written
 from dialoom.operators.evaluate import confusion, scores
 from dialoom.registry.tracking import Tracker
-from dialoom.training.data import folds
-from dialoom.training.models import MODEL_TYPES, ModelConfig, TrainResult, fit, train
+from dialoom.training.data import balanced_weights, encode, folds, split
+from dialoom.training.features import cut_tfidf, gram_counts, joined_grams, with_grams
+from dialoom.training.models import MODEL_TYPES, IntentModel, ModelConfig, TrainResult, estimator, fit, train
 
 # The default grids.
 GRIDS = {
@@ -23,25 +27,67 @@ _RESULT = ("ordinal INT, model_type STRING, max_features INT, ngram_low INT, ngr
            "accuracy DOUBLE, f1_macro DOUBLE, f1_weighted DOUBLE, error STRING")
 
 
-def _try(pairs: DataFrame, config: ModelConfig) -> dict:
+@dataclass
+class Prepared:
+    """What all configurations of a search share: the split, the n-grams of both parts, one table of counts, the labels."""
+
+    train: DataFrame
+    test: DataFrame
+    counts: DataFrame
+    rows: int
+    labels: list[str]
+    settings: tuple[float, int]     # test_size and seed of the split
+
+    @staticmethod
+    def of(pairs: DataFrame, config: ModelConfig, high: int, exact: bool = False) -> Prepared:
+        """Written tables, so every text is taken apart once whatever the number of fits."""
+        train_rows, test_rows = split(pairs, config.test_size, config.seed, exact)
+        parts = [written(with_grams(rows, high).drop("text"), "grams") for rows in (balanced_weights(train_rows), test_rows)]
+        labels = [r["label"] for r in encode(parts[0]).orderBy("code").collect()]       # one per class
+        return Prepared(*parts, written(gram_counts(parts[0], high), "gram-counts"), parts[0].count(), labels, (config.test_size, config.seed))
+
+    def train_one(self, config: ModelConfig) -> dict:
+        """Fits one configuration and scores it on the test part. Labels that only the test part has are never right."""
+        codes = F.create_map(*[F.lit(x) for i, name in enumerate(self.labels) for x in (name, float(i))])
+        features = cut_tfidf(self.counts, self.rows, config.ngram_range, config.max_features, config.min_df)
+        tokens = joined_grams(config.ngram_range).alias("tokens")
+        coded = self.train.select("label", "weight", codes[F.col("label")].alias("code"), tokens)
+        vectors = features.transform(coded).select("code", "weight", "features").persist()
+        try:
+            classifier = estimator(config, self.rows).fit(vectors)
+        finally:
+            vectors.unpersist()
+        model = IntentModel(config, self.labels, features, classifier)
+        return scores(confusion(model.predict_tokens(self.test.select("label", tokens)))).first().asDict()
+
+
+def _try(prepared: Prepared, config: ModelConfig) -> dict:
     """The metrics of one configuration; a failed fit is a row of zeros with its error."""
     try:
-        return {**train(pairs, config).metrics, "error": None}
+        return {**prepared.train_one(config), "error": None}
     except Exception as e:
         return {"accuracy": 0.0, "f1_macro": 0.0, "f1_weighted": 0.0, "error": f"{type(e).__name__}: {e}"}
 
 
-def _results(pairs: DataFrame, configs: list[ModelConfig]) -> DataFrame:
-    """One row per configuration, in their order. The training rows are read once."""
-    kept = pairs.persist()
-    try:
-        rows = []
-        for i, c in enumerate(configs):
-            m = _try(kept, c)
-            rows.append((i, c.model_type, c.max_features, c.ngram_range[0], c.ngram_range[1], c.min_df,
-                         float(m["accuracy"]), float(m["f1_macro"]), float(m["f1_weighted"]), m["error"]))
-    finally:
-        kept.unpersist()
+def _results(pairs: DataFrame, configs: list[ModelConfig], side_by_side: int = 4, exact: bool = False) -> DataFrame:
+    """One row per configuration, in their order; equal ones are fitted once, ``side_by_side`` of them at a time."""
+    prepared = {}
+    for c in configs:       # one preparation for each split: a search has one
+        prepared.setdefault((c.test_size, c.seed), None)
+    for key in prepared:
+        mine = [c for c in configs if (c.test_size, c.seed) == key]
+        prepared[key] = Prepared.of(pairs, mine[0], max(c.ngram_range[1] for c in mine), exact)
+    different = []
+    for c in configs:
+        if c not in different:
+            different.append(c)
+    with ThreadPool(max(1, side_by_side)) as pool:
+        found = pool.map(inheritable_thread_target(pairs.sparkSession)(lambda c: _try(prepared[c.test_size, c.seed], c)), different)
+    rows = []
+    for i, c in enumerate(configs):
+        m = found[different.index(c)]
+        rows.append((i, c.model_type, c.max_features, c.ngram_range[0], c.ngram_range[1], c.min_df,
+                     float(m["accuracy"]), float(m["f1_macro"]), float(m["f1_weighted"]), m["error"]))
     return pairs.sparkSession.createDataFrame(rows, _RESULT)
 
 

@@ -182,12 +182,13 @@ def _requests(spark, sf):
     return E.requests(plan.select("plan_id", "intent", "prompt", "system"), F.col("plan_id"))
 
 
-@query("a5_request_file", f"SELECT count(*) AS lines, count(DISTINCT doc_id) AS records FROM documents")
+@query("a5_request_file", f"""WITH {PLAN_SQL} SELECT '{{"recordId":"' || plan_id || '","modelInput":{{"anthropic_version":"bedrock-2023-05-31","max_tokens":2000,"temperature":0.7,"top_p":0.9,"messages":[{{"role":"user","content":'
+  || to_json(prompt) || '}}],"system":"S"}}}}' AS line FROM prompted""")
 def request_file(spark, sf):
+    """Every written line, read back as text."""
     path = shared_path(spark, "requests")
     E.write_requests(_requests(spark, sf), path)
-    back = spark.read.text(path).select(F.get_json_object("value", "$.recordId").alias("r"), F.get_json_object("value", "$._metadata").alias("m"))
-    return back.filter("m IS NULL").agg(F.count("*").alias("lines"), F.countDistinct("r").alias("records"))
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 # ---------------------------------------------------------------- responses

@@ -7,7 +7,7 @@ from dialoom.operators.rolling import rolling_features
 from dialoom.session import shared_path
 from dialoom.streaming import ingest as I, monitor as M
 from suite.base import NESTED_SQL, nested, query, rounded, table
-from suite.plans import PLANNED_SQL, RESPONSE_SQL, _requests, _response_plan, response_lines
+from suite.plans import PLANNED_SQL, PLAN_SQL, RESPONSE_SQL, _requests, _response_plan, response_lines
 
 
 def _folder(spark, sf):
@@ -124,15 +124,14 @@ def failure_pauses_stream(spark, sf):
     return spark.read.parquet(sink).groupBy("key").agg(F.max("longest").alias("longest"), F.max("pauses").alias("pauses"))
 
 
-@query("j3_generated_responses", "SELECT doc_id::VARCHAR AS record_id, true AS answered FROM documents")
+@query("j3_generated_responses", f"WITH {PLAN_SQL} SELECT plan_id::VARCHAR AS record_id, upper(prompt) AS text FROM prompted")
 def generated(spark, sf):
     def echo(batches):
         for pdf in batches:
             yield pdf.assign(text=pdf["prompt"].str.upper())[["record_id", "text"]]
 
     made = _requests(spark, sf).select(F.col("recordId").alias("record_id"), F.get("modelInput.messages", F.lit(0))["content"].alias("prompt"))
-    out = I.generate(made, echo, "record_id STRING, text STRING")
-    return out.select("record_id", (F.length("text") > 0).alias("answered"))
+    return I.generate(made, echo, "record_id STRING, text STRING")
 
 
 # ---------------------------------------------------------------- series

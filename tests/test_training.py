@@ -81,6 +81,32 @@ def test_search_and_validation(spark, pairs):
     assert row["num_folds"] == 3 and 0.5 < row["mean_accuracy"] <= 1 and each.agg({"test_size": "sum"}).first()[0] == 60
 
 
+def test_features_cut_from_one_table(spark, pairs):
+    """The cut models equal the fitted ones, for every setting."""
+    rows = X.with_grams(pairs, 2, stop=["x"])
+    counts = X.gram_counts(rows, 2)
+    for ngrams, most, least in (((1, 1), 1000, 1), ((1, 2), 1000, 3), ((2, 2), 1000, 13), ((1, 2), 7, 1)):
+        tokenised = X.with_tokens(pairs, ngrams, stop=["x"])
+        assert tokenised.select("tokens").collect() == rows.select(X.joined_grams(ngrams).alias("tokens")).collect()
+        fitted, cut = X.fit_tfidf(tokenised, 1000, least), X.cut_tfidf(counts, 60, ngrams, most, least)
+        weights = [dict(zip(m.stages[0].vocabulary, m.stages[1].getScalingVec().toArray().tolist())) for m in (fitted, cut)]
+        assert len(weights[1]) == min(most, len(weights[0])) and all(abs(weights[0][t] - w) < 1e-9 for t, w in weights[1].items())
+        totals = {r["term"]: r["total"] for r in counts.filter(counts["n"].between(*ngrams)).collect()}
+        order = sorted(weights[0], key=lambda t: (-totals[t], t))
+        assert cut.stages[0].vocabulary == order[:most]
+    with pytest.raises(ValueError):
+        X.cut_tfidf(counts, 60, (1, 1), 10, 1000)
+
+
+def test_best_of_equals_is_the_first(spark, pairs):
+    rows = [(i, "m", 1, 1, 1, 1, a, 0.0, 0.0, None) for i, a in ((3, 0.5), (2, 0.9), (0, 0.1), (1, 0.9), (4, 0.9))]
+    assert S.best(spark.createDataFrame(rows, S._RESULT)).first()["ordinal"] == 1
+    # equal draws are one fit and have equal rows
+    base = M.ModelConfig("logistic_regression", "lr", 100, (1, 1), 1, {"max_iter": 5})
+    found = [tuple(r)[2:] for r in S.random_search(pairs, base, {"max_features": [50]}, 3).collect()]
+    assert len(found) == 3 and len(set(found)) == 1
+
+
 def test_tracking_a_failure(spark, pairs, tmp_path):
     t = Tracker(spark, str(tmp_path))
     with pytest.raises(ValueError):
