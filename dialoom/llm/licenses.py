@@ -119,7 +119,7 @@ def _templates(spark: SparkSession, notices: dict[str, str] | DataFrame) -> tupl
         places = len(shingles_) - r["length"] + 1
         step = -(-places // PLACES)
         r["windows"] = [shingles_[i:i + r["length"]] for i in range(0, places, step)]
-    lengths = sorted({r["length"] for r in found})
+    lengths = sorted({r["length"] for r in found}) or [WINDOW]
     windows = spark.createDataFrame([(r["name"], w) for r in found for w in r.pop("windows")], "name string, w array<bigint>")
     bands = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform("w", lambda x: F.xxhash64(x, b))))
     keys = {r["name"]: r["keys"] for r in windows.select("name", F.explode(bands).alias("k")).groupBy("name").agg(F.sort_array(F.collect_set("k")).alias("keys")).collect()}
@@ -127,7 +127,7 @@ def _templates(spark: SparkSession, notices: dict[str, str] | DataFrame) -> tupl
     if len(every) > MOST_KEYS:
         raise ValueError(f"{len(every)} band keys of templates do not belong into a plan: scan for parts of the templates one after the other")
     listed = [{"name": r["name"], "shingles": r["shingles"], "keys": keys[r["name"]]} for r in found]
-    return F.from_json(F.lit(json.dumps(listed)), "array<struct<name:string,shingles:array<bigint>,keys:array<bigint>>>"), every, lengths
+    return F.from_json(F.lit(json.dumps(listed)), "array<struct<name:string,shingles:array<bigint>,keys:array<bigint>>>"), every or [0], lengths
 
 
 def license_notices(docs: DataFrame, notices: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
