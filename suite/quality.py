@@ -369,3 +369,44 @@ def run_existing_dataset(spark, sf):
     known = registry.current().select(F.col("id").alias("dataset_id"), F.col("quality_overall").alias("registered"))
     runs = registry.runs().groupBy("dataset_id").agg(F.count("*").alias("runs"))
     return rounded(done.join(known, "dataset_id").join(runs, "dataset_id").select("conversations", "overall", "registered", "runs"))
+
+
+def _answers(batches):
+    """A generator in place of a model: one conversation about the intent of the prompt; every tenth request fails, every tenth answer is cut off."""
+    import json
+
+    import pandas as pd
+
+    for pdf in batches:
+        out = []
+        for record, prompt in zip(pdf["record_id"], pdf["prompt"]):
+            intent = prompt.rsplit("Intent: ", 1)[1].split("\n")[0]
+            turns = [{"speaker": "customer", "text": f"I ask about {intent.replace('_', ' ')}, case {record}"}, {"speaker": "agent", "text": "Let me check that"}]
+            text = json.dumps({"conversation_id": f"conv_{record}", "turns": turns})
+            answer = {"error": "throttled"} if int(record) % 10 == 9 else {"modelOutput": {"content": [{"text": text[:-9] if int(record) % 10 == 8 else text}]}}
+            out.append(json.dumps({"recordId": record, **answer}))
+        yield pd.DataFrame({"value": out})
+
+
+@query("run_plan_to_gate", """SELECT count(*) AS responses, sum((doc_id % 10 IN (8, 9))::INT)::BIGINT AS failed, sum((doc_id % 10 < 8)::INT)::BIGINT AS conversations,
+  sum((doc_id % 10 < 8)::INT)::BIGINT AS registered, 1::BIGINT AS runs, 2::BIGINT AS kinds_of_errors, true AS learned, true AS gated FROM documents""")
+def run_plan_to_gate(spark, sf):
+    """From a plan over all documents to a registered dataset with its gate: prompts, requests, answers, repair, quality, bias, training, registry, report."""
+    from dialoom.plans.responses import error_summary
+    from dialoom.registry.tables import Registry
+    from dialoom.run import RunConfig, run_plan
+    from dialoom.session import shared_path
+    from dialoom.training.models import preset
+    from suite.plans import _examples, _labels_plan
+
+    path, registry = shared_path(spark, "run-plan"), Registry(spark, shared_path(spark, "run-registry"))
+    config = RunConfig(model_types=("logistic_regression",), model=preset("quick_test"))
+    plan = _labels_plan(spark, sf)
+    done = run_plan(plan, _examples(spark, sf), _answers, plan.select("intent"), path, registry, config)
+    known = registry.current().select(F.col("id").alias("dataset_id"), F.col("size").alias("registered"), "quality_overall")
+    runs = registry.runs().groupBy("dataset_id").agg(F.count("*").alias("runs"), F.max("accuracy").alias("kept_accuracy"))
+    kinds = error_summary(spark.read.parquet(f"{path}/errors")).agg(F.count("*")).scalar()
+    row = done.join(known, "dataset_id").join(runs, "dataset_id")
+    ready = (F.col("quality_overall") >= F.col("quality_limit")) & (F.col("kept_accuracy") >= F.col("accuracy_limit")) & F.col("severity").isin("none", "low", "medium")
+    return row.select("responses", "failed", "conversations", "registered", "runs", kinds.alias("kinds_of_errors"), (F.col("accuracy") > 0.1).alias("learned"),
+                      (F.col("production_ready") == ready).alias("gated"))
