@@ -1,10 +1,10 @@
 """License scans in DataFrame functions only: MinHash bands over overlapping windows retrieve templates, shingle containment decides.
 
-A window is a run of four shingles (of as many as the template has, if these are fewer), at every place of a text and of a template; long templates
+A window is a run of three shingles (of as many as the template has, if these are fewer), at every place of a text and of a template; long templates
 use every k-th place. A band is a hash function of its own, its key the smallest hash of the window's shingles. A window of a text retrieves a
-template if they share a key in any of the ten bands: with certainty if the windows are equal, so a whole notice, or any four
-shingles in a row of one, cannot be missed at any place; with probability 1 - (1 - J)^10 at a Jaccard similarity J, which is
-0.9999 where three of the four shingles are the same (J = 3/5). The containment of the retrieved templates is then counted
+template if they share a key in any of the ten bands: with certainty if the windows are equal, so a whole notice, or any three
+shingles in a row at a place of a template that is used, cannot be missed; with probability 1 - (1 - J)^10 at a Jaccard similarity J, which is
+0.999 where two of the three shingles are the same (J = 1/2). The containment of the retrieved templates is then counted
 exactly on all shingles. Everything happens inside the document's row: no shuffle, no join.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoom.functions.text import let
 
-SHINGLE, WINDOW, BANDS = 3, 4, 10
+SHINGLE, WINDOW, BANDS = 3, 3, 10
 PLACES = 64             # windows of a template at most
 MOST_KEYS = 1 << 16     # band keys of all templates together: they are constants of the plan
 # fixed values: usual notices and short texts of public licenses
@@ -81,7 +81,7 @@ def shingles(words_: Column) -> Column:
 
 
 def minima(shingles_: Column, length: int, band: Column) -> Column:
-    """The smallest hash of a band in every window of ``length`` shingles (1 to 4); windows at the end may be shorter."""
+    """The smallest hash of a band in every window of ``length`` shingles (1 to 3); windows at the end may be shorter."""
     def with_next(a: Column, b: Column, by: int) -> Column:
         return F.zip_with(a, F.slice(b, by + 1, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.least(x, y))       # least passes over the missing ones
 
@@ -90,9 +90,7 @@ def minima(shingles_: Column, length: int, band: Column) -> Column:
         return one
     if length == 2:
         return let(one, lambda m: with_next(m, m, 1))
-    if length == 3:
-        return let(one, lambda m: with_next(with_next(m, m, 1), m, 2))
-    return let(one, lambda m: let(with_next(m, m, 1), lambda two: with_next(two, two, 2)))
+    return let(one, lambda m: with_next(with_next(m, m, 1), m, 2))
 
 
 def band_keys(shingles_: Column, lengths: list[int], keep=None) -> Column:

@@ -38,14 +38,14 @@ def test_texts_with_changed_words(spark):
 
 
 def test_bands_keep_their_probability(spark):
-    """Windows with three of four shingles in common share a band in about 1 - 0.4^10 of all cases, and few bands without any."""
-    rows = spark.range(4000).select(F.array(*[F.xxhash64("id", F.lit(k)) for k in range(4)]).alias("a"), F.array(*[F.xxhash64("id", F.lit(k)) for k in range(1, 5)]).alias("b"))
+    """Windows with two of three shingles in common share about half of the bands, and none in about one of a thousand cases."""
+    rows = spark.range(8000).select(F.array(*[F.xxhash64("id", F.lit(k)) for k in range(3)]).alias("a"), F.array(*[F.xxhash64("id", F.lit(k)) for k in range(1, 4)]).alias("b"))
     keys = lambda c: F.transform(F.sequence(F.lit(1), F.lit(licenses.BANDS)), lambda b: F.array_min(F.transform(c, lambda x: F.xxhash64(x, b))))
     shared = rows.select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n")).agg(F.avg("n"), F.min("n"), F.avg((F.col("n") == 0).cast("int"))).first()
-    assert abs(shared[0] - 6) < 0.15 and shared[2] < 0.002
+    assert abs(shared[0] - 5) < 0.15 and shared[2] < 0.0025
     # the minima of sliding windows are those of the windows by themselves
     long = spark.range(50).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.xxhash64(F.lit(7), k)).alias("s"))
-    for n in (1, 2, 3, 4):
+    for n in (1, 2, 3):
         got = long.select(licenses.minima(F.col("s"), n, F.lit(3)).alias("m"), F.transform("s", lambda x: F.xxhash64(x, F.lit(3))).alias("h")).first()
         assert list(got.m) == [min(got.h[i:i + n]) for i in range(10)]
 
