@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoom.functions.dims import metric, ratio, to_row
+from dialoom.functions.dims import metric, ratio, to_row, written
 
 DIMENSIONS = {"intent": "intent", "sentiment": "sentiment", "complexity": "complexity",
               "language": "language", "resolution_status": "resolution_status"}
@@ -68,7 +68,11 @@ def similarity(compared: DataFrame) -> DataFrame:
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row comparing two profiles: counts, intent overlap (Jaccard), sentiment similarity, turns."""
+    """One row comparing two profiles: counts, intent overlap (Jaccard), sentiment similarity, turns.
+
+    The profiles are tables of counts; they are written first, so the datasets are read once for all that is compared.
+    """
+    a, b = written(a, "profile"), written(b, "profile")
     both = _both(a, b, "intent")
     overlap = metric(both, shared=F.count(F.when(F.col("n1").isNotNull() & F.col("n2").isNotNull(), 1)),
                      union=F.count("*"))
