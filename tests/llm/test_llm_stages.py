@@ -60,6 +60,21 @@ def test_tiling_of_periodic_and_reordered_items(seed):
             assert marked(item, document, size) == tiling(item, document, size), (item, document, size)
 
 
+def words_of(text):
+    return tuple("".join(c if c.isalnum() else " " for c in (text or "").lower()).split())
+
+
+def covered(document, items, size=5):
+    """Whether tiling covers half of an item."""
+    runs = {document[i:i + size] for i in range(len(document) - size + 1)}
+    for item in items:
+        n = min(size, len(item))
+        if n == size and runs & {item[i:i + size] for i in range(len(item) - size + 1)} or n < size and item and item in {document[i:i + n] for i in range(len(document) - n + 1)}:
+            if marked(item, document, n) >= 0.5 * len(item):
+                return True
+    return False
+
+
 def awkward(spark, rows):
     """The rows (doc_id, text, lang) with columns whose names the operators use, a map column among them."""
     return spark.createDataFrame([(i, t, lang, "s", n, f"x{n}", n, n, n, "t", 0.5, datetime.date(2020, 1, 1), {"a": n % 2}, ["y"]) for n, (i, t, lang) in enumerate(rows)],
@@ -95,7 +110,9 @@ def test_stage_on_awkward_rows(spark, docs, name):
     else:
         assert not as_rows(left) - as_rows(docs) and 20 < left.count() < docs.count()
     if name == "decontamination":
-        assert as_rows(docs) - as_rows(left) == Counter(x for x in as_rows(docs) if "(11, " in x)
+        items = [words_of(r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+        found = {r._id for r in docs.collect() if covered(words_of(r.text), items)}
+        assert {r._id for r in docs.collect()} - {r._id for r in left.collect()} == found and {r._id for r in docs.filter("doc_id = 11 AND text LIKE '% %'").collect()} & found
     if name == "near_duplicates":
         kept = [r for r in left.collect() if r.text and r.text.split()]
         assert len(kept) == len({r.text for r in kept}) and sum(r.doc_id == 12 for r in kept) == 1
