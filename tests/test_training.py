@@ -30,6 +30,17 @@ def test_tfidf_by_hand(spark):
     assert abs(v["red"] - red / norm) < 1e-9 and abs(v["fish"] - fish / norm) < 1e-9 and v["blue"] == 0
 
 
+def test_weights_of_a_large_vocabulary(spark):
+    """A row's weights are as many as its terms, not as the vocabulary; the fit reads the tokens once."""
+    df = spark.createDataFrame([(" ".join(f"w{j}" for j in range(i, i + 3)) + f" w{i}",) for i in range(500)] + [("",)], "text STRING")
+    model = X.fit_tfidf(X.with_tokens(df, (1, 1)), 1 << 18, 1)
+    out = model.transform(X.with_tokens(df, (1, 1))).select("features", X.term_weights().alias("v"))
+    assert "vector_to_array" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for features, v in out.collect():
+        assert features.size == 502 and len(v) in (0, 3) and v == [x for x in features.toArray() if x > 0]
+    assert [type(s).__name__ for s in model.stages] == ["CountVectorizerModel", "ElementwiseProduct", "Normalizer"]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("The Café is a nice CAFÉ, x y2",), ("",)], "text STRING")
     got = [r[0] for r in df.select(X.tokens(df["text"], (1, 2))).collect()]
