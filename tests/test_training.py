@@ -109,6 +109,41 @@ def test_features_cut_from_one_table(spark, pairs):
         X.cut_tfidf(counts, 60, (1, 1), 10, 1000)
 
 
+@pytest.mark.parametrize("kind", ["logistic_regression", "random_forest", "xgboost"])
+def test_a_fit_keeps_small_pieces(spark, pairs, monkeypatch, kind):
+    """What the passes of a fit read is vectors alone, in pieces whose number follows the rows."""
+    seen = []
+    monkeypatch.setattr(M, "PIECE_ROWS", 4)
+    monkeypatch.setattr(M, "PIECE_CELLS", 4 * 18)
+    make = M.estimator
+
+    def spy(config, rows):
+        out = make(config, rows)
+        fit = out.fit
+        out.fit = lambda df: (seen.append((df.columns, df.rdd.getNumPartitions(), df.storageLevel.useMemory)), fit(df))[1]
+        return out
+
+    monkeypatch.setattr(M, "estimator", spy)
+    model = M.fit(pairs, M.ModelConfig(kind, kind, 18, (1, 1), 1, {"max_iter": 3, "n_estimators": 2, "max_depth": 2}))
+    assert seen == [(["code", "weight", "features"], 15, True)] and model.metadata == {"rows": 60, "classes": 3, "vocabulary": 18}
+    assert M.pieces(model.config, 6_000_000, 1000, 12) > 90 and M.pieces(model.config, 5, 1000, 12) == 5
+
+
+def test_validation_takes_texts_apart_once(spark, pairs, monkeypatch):
+    """Every fold has the scores of a model that is fitted on the other folds alone, and the texts are read once for all folds."""
+    calls = []
+    monkeypatch.setattr(S, "with_grams", lambda *a: (calls.append(1), X.with_grams(*a))[1])
+    config = M.ModelConfig("logistic_regression", "lr", 9, (1, 2), 2, {"max_iter": 5})
+    rows = pairs.union(spark.createDataFrame([("n1", "the card is lost", None)], pairs.schema))
+    _, each = S.cross_validate(rows, config, 3)
+    cut = D.folds(rows, 3, config.seed)
+    for r in each.collect():
+        model = M.fit(cut.filter(cut["fold"] != r["fold"] - 1), config)
+        m = model.evaluate(cut.filter(cut["fold"] == r["fold"] - 1)).first()
+        assert (r["train_size"], r["test_size"]) == (model.metadata["rows"], m["support"]) and abs(r["accuracy"] - m["accuracy"]) < 1e-9 and abs(r["f1_macro"] - m["f1_macro"]) < 1e-9
+    assert calls == [1]
+
+
 def test_best_of_equals_is_the_first(spark, pairs):
     rows = [(i, "m", 1, 1, 1, 1, a, 0.0, 0.0, None) for i, a in ((3, 0.5), (2, 0.9), (0, 0.1), (1, 0.9), (4, 0.9))]
     assert S.best(spark.createDataFrame(rows, S._RESULT)).first()["ordinal"] == 1
