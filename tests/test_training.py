@@ -144,6 +144,21 @@ def test_validation_takes_texts_apart_once(spark, pairs, monkeypatch):
     assert calls == [1]
 
 
+def test_one_fit_for_one_vocabulary(spark, pairs, monkeypatch):
+    """Configurations whose vocabularies come out equal share a fit; where they differ, each has its own, and all rows are there."""
+    fits, make = [], S.fit_cut
+    monkeypatch.setattr(S, "fit_cut", lambda *a: (fits.append(a[-1]), make(*a))[1])
+    base = M.ModelConfig("logistic_regression", "lr", 9, (1, 1), 1, {"max_iter": 3})
+    # 22 words in all: 200 and 300 are the same; seldom words are cut by min_df 13 only
+    grid = S.grid_search(pairs, base, {"max_features": [5, 200, 300], "min_df": [1, 2, 13, 1000]})
+    rows = grid.orderBy("ordinal").collect()
+    assert len(rows) == 12 and [r["min_df"] for r in rows[:4]] == [1, 2, 13, 1000] and [r["error"] is None for r in rows] == [True, True, True, False] * 3
+    assert len(fits) == 3 and len({(c.max_features > 5, c.min_df) for c in fits}) == 3
+    assert rows[1][6:] == rows[0][6:] and rows[4][6:] == rows[5][6:] == rows[8][6:] == rows[9][6:] and rows[6][6:] == rows[10][6:]
+    alone = S.grid_search(pairs, base, {"max_features": [300], "min_df": [2]}).first()
+    assert abs(alone["accuracy"] - rows[9]["accuracy"]) < 1e-9
+
+
 def test_best_of_equals_is_the_first(spark, pairs):
     rows = [(i, "m", 1, 1, 1, 1, a, 0.0, 0.0, None) for i, a in ((3, 0.5), (2, 0.9), (0, 0.1), (1, 0.9), (4, 0.9))]
     assert S.best(spark.createDataFrame(rows, S._RESULT)).first()["ordinal"] == 1
