@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.session import shared_path
+from dialoom.session import shared_path, small_batches
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None        # glibc has it
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -127,18 +127,6 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Lets Python tasks of this session get at most about ``size`` bytes of rows at a time, whatever the length of the texts.
-
-    Every operator calls this, so batches do not depend on which one ran before. The setting stays, as results are computed later
-    than the operator returns; a smaller one is left as it is.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name).rstrip("bB"))
-    if now <= 0 or now > size:
-        spark.conf.set(name, f"{size}b")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a new table in the shared folder and reads it back: the lineage ends here."""
     path = shared_path(df.sparkSession, name)

@@ -74,3 +74,15 @@ def test_naive_times_are_utc(spark):
     texts = ["2024-01-01T00:00:00", "2024-01-01T00:00:00Z", "2024-01-01T02:00:00+02:00", "2024-01-01T00:00:00.5", "no"]
     got = apply(spark, lambda c: F.unix_millis(as_utc(c)), texts)
     assert got == [1704067200000, 1704067200000, 1704067200000, 1704067200500, None]
+
+
+def test_folding_gets_small_batches(spark):
+    """Long texts reach Python a few megabytes at a time, and folding is the same as by single characters."""
+    import unicodedata
+
+    odd = "Å\u0301ﬁ² é\u0327ñ 각 \U0001d15e İß 漢字 " + "".join(map(chr, range(0x300, 0x370)))
+    assert apply(spark, X.fold_accents, [odd]) == ["".join(ch for ch in unicodedata.normalize("NFKD", odd) if not unicodedata.combining(ch))]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    X.fold_accents(F.lit("x"))
+    sizes = spark.range(40, numPartitions=1).select(F.repeat(F.lit("é"), 1 << 19).alias("t")).mapInPandas(lambda it: (p.assign(t=str(len(p))) for p in it), "t string").distinct().collect()
+    assert max(int(r[0]) for r in sizes) <= 5
