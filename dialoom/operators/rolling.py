@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dialoom.functions.dims import written
 
 DAYS = (1, 7, 30)
+TASK_ROWS = 1 << 19
 BLOCK_ROWS = 1 << 16        # points that a block would hold if one account held all of them
 
 
@@ -26,16 +27,23 @@ def _micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
+def task_count(points: DataFrame, frames: int) -> int:
+    """Tasks of the shuffles, so that one holds about ``TASK_ROWS`` points, probes or events, whatever the size of the table."""
+    n, events = points.agg(F.count("*"), F.sum("n")).first()
+    return max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(n * (frames + 2), events or 0) // TASK_ROWS))
+
+
 def block_width(points: DataFrame, rows: int = BLOCK_ROWS) -> int:
     """Microseconds of a block, so that an account with all points would have about ``rows`` of them in each; one scan for four numbers."""
     n, first, last = points.agg(F.count("*"), F.min("at"), F.max("at")).first()
     return max(1, ((last - first + 1) * rows) // max(1, n)) if n and first is not None else 1
 
 
-def running_sums(points: DataFrame, frames: dict[str, int], width: int) -> DataFrame:
+def running_sums(points: DataFrame, frames: dict[str, int], width: int, tasks: int) -> DataFrame:
     """(account, at, name, n, m, s, q) for every point (account, at, n, m, s, q) and frame: the sums over [at - length, at].
 
     ``frames`` maps names to lengths in microseconds; the frame "" is added: all that came before ``at``. ``at`` is distinct within an account.
+    The sums are made by ``tasks`` tasks.
     """
     parts = ["n", "m", "s", "q"]
     zero = [F.lit(0).cast(points.schema[c].dataType).alias(c) for c in parts]
@@ -51,13 +59,13 @@ def running_sums(points: DataFrame, frames: dict[str, int], width: int) -> DataF
     opened = blocks.select("account", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("place"), F.lit(-1).alias("kind"),
                            F.lit(None).cast("string").alias("name"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast(points.schema[c].dataType).alias(c) for c in parts], "block")
     inside = Window.partitionBy("account", "block").orderBy(F.asc_nulls_first("place"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = rows.union(opened).select("account", "at", "kind", "name", *[F.sum(c).over(inside).alias(c) for c in parts]).filter("kind >= 0")
+    known = rows.union(opened).repartition(tasks, "account", "block").select("account", "at", "kind", "name", *[F.sum(c).over(inside).alias(c) for c in parts]).filter("kind >= 0")
     # the answers of a point: all sums come from one row each, so max picks it
     def of(name: str | None, c: str) -> Column:
         mine = F.col("kind") == 1 if name is None else (F.col("kind") == 0) & (F.col("name") == name)
         return F.max(F.when(mine, F.col(c)))
 
-    wide = known.groupBy("account", "at").agg(*[of(k, c).alias(f"{c}_{i}") for i, k in enumerate([None, "", *frames]) for c in parts])
+    wide = known.repartition(tasks, "account", "at").groupBy("account", "at").agg(*[of(k, c).alias(f"{c}_{i}") for i, k in enumerate([None, "", *frames]) for c in parts])
     cut = [F.struct(F.lit("").alias("name"), *[F.col(f"{c}_1").alias(c) for c in parts])]
     cut += [F.struct(F.lit(k).alias("name"), *[(F.col(f"{c}_0") - F.col(f"{c}_{i + 2}")).alias(c) for c in parts]) for i, k in enumerate(frames)]
     return wide.select("account", "at", F.map_from_arrays(F.array(*[F.lit(k) for k in ["", *frames]]), F.array(*cut)).alias("frames"))
@@ -79,8 +87,14 @@ def rolling_features(events: DataFrame, account: str = "account", time: str = "t
                                                F.coalesce(F.sum(F.col("v").cast(f"decimal(19,{digits})") * F.col("v")), F.lit(0)).cast(f"decimal(38,{2 * digits})").alias("q"))
     points = written(points, "rolling-points")
     frames = {f"{d}d": d * 86_400_000_000 for d in days}
-    sums = running_sums(points, frames, width or block_width(points)).withColumnsRenamed({"account": "_account", "at": "_at"})
-    joined = events.join(sums, F.col(account).eqNullSafe(F.col("_account")) & (_micros(F.col(time)) == F.col("_at")), "left")
+    tasks = task_count(points, len(frames))
+    sums = running_sums(points, frames, width or block_width(points), tasks)
+    # a struct of a null account equals another one, so both sides are dealt out by the plain keys of the join
+    sums = sums.select(F.struct("account").alias("_account"), F.col("at").alias("_at"), "frames").repartition(tasks, "_account", "_at")
+    keyed = events.withColumns({"_who": F.struct(F.col(account).alias("account")), "_when": _micros(F.col(time))})
+    timed = keyed.filter("_when IS NOT NULL").repartition(tasks, "_who", "_when")
+    found = timed.join(sums, (F.col("_who") == F.col("_account")) & (F.col("_when") == F.col("_at")), "left").select(*events.columns, "frames")
+    joined = found.union(keyed.filter("_when IS NULL").select(*events.columns, F.lit(None).cast(found.schema["frames"].dataType).alias("frames")))
     out = {}
     for name in frames:
         f = F.col("frames")[name]
@@ -92,4 +106,4 @@ def rolling_features(events: DataFrame, account: str = "account", time: str = "t
     out |= {"history_n": past["n"], "history_mean": F.when(past["m"] > 0, past["s"].cast("double") / past["m"])}
     out["deviation"] = F.col(value).cast("double") - out["history_mean"]
     out |= {"hour": F.hour(F.col(time)), "weekday": F.weekday(F.col(time)) + 1}
-    return joined.withColumns(out).drop("_account", "_at", "frames")
+    return joined.withColumns(out).drop("frames")

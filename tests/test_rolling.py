@@ -72,6 +72,18 @@ def test_a_hot_account_is_spread(spark):
     assert [line.count("account") for line in plan.split("\n") if "Window" in line and "place" in line] and "block" in plan
 
 
+def test_tasks_follow_the_events(spark, monkeypatch):
+    """Every shuffle of points has as many tasks as the points need, so none grows with the table; null accounts and times stay."""
+    from dialoom.operators import rolling
+
+    monkeypatch.setattr(rolling, "TASK_ROWS", 100)
+    df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("who"), F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") * 60)).alias("ts"), F.lit(1.0).alias("v"))
+    out = rolling_features(df, "who", "ts", "v", (1,))
+    # 980 points, each with itself and two probes
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(", 30") == 4
+    assert out.count() == 1000 and out.filter("n_1d IS NULL").count() == 20 and out.filter("who IS NULL").agg(F.max("n_1d")).first()[0] > 300
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rolling_features(df, "who", "ts", "v").count() == 0
