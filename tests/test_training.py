@@ -159,6 +159,53 @@ def test_one_fit_for_one_vocabulary(spark, pairs, monkeypatch):
     assert abs(alone["accuracy"] - rows[9]["accuracy"]) < 1e-9
 
 
+@pytest.mark.parametrize("settings,rounds", [([((1, 1), 2, 1)], 1), ([((1, 2), 2, 2)], 2), ([((2, 3), 2, 2), ((1, 1), 5, 1)], None), ([((1, 2), 10_000, 1)], 1), ([((1, 1), 2, 1000)], 2)])
+def test_frequent_counts_hold_whole_vocabularies(spark, monkeypatch, settings, rounds):
+    """Vocabularies come out as from the counts of all n-grams, also if the heaviest ones stand in too few rows and lighter cells have to be counted."""
+    texts = [" ".join(f"p{a} p{b}" for _ in range(150) for a in range(4) for b in range(4))]     # heavy, in one row
+    texts += [f"here there own{i} {'few' if i % 9 == 0 else 'many'} w{i % 7} w{i % 5}" for i in range(120)] + ["", None]
+    rows = X.with_grams(spark.createDataFrame([(t,) for t in texts], "text STRING"), 3, stop=[])
+    words = X.longer_grams(rows.select("grams_1"), 3)
+    assert words.collect() == rows.select("grams_1", "grams_2", "grams_3").collect()
+    every, tried, count = X.gram_counts(rows, 3), [], X.gram_counts
+    monkeypatch.setattr(X, "gram_counts", lambda *a, **k: (tried.append(k["within"]), count(*a, **k))[1])
+    counts = X.frequent_counts(words, settings)
+    for s in settings:
+        columns = ["n", "term", "total", "docs"]
+        assert X._frequent(counts, *s).select(columns).collect() == X._frequent(every, *s).select(columns).collect()
+    assert rounds in (None, len(tried))
+    whole = settings[0][1:] in ((10_000, 1), (2, 1000))      # there are not enough terms
+    assert (tried[-1] is None) == whole and (whole or counts.count() < every.count() / 2)
+
+
+def test_a_search_keeps_little(spark, monkeypatch):
+    """Written are the words and the n-grams of some vocabulary, not those that stand in one place; fits read their pieces without a shuffle and leave nothing on disk themselves."""
+    rows = [(f"c{i}", " ".join([f"own{i}x{j} {k} is{k}" for j in range(20)]), k) for i, k in enumerate(["en", "es", "de"] * 60)]
+    pairs = spark.createDataFrame(rows, "conversation_id STRING, text STRING, label STRING")
+    tables, fits, make, write = [], [], M.estimator, S.written
+    monkeypatch.setattr(M, "PIECE_ROWS", 10)
+    monkeypatch.setattr(S, "written", lambda df, name, **o: (tables.append((name, write(df, name, **o))), tables[-1][1])[1])
+
+    def spy(config, rows):
+        out = make(config, rows)
+        fit = out.fit
+        out.fit = lambda df: (fits.append((df.storageLevel.useDisk, df.rdd.glom().map(len).collect(), "Exchange" in df._jdf.queryExecution().executedPlan().toString())), fit(df))[1]
+        return out
+
+    monkeypatch.setattr(M, "estimator", spy)
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+    base = M.ModelConfig("logistic_regression", "lr", 6, (1, 2), 1, {"max_iter": 3})
+    found = S.grid_search(pairs, base, {"max_features": [4, 6], "ngram_range": [(1, 1), (1, 2)]}).collect()
+    assert len(found) == 4 and all(r["error"] is None and r["accuracy"] == 1 for r in found)
+    assert spark.conf.get(cost) == before
+    kept = [df for name, df in tables if name == "grams"]
+    assert len(kept) == 2 and sum(df.count() for df in kept) == 180
+    assert all(not t.startswith("own") for df in kept for r in df.collect() for t in r["grams_1"] + r["grams_2"])
+    assert [set(df.columns) for name, df in tables if name == "words"] == [{"label", "weight", "grams_1"}, {"label", "grams_1"}]
+    assert fits and all(not disk and not shuffled and max(sizes) <= 10 and sum(sizes) == kept[0].count() for disk, sizes, shuffled in fits)
+
+
 def test_best_of_equals_is_the_first(spark, pairs):
     rows = [(i, "m", 1, 1, 1, 1, a, 0.0, 0.0, None) for i, a in ((3, 0.5), (2, 0.9), (0, 0.1), (1, 0.9), (4, 0.9))]
     assert S.best(spark.createDataFrame(rows, S._RESULT)).first()["ordinal"] == 1
